@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, neardup
-from .common import table
+from . import bpe, decontaminate, langid, neardup, quality
+from .common import P, table
 
 
 def vocabulary() -> tuple[str, str]:
@@ -20,6 +21,19 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(docs, *vocabulary()).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    out = langid.held_out(F.col("doc_id"))
+    languages = langid.learn(docs.where(~out))
+    return langid.identify(docs.select("doc_id", out.alias("held_out"), "text"), languages).select("doc_id", "held_out", "lang_pred", "score", "confident")
+
+
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    columns = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    return quality.judged(docs, keep=["doc_id"]).select("doc_id", *(F.col(P + c).alias(c) for c in columns))
+
+
 def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return neardup.near_duplicates(docs, words=4, percent=80).select("doc_id", "n_shingles", "component_id", "kept")
@@ -30,5 +44,5 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_leaks(docs, table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {"op6_byte_bpe": op6_byte_bpe, "op8_near_duplicates": op8_near_duplicates, "op10_decontaminate": op10_decontaminate}
+QUERIES = {"op1_language_id": op1_language_id, "op4_quality_rules": op4_quality_rules, "op6_byte_bpe": op6_byte_bpe, "op8_near_duplicates": op8_near_duplicates, "op10_decontaminate": op10_decontaminate}
 ORACLE_SQL: dict[str, str] = {}
