@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, langid, neardup, quality
+from . import bpe, decontaminate, langid, licenses, linededup, neardup, quality, sharding
 from .common import P, table
 
 
@@ -28,21 +28,38 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs.select("doc_id", out.alias("held_out"), "text"), languages).select("doc_id", "held_out", "lang_pred", "score", "confident")
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = linededup.without_common_lines(docs, min_docs=10, min_chars=1)
+    kept = F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256)
+    return out.select("doc_id", F.col(P + "n_lines").alias("n_lines"), F.col(P + "n_dropped").alias("n_dropped"), kept.alias("kept_sha256"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
     columns = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
     return quality.judged(docs, keep=["doc_id"]).select("doc_id", *(F.col(P + c).alias(c) for c in columns))
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return neardup.near_duplicates(docs, words=4, percent=80).select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op9_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    out = sharding.hilbert_shards(docs, 16)
+    return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "hilbert")
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return decontaminate.find_leaks(docs, table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {"op1_language_id": op1_language_id, "op4_quality_rules": op4_quality_rules, "op6_byte_bpe": op6_byte_bpe, "op8_near_duplicates": op8_near_duplicates, "op10_decontaminate": op10_decontaminate}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_line_dedup, op4_quality_rules, op6_byte_bpe, op7_license_scan, op8_near_duplicates, op9_hilbert_shards, op10_decontaminate)}
 ORACLE_SQL: dict[str, str] = {}
