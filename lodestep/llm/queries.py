@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, langid, licenses, linededup, neardup, quality, sharding
+from . import bpe, decontaminate, langid, licenses, linededup, neardup, packing, quality, sharding, warc
 from .common import P, table
 
 
@@ -16,6 +16,13 @@ def vocabulary() -> tuple[str, str]:
     return public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
 
 
+def op5_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = warc.captures_of_pages(table(spark, sf_dir, "pages"))
+    out = warc.resolve_revisits(records)
+    entries = F.array_join(F.transform(F.map_entries("headers"), lambda e: F.concat(e["key"], F.lit("="), e["value"])), "; ")
+    return out.select("record_id", "url_key", F.unix_seconds("captured_at").alias("captured_at"), "status", "source_id", entries.alias("headers"), F.octet_length("body").cast("bigint").alias("body_bytes"), F.md5(F.col("body").cast("binary")).alias("body_md5"))
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return bpe.encode_digests(docs, *vocabulary()).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
@@ -35,6 +42,10 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.col(P + "n_lines").alias("n_lines"), F.col(P + "n_dropped").alias("n_dropped"), kept.alias("kept_sha256"))
 
 
+def op3_pack_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), *vocabulary(), length=2048)
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
     columns = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -61,5 +72,5 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_leaks(docs, table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_line_dedup, op4_quality_rules, op6_byte_bpe, op7_license_scan, op8_near_duplicates, op9_hilbert_shards, op10_decontaminate)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_line_dedup, op3_pack_tokens, op4_quality_rules, op5_warc_revisits, op6_byte_bpe, op7_license_scan, op8_near_duplicates, op9_hilbert_shards, op10_decontaminate)}
 ORACLE_SQL: dict[str, str] = {}
