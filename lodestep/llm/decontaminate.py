@@ -7,7 +7,8 @@ steps, so edit distance becomes Hamming distance. Here every word of a document
 starts a walk, that is an item-sized window, and a walk's embedding is sampled at
 a few steps (bit sampling); equal samples make a window and an item candidates.
 Several independent walks repeat this until ``target_recall`` is met for passages
-with ``design_edits`` of the words edited. Candidates are confirmed by the exact edit
+with one word in twenty edited. Windows that also agree at some steps beside the sample
+are the candidates. They are confirmed by the exact edit
 distance of the item to its best place in the window.
 
 The random bits repeat every ``PERIOD`` steps. Then the pointers after 8 steps, of
@@ -47,8 +48,8 @@ BLOCK_BYTES = 16 << 20
 PAD = 256
 #: Words in a cache-sized block of the walk.
 BLOCK_WORDS = 1 << 15
-#: Share of passages with DESIGN_EDITS of their words edited that one walk's sample finds, measured on random texts.
-ONE_WALK_RECALL = 0.42
+#: Share of the passages with a twentieth of their words edited that one walk finds (least of several measurements, with a margin).
+ONE_WALK_RECALL = 0.46
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -102,24 +103,30 @@ class Items:
                 of[c] = tuple(sorted(draw.choice(range(0, 3 * c // 2, apart), SAMPLES, replace=False).tolist()))
             self.steps.append({c: of[c] for c in present})
         self.mask = np.uint64((1 << 20) - 1)
-        self.keys = [{c: {} for c in present} for _ in range(self.walks)]
+        found_keys: list[dict] = [{c: [] for c in present} for _ in range(self.walks)]
         for i, found in enumerate(self.words):
             if self.classes[i]:
                 hashes = np.concatenate([hashed(found), np.zeros(PAD, np.uint64)])
                 for walk, of in enumerate(self.steps):
                     c = self.classes[i]
-                    pointers = self.pointers(hashes, walk, {c: of[c]})
+                    pointers = self.pointers(hashes, walk, of)
                     if all(pointers[s][0] < len(found) for s in of[c]):
-                        key = int(self.key(hashes, pointers, of[c], slice(0, 1))[0])
-                        self.keys[walk][c].setdefault(key, []).append(i)
-        self.filters = [{c: self._filter(keys) for c, keys in of.items()} for of in self.keys]
+                        read = {s: hashes[at[0]] for s, at in pointers.items() if at[0] < len(found)}
+                        found_keys[walk][c].append((self.key(hashes, pointers, of[c], slice(0, 1))[0], i, read))
+        self.tables = [{c: self._table(of[c], rows) for c, rows in keys.items()} for of, keys in zip(self.steps, found_keys)]
 
-    def _filter(self, keys: dict[int, list[int]]):
+    def _table(self, sampled: tuple[int, ...], rows: list) -> tuple:
+        """Of a walk and class: the filter, the keys in order, their items, and each item's embedding at the steps beside the sample."""
         import numpy as np
 
-        out = np.zeros(int(self.mask) + 1, bool)
-        out[[k & int(self.mask) for k in keys]] = True
-        return out
+        rows = sorted(rows, key=lambda r: (int(r[0]), r[1]))
+        keys = np.array([r[0] for r in rows], np.uint64)
+        passes = np.zeros(int(self.mask) + 1, bool)
+        passes[(keys & self.mask).astype(np.int64)] = True
+        beside = sorted({s for *_, read in rows for s in read} - set(sampled))
+        embedded = np.array([[read.get(s, np.uint64(0)) for s in beside] for *_, read in rows], np.uint64).reshape(len(rows), len(beside))
+        needed = np.minimum((embedded != 0).sum(1) // 3, 2)
+        return passes, keys, np.array([r[1] for r in rows], np.int64), beside, embedded, needed
 
     def pointers(self, hashes, walk: int, of: dict[int, tuple[int, ...]]) -> dict[int, object]:
         """For each sampled step, where the walk from each word stands."""
@@ -149,11 +156,17 @@ class Items:
         for walk, of in enumerate(self.steps):
             pointers = self.pointers(hashes, walk, of)
             for c, steps in of.items():
+                passes, known, items, beside, embedded, needed = self.tables[walk][c]
                 keys = self.key(hashes, pointers, steps)
-                near = np.flatnonzero(self.filters[walk][c].take((keys & self.mask).view(np.int64)))
-                table = self.keys[walk][c]
-                for at, key in zip(near.tolist(), keys[near].tolist()):
-                    out.update((at, i) for i in table.get(key, ()))
+                near = np.flatnonzero(passes.take((keys & self.mask).view(np.int64)))
+                first, last = np.searchsorted(known, keys[near]), np.searchsorted(known, keys[near], "right")
+                times = last - first
+                at = np.repeat(near, times)
+                row = np.arange(len(at)) - np.repeat(np.cumsum(times) - times, times) + np.repeat(first, times)
+                # the embedding beside the sample: windows near the item agree at some of these steps too
+                agree = sum((hashes.take(pointers[s].take(at)) == embedded[row, i] for i, s in enumerate(beside)), np.zeros(len(at), np.int64))
+                good = agree >= needed[row]
+                out.update(zip(at[good].tolist(), items[row[good]].tolist()))
         return out
 
     def confirm(self, words: list[bytes], start: int, item: int) -> tuple[int, int] | None:
