@@ -2,12 +2,90 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import hashing as H
+from ..operators import effective, evaluate
+from ..sources import derived
+from . import oracle
+
 FLAGSHIP = "evaluate_lattice"
+BITS, EPSILON = 6, 0.1
+
+
+def hash_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ids = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", F.concat(F.lit("ev:"), F.col("event_id")).alias("name"))
+    with H.wrapping(spark):
+        return ids.select("event_id", H.hex64(H.fnv1a_64(F.col("name").cast("binary"))).alias("fnv"), H.hex64(H.mix64(F.col("event_id"))).alias("mixed"), H.hex64(H.derive_key(F.col("name"), F.lit("ev"))).alias("key"))
+
+
+def rng_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ids = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", F.concat(F.lit("ev:"), F.col("event_id")).alias("name"))
+    with H.wrapping(spark):
+        keyed = ids.select("event_id", H.derive_key(F.col("name"), F.lit("ev")).alias("key"))
+        return keyed.select("event_id", *(H.random_unit(F.col("key"), i).alias(f"u{i}") for i in range(3)))
+
+
+def logged_choices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return derived.decisions(spark, sf_dir).select("decision_id", "seg", "hour", "chosen", "propensity")
+
+
+def encode_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = derived.decisions(spark, sf_dir).withColumn("event", F.lit("decision"))
+    feats = evaluate.features(made, derived.OFFERS, BITS)
+    same = made.seg.eqNullSafe(feats.seg) & made.hour.eqNullSafe(feats.hour)
+    return made.join(feats, same).select("event_id", "cand", "slot", "v")
+
+
+def effective_resolutions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = effective.paired(derived.log(spark, sf_dir), derived.ORDER, ["chosen"])
+    return pairs.where("effective").select("decision_id", "report", "kind", "reward", F.col("d_chosen").alias("chosen"))
+
+
+def horizon_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    told = derived.classified(derived.resolutions(derived.decisions(spark, sf_dir)))
+    return told.groupBy("kind", "report").agg(F.count("*").alias("n"), F.sum("reward").alias("reward"))
+
+
+def evaluate_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.evaluate(derived.log(spark, sf_dir), derived.ORDER, derived.OFFERS, [BITS], [EPSILON])
+
+
+def sweep_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.evaluate(derived.log(spark, sf_dir), derived.ORDER, derived.OFFERS, [4, 8], [0.05, 0.2, 1.0], 4)
+
+
+def replay_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = evaluate.timeline(derived.log(spark, sf_dir), derived.ORDER)
+    return evaluate.slots(lines, evaluate.features(lines, derived.OFFERS, BITS))
+
+
+def debiased_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean reward of each arm and segment, weighted by inverse propensity, with the exposure."""
+    pairs = effective.paired(derived.log(spark, sf_dir), derived.ORDER, ["chosen", "propensity", "seg"]).where("effective")
+    weight = F.lit(1.0) / F.col("d_propensity")
+    per = pairs.groupBy(F.col("d_seg").alias("seg"), F.col("d_chosen").alias("chosen"))
+    return per.agg(F.count("*").alias("exposure"), F.round(F.sum(F.col("reward") * weight) / F.sum(weight), 9).alias("rate"))
+
+
+def expiry_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Share of effective resolutions that are expiries, by day."""
+    pairs = effective.paired(derived.log(spark, sf_dir), derived.ORDER, []).where("effective")
+    day = F.floor(F.col("t") / 86400).cast("bigint").alias("day")
+    return pairs.groupBy(day).agg(F.count("*").alias("n"), F.round(F.avg((F.col("kind") == "expired").cast("double")), 9).alias("expired"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f for f in (hash_ids, rng_units, logged_choices, encode_events, effective_resolutions, horizon_classes, evaluate_lattice, sweep_lattice, replay_slots, debiased_rates, expiry_rate)
+}
 
 
-def queries() -> dict:
-    return {}
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracle.sql(BITS, EPSILON)
