@@ -15,11 +15,10 @@
 4. Candidates are confirmed on full sets; confirmed links give components by
    large-star / small-star rounds.
 5. A star can miss a link between two of its leaves. Buckets that still hold
-   more than one component are opened again: members outside the centre's
-   component are paired with all members of other components, but for pairs
-   that set sizes or the triangle inequality of the Jaccard distance (both
-   distances to the centre are known) rule out. These are confirmed as well, so
-   no bucket mate over the threshold is lost, whatever the bucket's size.
+   more than one component are opened again. First by a second star around the
+   leaf nearest to the centre; then, for what is left, by an exact prefix-filter
+   join of the open leaves' sets, rarest shingle first. All candidates are
+   confirmed, so no bucket mate over the threshold is lost, whatever the bucket's size.
 
 Probability that a pair of similarity 0.8 meets in a bucket: 0.99999 with the
 default 30 bands of 5. Nothing is capped. All tables are written to the shared
@@ -245,10 +244,10 @@ def near_duplicates(docs: DataFrame, *, id: str = "doc_id", text: str = "text",
     links = first.where(_linked(percent)).select("a", "b")
     labels = written(components(links), "labels")
 
-    open_pairs = written(_between_leaves(star, first, labels, percent), "leaves")
-    if not open_pairs.isEmpty():
-        second = written(_confirmed(open_pairs, texts, words), "confirmed")
-        more = second.where(_linked(percent)).select("a", "b")
+    for candidates in (_second_star, _by_prefix):
+        if (pairs := candidates(star, first, labels, texts, words, percent)) is None:
+            break
+        more = written(_confirmed(pairs, texts, words), "confirmed").where(_linked(percent)).select("a", "b")
         labels = written(components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).union(more)), "labels")
 
     in_links = labels.withColumnRenamed("node", "k").join(classes.select("k", "id"), "k")
@@ -275,14 +274,62 @@ def _of_class(found: DataFrame, words: int) -> DataFrame:
     return found.mapInArrow(batches, "k binary, text string").dropDuplicates(["k"])
 
 
-def _between_leaves(star: DataFrame, confirmed: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """Pairs of leaves of one star that may be linked although they are in different components so far."""
+def _open_leaves(star: DataFrame, confirmed: DataFrame, labels: DataFrame) -> DataFrame | None:
+    """(bucket, a, b, d, la, lb) of the leaves in buckets that still hold more than one component; None if there is no such bucket."""
     label_of = lambda df, x, out: df.join(labels.select(F.col("node").alias(x), F.col("label").alias(out)), x, "left").withColumn(out, F.coalesce(out, x))
-    known = confirmed.select("a", "b", F.col("nb").alias("n"), (1 - F.col("common") / (F.col("na") + F.col("nb") - F.col("common"))).alias("d"))
-    known = written(label_of(label_of(known, "a", "la"), "b", "lb"), "distances")
-    leaves = star.join(known, ["a", "b"])
-    outside = leaves.where("la != lb").select("bucket", F.col("b").alias("x"), F.col("n").alias("nx"), F.col("d").alias("dx"), F.col("lb").alias("lx"))
-    inside = leaves.join(outside.select("bucket").distinct(), "bucket", "left_semi").select("bucket", F.col("b").alias("y"), F.col("n").alias("ny"), F.col("d").alias("dy"), F.col("lb").alias("ly"))
-    far = (100 - percent) / 100 + 1e-9
-    fits = (F.abs(F.col("dx") - F.col("dy")) <= far) & (F.least("nx", "ny") * 100 >= F.lit(percent) * F.greatest("nx", "ny"))
-    return outside.join(inside, (outside.bucket == inside.bucket) & (F.col("lx") != F.col("ly")) & fits).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    known = confirmed.select("a", "b", (1 - F.col("common") / (F.col("na") + F.col("nb") - F.col("common"))).alias("d"))
+    leaves = star.join(label_of(label_of(known, "a", "la"), "b", "lb"), ["a", "b"])
+    still = leaves.where("la != lb").select("bucket").distinct()
+    found = written(leaves.join(still, "bucket", "left_semi"), "open")
+    return None if found.isEmpty() else found
+
+
+def _second_star(star: DataFrame, confirmed: DataFrame, labels: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame | None:
+    """Pairs of a new centre, in each open bucket the leaf nearest to the first one, with the leaves of other components.
+
+    The nearest leaf tends to be the least altered text of its bucket, so most
+    members that the first centre, itself much altered, missed are linked by it.
+    """
+    leaves = _open_leaves(star, confirmed, labels)
+    if leaves is None:
+        return None
+    centres = leaves.groupBy("bucket").agg(F.min(F.struct("d", F.col("b").alias("y"), F.col("lb").alias("ly"))).alias("c")).select("bucket", "c.y", "c.ly")
+    return leaves.join(centres, "bucket").where("lb != ly").select(F.least("b", "y").alias("a"), F.greatest("b", "y").alias("b")).distinct()
+
+
+def _by_prefix(star: DataFrame, confirmed: DataFrame, labels: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame | None:
+    """All pairs of leaves of open buckets, in different components, that the exact prefix, length and position filters let pass.
+
+    Shingles are ordered by the number of open leaves that hold them, rarest
+    first. Two linked sets share a shingle within their first n - need + 1, where
+    need is what the smallest possible partner asks for. A text with many shingles
+    of its own thus meets nobody, and the work grows with the sizes of the sets.
+    """
+    from pyspark.sql import Window
+
+    leaves = _open_leaves(star, confirmed, labels)
+    if leaves is None:
+        return None
+    members = written(leaves.select(F.col("b").alias("k"), F.col("lb").alias("l"), (F.col("lb") != F.col("la")).alias("out")).groupBy("k", "l").agg(F.max("out").alias("out")), "members")
+
+    def batches(it: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in it:
+            for i in range(batch.num_rows):
+                s = shingles(batch.column(3)[i].as_py(), words)
+                of = np.full(len(s), i)
+                yield pa.RecordBatch.from_arrays([*(batch.column(j).take(pa.array(of)) for j in range(3)), pa.array(np.full(len(s), len(s))), pa.array(s.view(np.int64))], names=["k", "l", "out", "n", "s"])
+
+    sets = written(members.join(texts, "k").select("k", "l", "out", "text").mapInArrow(batches, "k binary, l binary, out boolean, n bigint, s bigint"), "sets")
+    held = sets.groupBy("s").agg(F.count("*").alias("f")).where("f > 1")
+    place = F.row_number().over(Window.partitionBy("k").orderBy(F.coalesce("f", F.lit(1)), "s")) - 1
+    ordered = sets.join(held, "s", "left").withColumn("i", place)
+    prefix = written(ordered.where((F.col("i") <= F.col("n") - F.ceil(F.col("n") * percent / 100)) & F.col("f").isNotNull()).select("k", "l", "out", "n", "s", "i"), "prefix")
+    x = prefix.where("out").select("s", *(F.col(c).alias(c + "x") for c in ("k", "l", "n", "i")))
+    y = prefix.select("s", *(F.col(c).alias(c + "y") for c in ("k", "l", "n", "i")))
+    need = F.ceil(F.lit(percent) * (F.col("nx") + F.col("ny")) / (100 + percent) - 1e-9)
+    room = 1 + F.least(F.col("nx") - F.col("ix"), F.col("ny") - F.col("iy")) - 1
+    fits = (F.col("lx") != F.col("ly")) & (F.least("nx", "ny") * 100 >= F.lit(percent) * F.greatest("nx", "ny")) & (room >= need)
+    return x.join(y, "s").where(fits).select(F.least("kx", "ky").alias("a"), F.greatest("kx", "ky").alias("b")).distinct()
