@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, langid, licenses, linededup, neardup, packing, quality, sharding, warc
+from . import bpe, decontaminate, langid, licenses, linededup, neardup, oracle, packing, quality, sharding, warc
 from .common import P, table
 
 
@@ -73,4 +73,4 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_language_id, op2_line_dedup, op3_pack_tokens, op4_quality_rules, op5_warc_revisits, op6_byte_bpe, op7_license_scan, op8_near_duplicates, op9_hilbert_shards, op10_decontaminate)}
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = oracle.ORACLE_SQL
