@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import hashing as H
-from ..operators import effective, evaluate
+from ..operators import effective, evaluate, metrics, online, verify
 from ..sources import derived
 from . import oracle
 
@@ -78,9 +78,79 @@ def expiry_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.groupBy(day).agg(F.count("*").alias("n"), F.round(F.avg((F.col("kind") == "expired").cast("double")), 9).alias("expired"))
 
 
+def verify_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings of a damaged log: resolutions of the derived log as lines, without their decisions, some of them malformed."""
+    told = derived.classified(derived.resolutions(derived.decisions(spark, sf_dir)))
+    line = F.to_json(F.struct(F.lit("resolution").alias("event"), "decision_id", "kind", "reward"))
+    lines = told.select((F.col("event_id") * 2 + F.col("report")).alias("line"), F.when(F.col("event_id") % 101 == 0, "{").otherwise(line).alias("value"))
+    return verify.verify(lines).select("line", "problem")
+
+
+def _user_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log with the user of each resolution, which is that of its event."""
+    log = derived.log(spark, sf_dir)
+    users = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "user_id")
+    return log.drop("user_id").join(users, "event_id")
+
+
+def per_user_evaluate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return online.evaluate_keyed(_user_log(spark, sf_dir), "user_id", derived.ORDER, derived.OFFERS, bits=BITS, epsilon=EPSILON, forgetfulness=0.999)
+
+
+def per_user_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return online.replay_keyed(_user_log(spark, sf_dir), "user_id", derived.ORDER, derived.OFFERS, bits=BITS, horizon=derived.HORIZON, forgetfulness=0.999)
+
+
+def replay_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rebuilt states of all users as a table of slots."""
+    return online.state_slots(per_user_replay(spark, sf_dir), "user_id")
+
+
+def slate_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return online.slates(per_user_replay(spark, sf_dir), "user_id", {"seg": "click", "hour": 12.0}, derived.OFFERS, 2)
+
+
+def online_learner(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return online.learn_keyed(online.with_outcomes(derived.decisions(spark, sf_dir)), "user_id", derived.OFFERS, bits=BITS, horizon=derived.HORIZON, epsilon=EPSILON)
+
+
+def byo_explore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The keyed learner with a caller's exploration: probabilities in proportion to exp(4 * estimate)."""
+    import math
+
+    def softmax(estimates, epsilon):
+        top = max(estimates)
+        weights = [math.exp(4 * (e - top)) for e in estimates]
+        return [w / sum(weights) for w in weights]
+
+    return online.learn_keyed(online.with_outcomes(derived.decisions(spark, sf_dir)), "user_id", derived.OFFERS, bits=BITS, horizon=derived.HORIZON, explore=softmax)
+
+
+def merged_logs_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Logs of even and odd days pooled in time order, resolutions of one poisoned segment removed, and the model rebuilt."""
+    log = derived.log(spark, sf_dir)
+    day = F.floor(F.col("t") / 86400) % 2
+    pooled = log.where(day == 0).unionByName(log.where(day == 1))
+    poisoned = pooled.where("event = 'decision' and seg = 'error'").select("decision_id")
+    told = pooled.where("event = 'resolution'").join(poisoned, "decision_id", "left_anti")
+    lines = evaluate.timeline(pooled.where("event = 'decision'").unionByName(told.select(*pooled.columns)), derived.ORDER)
+    return evaluate.slots(lines, evaluate.features(lines, derived.OFFERS, BITS))
+
+
+def sim_regret(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Median and quartiles of the battery's normalised regret, by world and policy."""
+    from ..sim import worlds
+
+    return metrics.median_iqr(worlds.regrets(worlds.battery(spark)), ["world", "policy"], "regret")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (hash_ids, rng_units, logged_choices, encode_events, effective_resolutions, horizon_classes, evaluate_lattice, sweep_lattice, replay_slots, debiased_rates, expiry_rate)
-}
+    f.__name__: f
+    for f in (
+        hash_ids, rng_units, logged_choices, encode_events, effective_resolutions, horizon_classes, verify_findings, evaluate_lattice, sweep_lattice, replay_slots,
+        merged_logs_replay, debiased_rates, expiry_rate, per_user_evaluate, per_user_replay, replay_states, slate_topk, online_learner, byo_explore, sim_regret,
+    )
+}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

