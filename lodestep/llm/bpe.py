@@ -27,6 +27,8 @@ from collections.abc import Iterable, Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from .common import by_place
+
 #: Characters with the Unicode property White_Space, as the split pattern's \s means them.
 SPACE = "\t-\r \x85\xa0  -     　"
 #: A run of white space and what follows up to the next: the split pattern never joins characters of two such chunks.
@@ -277,7 +279,7 @@ def _map(docs: DataFrame, text: str, rows, added: T.StructType) -> DataFrame:
             made = [pa.array(values, out.field(batch.num_columns + i).type) for i, values in enumerate(more)]
             yield pa.RecordBatch.from_arrays([*given, *made], schema=out)
 
-    return docs.mapInArrow(batches, schema)
+    return by_place(docs).mapInArrow(batches, schema)
 
 
 def encode_documents(docs: DataFrame, vocabulary: str, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:

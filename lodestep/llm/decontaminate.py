@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import quoted
+from .common import by_place, quoted
 
 MARKS = b".,;:!?\"()[]"
 MIN_WORDS = 5
@@ -287,7 +287,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, *, id: str = "doc_id", text: s
 
 def without_leaks(docs: DataFrame, items: DataFrame, *, text: str = "text", item_id: str = "item_id", item_text: str = "text", target_recall: float = 0.95, share: float = 0.2) -> DataFrame:
     """The rows of ``docs``, with all their columns, in which no item is found."""
-    at = docs.columns.index(text)
+    names, at = docs.columns, docs.columns.index(text)
 
     def keep(df: DataFrame, shared) -> DataFrame:
         def batches(it: Iterator) -> Iterator:
@@ -295,8 +295,9 @@ def without_leaks(docs: DataFrame, items: DataFrame, *, text: str = "text", item
 
             for batch in it:
                 hit = {n for n, *_ in shared.value.leaks(batch.column(at).to_pylist())}
-                yield batch.filter(pa.array([n not in hit for n in range(batch.num_rows)], pa.bool_()))
+                left = batch.filter(pa.array([n not in hit for n in range(batch.num_rows)], pa.bool_()))
+                yield pa.RecordBatch.from_arrays(left.columns, names=names)
 
-        return df.mapInArrow(batches, docs.schema)
+        return by_place(df).mapInArrow(batches, docs.schema)
 
     return reduce(keep, _blocks(items, item_id, item_text, target_recall, share), docs)

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import quoted
+from .common import by_place, quoted
 
 SAMPLE_ROWS, SAMPLE_CHARS, DICT_BYTES, BLOCK_CHARS, LEVEL = 256, 2000, 96 << 10, 4096, 6
 UND = "und"
@@ -106,7 +106,7 @@ def identify(docs: DataFrame, languages: dict[str, bytes], *, text: str = "text"
             given = [batch.column(i).cast(out.field(i).type) for i in range(batch.num_columns)]
             yield pa.RecordBatch.from_arrays([*given, *(pa.array(v, out.field(batch.num_columns + i).type) for i, v in enumerate(made))], schema=out)
 
-    return docs.mapInArrow(batches, schema)
+    return by_place(docs).mapInArrow(batches, schema)
 
 
 def held_out(doc_id: Column) -> Column:

@@ -37,7 +37,7 @@ from functools import lru_cache
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import quoted, written
+from .common import P, quoted, written
 
 SEED = 0x9E3779B97F4A7C15
 
@@ -223,9 +223,10 @@ def near_duplicates(docs: DataFrame, *, id: str = "doc_id", text: str = "text",
     similarity of at least ``percent`` hundredths; component_id is the least id
     that links reach; kept marks the document with that id.
     """
-    given = [id, *carry]
-    sketch = written(_sketched(docs.select(*(F.col(quoted(c)) for c in (*given, text))), given, words, bands, rows, percent), "sketch")
-    key = F.col(quoted(id))
+    given = [f"{P}{i}" for i in range(1 + len(carry))]  # a caller's names could be those used here
+    named = docs.select(*(F.col(quoted(c)).alias(g) for c, g in zip((id, *carry), given)), F.col(quoted(text)).alias("text"))
+    sketch = written(_sketched(named, given, words, bands, rows, percent), "sketch")
+    key = F.col(given[0])
     classes = written(sketch.where("n > 0").groupBy("k").agg(F.min(key).alias("id"), F.first("n").alias("n"), F.first("buckets").alias("buckets")), "classes")
 
     buckets = classes.select("k", F.explode("buckets").alias("bucket"))
@@ -236,7 +237,7 @@ def near_duplicates(docs: DataFrame, *, id: str = "doc_id", text: str = "text",
 
     # the text of one document of each class that stands in a candidate pair
     wanted = star.select("a").union(star.select("b")).distinct().select(F.col("a").alias("k")).join(classes.select("k", "id"), "k")
-    source = docs.select(key.alias("own"), F.col(quoted(text)).alias("text"))
+    source = named.select(key.alias("own"), "text")
     found = source.join(wanted, F.col("own").eqNullSafe(F.col("id"))).select("k", "text")
     texts = written(_of_class(found, words), "texts")
 
@@ -256,7 +257,7 @@ def near_duplicates(docs: DataFrame, *, id: str = "doc_id", text: str = "text",
     named = classes.select("k", "id").join(component, "k", "left").select("k", F.coalesce("component", "id").alias("component"))
     out = sketch.drop("buckets").join(named, "k", "left")
     component_id = F.when(F.col("n") > 0, F.col("component")).otherwise(key)
-    return out.select(*(F.col(quoted(c)) for c in given), F.col("n").alias("n_shingles"), component_id.alias("component_id"), key.eqNullSafe(component_id).alias("kept"))
+    return out.select(*(F.col(g).alias(c) for c, g in zip((id, *carry), given)), F.col("n").alias("n_shingles"), component_id.alias("component_id"), key.eqNullSafe(component_id).alias("kept"))
 
 
 def _of_class(found: DataFrame, words: int) -> DataFrame:
