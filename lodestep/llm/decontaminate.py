@@ -114,7 +114,7 @@ class Items:
             late = {c: int(draw.choice([s for s in range(0, max(12, 3 * c // 2), PERIOD) if s not in early])) for c in CLASSES}
             self.early.append(early)
             self.late.append({c: late[c] for c in present})
-        self.last_step = max((3 * c // 2 for c in present), default=0)
+        self.last_step = max([12, *(3 * c // 2 for c in present)])
         self.passes, self.tables = [], []
         for walk in range(self.walks):
             rows: dict[int, list] = {c: [] for c in present}
