@@ -67,7 +67,7 @@ def evaluate_keyed(log: DataFrame, key: str, order: list[str], offers, *, bits:
     def run(pdf):
         import pandas as pd
 
-        own = K.evaluate(list(_fold(pdf.sort_values(order), offers)), bits, epsilon, forgetfulness)
+        own = K.evaluate(_fold(pdf.sort_values(order), offers), bits, epsilon, forgetfulness)
         return pd.DataFrame([{key: pdf[key].iloc[0], **own}])
 
     return log.groupBy(key).applyInPandas(run, f"{_typed(log, key)}, {REPORT}")
@@ -80,15 +80,7 @@ def replay_keyed(log: DataFrame, key: str, order: list[str], offers, *, bits: in
     def run(pdf):
         import pandas as pd
 
-        bandit, pending = K.create(bits, horizon, 0.0, 0.05, forgetfulness), {}
-        for e in _fold(pdf.sort_values(order), offers):
-            if e[0] == "decision":
-                arm, action = offers[e[4]]
-                pending[e[1]] = K.encode(e[2], arm, action, bits)
-                bandit.next_seq = max(bandit.next_seq, K.seq_after(e[1]))
-            elif (features := pending.pop(e[1], None)) is not None:
-                bandit.model.update(features, e[2])
-                bandit.model_version += 1
+        bandit = K.replay(_fold(pdf.sort_values(order), offers), bits, horizon, forgetfulness)
         return pd.DataFrame([{key: pdf[key].iloc[0], "state": K.serialize(bandit), "model_version": bandit.model_version}])
 
     return log.groupBy(key).applyInPandas(run, f"{_typed(log, key)}, state string, model_version bigint")

@@ -186,3 +186,23 @@ def test_ranks(spark):
 def test_entry(spark):
     assert entry.entry(spark).count() == 1
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_cli(spark, tmp_path, capsys):
+    from lodestep import cli
+
+    lines, made = sample_log()
+    path = tmp_path / "log.jsonl"
+    path.write_text("\n".join(lines) + "\n")
+    df = spark.createDataFrame(list(enumerate(lines, 1)), "line long, value string")
+    (same,) = cli.sweep(df, [4], [0.1], [0.9])
+    assert same["ips"] == same["snips"] == same["logged_mean"] and same["ess"] == same["resolved"] == 5 and same["unresolved"] == 3
+    grid = cli.sweep(df, [3, 4], [0.1, 0.5], [1.0])
+    assert len(grid) == 4 and grid[3] == cli.sweep(df, [4], [0.5], [1.0])[0]
+    rebuilt = K.replay(cli.events(df), 4, 3600.0, 0.9, epsilon=0.1)
+    assert (rebuilt.model, rebuilt.next_seq, rebuilt.model_version) == (made.model, made.next_seq, made.model_version)
+    assert cli.main(["eval", str(path)]) == cli.main(["eval", str(path), "--bits", "x"]) == cli.main(["verify", str(path), "--no"]) == cli.main([]) == 2
+    assert "missing --bits" in capsys.readouterr().err
+    assert cli.table(grid).count("\n") == 5
+    with pytest.raises(ValueError, match="line 2: not valid JSON"):
+        list(cli.events(spark.createDataFrame([(1, lines[0]), (2, "{")], "line long, value string")))
