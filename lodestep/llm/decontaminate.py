@@ -14,6 +14,10 @@ several ``OFFSETS``, the windows that begin inside it: an edit that one sample
 meets, another one misses. Together they reach ``target_recall`` for passages with one
 word in ten edited.
 
+Items of fewer than ``WALK_WORDS`` words give a walk too few words to sample. They are
+found by pieces, without loss: of one piece more than the share allows edits, one piece at
+least is unedited, so every place of a piece in a text is a candidate.
+
 The random bits repeat every ``PERIOD`` steps. Then the pointers after PERIOD steps, of
 all windows of a batch at once, are one array, and any later multiple of it is
 that array applied to itself. Sampled steps are such multiples. Two early steps are
@@ -44,6 +48,9 @@ MARKS = b".,;:!?\"()[]"
 MIN_WORDS = 5
 PERIOD = 4
 SAMPLES = 3
+#: Shorter items are found by pieces, of which so many words at most are looked up.
+WALK_WORDS = 32
+PIECE_WORDS = 8
 #: Where items are entered, as shares of their length.
 OFFSETS = (0.0, 0.25, 0.5)
 LEAST_REST = 16
@@ -98,14 +105,17 @@ class Items:
         self.seeds = draw.integers(1 << 62, 1 << 63, (self.walks, 2), np.uint64) | np.uint64(1)
         self.factors = draw.integers(1 << 62, 1 << 63, SAMPLES, np.uint64) | np.uint64(1)
         self.distinct = [frozenset(w) for w in self.words]
+        self.piece_factors = draw.integers(1 << 62, 1 << 63, PIECE_WORDS, np.uint64) | np.uint64(1)
+        self.pieces = self._pieces()
         #: (item, offset, class, hashes from the offset on)
         entries = []
         for i, found in enumerate(self.words):
-            if len(found) >= MIN_WORDS:
+            if len(found) >= WALK_WORDS:
                 for offset in sorted({int(len(found) * o) for o in OFFSETS}):
                     if not offset or len(found) - offset >= LEAST_REST:
                         c = max(c for c in CLASSES if c <= len(found) - offset)
                         entries.append((i, offset, c, np.concatenate([hashed(found[offset:]), np.zeros(PAD, np.uint64)])))
+        self.walked = bool(entries)
         present = sorted({c for _, _, c, _ in entries})
         #: For each walk its two early steps, and for each class the third one.
         self.early, self.late = [], []
@@ -140,6 +150,51 @@ class Items:
         needed = ((embedded != 0).sum(1) + 1) // 2
         return np.array([r[0] for r in rows], np.uint64), np.array([r[1] for r in rows]), np.array([r[2] for r in rows]), beside, embedded, needed
 
+    def _pieces(self) -> dict[int, tuple]:
+        """For each number of words: a filter of keys, the keys of pieces in order, their items and places in them."""
+        import numpy as np
+
+        rows: dict[int, list] = {}
+        for i, found in enumerate(self.words):
+            n = len(found)
+            if MIN_WORDS <= n < WALK_WORDS:
+                pieces = min(int(self.share * n) + 1, n)
+                size = min(n // pieces, PIECE_WORDS)
+                keys = self.piece_keys(np.concatenate([hashed(found), np.zeros(PAD, np.uint64)]), [size])[size]
+                rows.setdefault(size, []).extend((int(keys[at]), i, at) for at in (j * n // pieces for j in range(pieces)))
+        out = {}
+        for size, of in rows.items():
+            of.sort()
+            known = np.array([r[0] for r in of], np.uint64)
+            passes = np.zeros(1 << 20, bool)
+            passes[(known >> np.uint64(44)).astype(np.int64)] = True
+            out[size] = passes, known, np.array([r[1] for r in of]), np.array([r[2] for r in of])
+        return out
+
+    def piece_keys(self, hashes, sizes) -> dict[int, object]:
+        """For each number of words, the keys of the runs of so many words from each word on."""
+        import numpy as np
+
+        n, out = len(hashes) - PAD, {}
+        key = np.zeros(n, np.uint64)
+        for i in range(max(sizes, default=0)):
+            key = key + hashes[i : i + n] * self.piece_factors[i]
+            if i + 1 in sizes:
+                out[i + 1] = key
+        return out
+
+    def piece_candidates(self, hashes) -> set[tuple[int, int]]:
+        """(start, item) of all windows of a text that hold a piece of a short item in its place."""
+        import numpy as np
+
+        out = set()
+        for size, keys in self.piece_keys(hashes, self.pieces).items():
+            passes, known, items, places = self.pieces[size]
+            near = np.flatnonzero(passes.take((keys >> np.uint64(44)).view(np.int64)))
+            at, row = matches(known, keys[near])
+            out.update(zip((near[at] - places[row]).tolist(), items[row].tolist()))
+        return out
+
     def pointers(self, hashes, walk: int) -> dict[int, object]:
         """For each multiple of PERIOD, where the walk from each word stands after so many steps."""
         import numpy as np
@@ -162,23 +217,19 @@ class Items:
         return first * self.factors[0] + hashes.take(pointers[b]) * self.factors[1]
 
     def candidates(self, hashes) -> set[tuple[int, int]]:
-        """(start, item) of all windows of a text that meet an item in some walk."""
+        """(start, item) of all windows of a text that hold a piece of a short item or meet an item in some walk."""
         import numpy as np
 
-        out = set()
-        for walk in range(self.walks):
+        out = self.piece_candidates(hashes)
+        for walk in range(self.walks if self.walked else 0):
             pointers = self.pointers(hashes, walk)
             half = self.early_key(hashes, pointers, walk)
             near = np.flatnonzero(self.passes[walk].take((half >> np.uint64(44)).view(np.int64)))
             half = half[near]
             for c, (known, items, offsets, beside, embedded, needed) in self.tables[walk].items():
                 keys = half + hashes.take(pointers[self.late[walk][c]].take(near)) * self.factors[2]
-                first = np.searchsorted(known, keys)
-                hit = np.flatnonzero(known.take(first, mode="clip") == keys)
-                first, last = first[hit], np.searchsorted(known, keys[hit], "right")
-                times = last - first
-                at = np.repeat(near[hit], times)
-                row = np.arange(len(at)) - np.repeat(np.cumsum(times) - times, times) + np.repeat(first, times)
+                at, row = matches(known, keys)
+                at = near[at]
                 # the embedding beside the sample: windows near the item agree at many of these steps too
                 agree = sum((hashes.take(pointers[s].take(at)) == embedded[row, i] for i, s in enumerate(beside)), np.zeros(len(at), np.int64))
                 good = agree >= needed[row]
@@ -234,6 +285,17 @@ class Items:
             yield from flush()
 
 
+def matches(known, keys):
+    """Pairs of places in ``keys`` and in the ordered ``known`` that hold the same key."""
+    import numpy as np
+
+    first = np.searchsorted(known, keys)
+    hit = np.flatnonzero(known.take(first, mode="clip") == keys)
+    first, last = first[hit], np.searchsorted(known, keys[hit], "right")
+    times = last - first
+    return np.repeat(hit, times), np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times) + np.repeat(first, times)
+
+
 def hashed(words: list[bytes]):
     """Numbers that stand for words in a walk. Equal numbers of unequal words only give candidates that don't hold."""
     from zlib import crc32

@@ -435,6 +435,22 @@ def test_leaks_edited_recall(spark, sf, docs):
     assert not any(d >= 1000 for d, _ in found)
 
 
+def hidden(draw, pool, words):
+    return " ".join([*draw.choices(pool, k=40), *words, *draw.choices(pool, k=40)])
+
+
+@pytest.mark.parametrize("edit", ["substituted", "deleted"])
+def test_leaks_first_word_edited(edit):
+    """Items of 5 to 31 words whose first word is another one or missing: every one is found."""
+    draw = random.Random(8)
+    pool = [f"w{i}" for i in range(5000)]
+    items = [draw.choices(pool, k=5 + i % 27) for i in range(270)]
+    block = decontaminate.Items(list(range(270)), [decontaminate.words_of(" ".join(w)) for w in items], 6, 0.2)
+    texts = [hidden(draw, pool, [*(["other"] if edit == "substituted" else []), *w[1:]]) for w in items]
+    found = {(n, i): edits for n, i, _, edits in block.leaks(texts)}
+    assert [i for i in range(270) if found.get((i, i)) != 1] == []
+
+
 def test_leaks_odd(spark, odd_extra, no_docs):
     from .conftest import PROSE
 
