@@ -5,14 +5,13 @@ step by a random bit drawn for the step and the word under the pointer. The word
 read at the steps are the embedding: sequences that few edits part agree at most
 steps, so edit distance becomes Hamming distance. Here every word of a document
 starts a walk, that is an item-sized window, and a walk's embedding is sampled at
-``SAMPLES`` steps (bit sampling). Windows whose sample equals an item's, and which
-agree at half of the steps beside it, are candidates; they are confirmed by the exact
-edit distance of the item to its best place near the window.
+``SAMPLES`` steps (bit sampling). Windows whose sample equals an item's are candidates;
+they are confirmed by the exact edit distance of the item to its best place near the window.
 
 This is repeated by independent walks, and within a walk by entering each item at
-several ``OFFSETS``, the windows that begin inside it: an edit that one sample
-meets, another one misses. Together they reach ``target_recall`` for passages with one
-word in ten edited.
+every ``STRIDE`` words, the windows that begin inside it: an edit that one sample
+meets, another one misses. Together they reach ``target_recall`` for passages with the
+whole ``share`` of their words edited.
 
 Items of fewer than ``WALK_WORDS`` words give a walk too few words to sample. They are
 found by pieces, without loss: of one piece more than the share allows edits, one piece at
@@ -20,9 +19,8 @@ least is unedited, so every place of a piece in a text is a candidate.
 
 The random bits repeat every ``PERIOD`` steps. Then the pointers after PERIOD steps, of
 all windows of a batch at once, are one array, and any later multiple of it is
-that array applied to itself. Sampled steps are such multiples. Two early steps are
-common to all items; only windows that pass these are looked at further, with a third
-step that depends on the class of the item's length.
+that array applied to itself. Sampled steps are such multiples. Only windows that pass
+two early steps are looked at further, with a third one. All three are drawn for each walk.
 
 Words are runs other than ASCII white space, A-Z lowered, without the marks in
 ``MARKS``. Defined results: null or empty texts and items hold nothing; an item of
@@ -51,27 +49,27 @@ SAMPLES = 3
 #: Shorter items are found by pieces, of which so many words at most are looked up.
 WALK_WORDS = 32
 PIECE_WORDS = 8
-#: Where items are entered, as shares of their length.
-OFFSETS = (0.0, 0.25, 0.5)
+#: Items are entered at every so many words, if so many are left.
+STRIDE = 4
 LEAST_REST = 16
-#: Lower ends of the classes of (remaining) lengths, in words.
-CLASSES = (5, 8, 16, 32, 64, 128)
+#: What is sampled: two early steps and one of the others.
+EARLY_STEPS, STEPS = (0, 4, 8, 12), (0, 4, 8, 12, 16, 20)
 BLOCK_BYTES = 16 << 20
 #: What a walk may read behind the last word.
 PAD = 256
 #: Words in a cache-sized block of the walk.
 BLOCK_WORDS = 1 << 15
-#: Share of the passages with a tenth of their words edited that a walk adds. Measured: 0.72 for one walk, 0.93 for three, 0.95 for four; walks are not independent, so less is counted on.
-ONE_WALK_RECALL = 0.42
+#: One entry of a walk finds a passage with a chance of (1 - share) to this power. Measured on items of WALK_WORDS words, the hardest: 3.9 at a share of 0.1, 4.7 at 0.2, 4.3 at 0.3.
+ENTRY_POWER = 4.7
 
 
 def words_of(text: str | None) -> list[bytes]:
     return text.encode().lower().translate(None, MARKS).split() if text else []
 
 
-def walks_for(target_recall: float) -> int:
-    """Independent walks that together find the target share."""
-    return max(1, math.ceil(math.log(1 - target_recall) / math.log(1 - ONE_WALK_RECALL)))
+def walks_for(target_recall: float, share: float) -> int:
+    """Walks that find the target share of passages with ``share`` of their words edited. Entries of one walk overlap, so only one of them is counted on."""
+    return max(1, math.ceil(math.log(1 - target_recall) / math.log(1 - (1 - share) ** ENTRY_POWER))) if share else 1
 
 
 def edits_at_best_place(item: list[bytes], window: list[bytes]) -> tuple[int, int]:
@@ -107,48 +105,28 @@ class Items:
         self.distinct = [frozenset(w) for w in self.words]
         self.piece_factors = draw.integers(1 << 62, 1 << 63, PIECE_WORDS, np.uint64) | np.uint64(1)
         self.pieces = self._pieces()
-        #: (item, offset, class, hashes from the offset on)
-        entries = []
-        for i, found in enumerate(self.words):
-            if len(found) >= WALK_WORDS:
-                for offset in sorted({int(len(found) * o) for o in OFFSETS}):
-                    if not offset or len(found) - offset >= LEAST_REST:
-                        c = max(c for c in CLASSES if c <= len(found) - offset)
-                        entries.append((i, offset, c, np.concatenate([hashed(found[offset:]), np.zeros(PAD, np.uint64)])))
-        self.walked = bool(entries)
-        present = sorted({c for _, _, c, _ in entries})
-        #: For each walk its two early steps, and for each class the third one.
+        #: For each walk its two early steps and its third one.
         self.early, self.late = [], []
         for _ in range(self.walks):
-            early = sorted(draw.choice((0, 4, 8), 2, replace=False).tolist())
-            late = {c: int(draw.choice([s for s in range(0, max(12, 3 * c // 2), PERIOD) if s not in early])) for c in CLASSES}
+            early = sorted(draw.choice(EARLY_STEPS, 2, replace=False).tolist())
             self.early.append(early)
-            self.late.append({c: late[c] for c in present})
-        self.last_step = max([12, *(3 * c // 2 for c in present)])
+            self.late.append(int(draw.choice([s for s in STEPS if s not in early])))
+        long = [(i, np.concatenate([hashed(w), np.zeros(PAD, np.uint64)])) for i, w in enumerate(self.words) if len(w) >= WALK_WORDS]
         self.passes, self.tables = [], []
-        for walk in range(self.walks):
-            rows: dict[int, list] = {c: [] for c in present}
+        for walk in range(self.walks if long else 0):
+            steps, found = [*self.early[walk], self.late[walk]], []
             first = np.zeros(1 << 20, bool)
-            for i, offset, c, hashes in entries:
-                steps = [*self.early[walk], self.late[walk][c]]
-                pointers, n = self.pointers(hashes, walk), len(hashes) - PAD
-                if all(pointers[s][0] < n for s in steps):
-                    half = self.early_key(hashes, pointers, walk)[:1]
-                    first[(half >> np.uint64(44)).astype(np.int64)] = True
-                    read = {s: hashes[at[0]] for s, at in pointers.items() if at[0] < n and s not in steps}
-                    rows[c].append((int((half + hashes[pointers[steps[2]][:1]] * self.factors[2])[0]), i, offset, read))
+            for i, hashes in long:
+                n = len(hashes) - PAD
+                pointers, enter = self.pointers(hashes, walk), np.arange(0, n - LEAST_REST + 1, STRIDE)
+                enter = enter[np.max([pointers[s][enter] for s in steps], axis=0) < n]
+                half = self.early_key(hashes, pointers, walk)[enter]
+                first[(half >> np.uint64(44)).astype(np.int64)] = True
+                found.append((half + hashes[pointers[steps[2]][enter]] * self.factors[2], np.full(len(enter), i), enter))
+            keys, items, offsets = (np.concatenate(of) for of in zip(*found))
+            order = np.lexsort((offsets, items, keys))
             self.passes.append(first)
-            self.tables.append({c: self._table(of) for c, of in rows.items() if of})
-
-    def _table(self, rows: list) -> tuple:
-        """Of a walk and class: the keys in order, their items and offsets, and the embeddings at the steps beside the sample."""
-        import numpy as np
-
-        rows.sort(key=lambda r: r[:3])
-        beside = sorted({s for *_, read in rows for s in read})
-        embedded = np.array([[read.get(s, np.uint64(0)) for s in beside] for *_, read in rows], np.uint64).reshape(len(rows), len(beside))
-        needed = ((embedded != 0).sum(1) + 1) // 2
-        return np.array([r[0] for r in rows], np.uint64), np.array([r[1] for r in rows]), np.array([r[2] for r in rows]), beside, embedded, needed
+            self.tables.append((keys[order], items[order], offsets[order]))
 
     def _pieces(self) -> dict[int, tuple]:
         """For each number of words: a filter of keys, the keys of pieces in order, their items and places in them."""
@@ -206,7 +184,7 @@ class Items:
         for step in range(PERIOD):
             at = at + (coins >> step & 1).take(at)
         jump, out = at, {0: start}
-        for step in range(PERIOD, self.last_step + 1, PERIOD):
+        for step in range(PERIOD, max(STEPS) + 1, PERIOD):
             out[step] = at
             at = jump.take(at)
         return out
@@ -221,20 +199,14 @@ class Items:
         import numpy as np
 
         out = self.piece_candidates(hashes)
-        for walk in range(self.walks if self.walked else 0):
+        for walk in range(len(self.tables)):
             pointers = self.pointers(hashes, walk)
             half = self.early_key(hashes, pointers, walk)
             near = np.flatnonzero(self.passes[walk].take((half >> np.uint64(44)).view(np.int64)))
             half = half[near]
-            for c, (known, items, offsets, beside, embedded, needed) in self.tables[walk].items():
-                keys = half + hashes.take(pointers[self.late[walk][c]].take(near)) * self.factors[2]
-                at, row = matches(known, keys)
-                at = near[at]
-                # the embedding beside the sample: windows near the item agree at many of these steps too
-                agree = sum((hashes.take(pointers[s].take(at)) == embedded[row, i] for i, s in enumerate(beside)), np.zeros(len(at), np.int64))
-                good = agree >= needed[row]
-                row = row[good]
-                out.update(zip((at[good] - offsets[row]).tolist(), items[row].tolist()))
+            known, items, offsets = self.tables[walk]
+            at, row = matches(known, half + hashes.take(pointers[self.late[walk]].take(near)) * self.factors[2])
+            out.update(zip((near[at] - offsets[row]).tolist(), items[row].tolist()))
         return out
 
     def confirm(self, words: list[bytes], start: int, item: int) -> tuple[int, int] | None:
@@ -314,7 +286,7 @@ def _blocks(items: DataFrame, id: str, text: str, target_recall: float, share: f
     part = F.pmod(F.xxhash64("id", "text"), F.lit(n))
     for block in range(n):
         rows = own.where(part == block).where("text is not null").collect()  # at most about BLOCK_BYTES
-        yield spark.sparkContext.broadcast(Items([r["id"] for r in rows], [words_of(r["text"]) for r in rows], walks_for(target_recall), share))
+        yield spark.sparkContext.broadcast(Items([r["id"] for r in rows], [words_of(r["text"]) for r in rows], walks_for(target_recall, share), share))
 
 
 def find_leaks(docs: DataFrame, items: DataFrame, *, id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", target_recall: float = 0.95, share: float = 0.2) -> DataFrame:

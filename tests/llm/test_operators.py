@@ -451,6 +451,24 @@ def test_leaks_first_word_edited(edit):
     assert [i for i in range(270) if found.get((i, i)) != 1] == []
 
 
+@pytest.mark.parametrize("least, most, floor", [(5, 7, 1), (8, 15, 1), (16, 20, 1), (21, 31, 1), (32, 36, 0.95), (37, 63, 0.95), (64, 128, 0.95), (200, 300, 0.95)])
+def test_leaks_recall_at_share(spark, least, most, floor):
+    """The shipped search finds the target share of passages with as many edits as are allowed, at every length."""
+    draw = random.Random(least)
+    pool = [f"w{i}" for i in range(20000)]
+    items = [draw.choices(pool, k=draw.randint(least, most)) for _ in range(200)]
+    docs = []
+    for i, own in enumerate(items):
+        words = list(own)
+        for at in sorted(draw.sample(range(len(own)), int(0.2 * len(own))), reverse=True):
+            kind = draw.randrange(3)
+            words[at : at + (kind < 2)] = [draw.choice(pool)] * (kind > 0)
+        docs.append((i, hidden(draw, pool, words)))
+    rows = [(i, " ".join(w)) for i, w in enumerate(items)]
+    leaks = decontaminate.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(rows, "item_id long, text string")).collect()
+    assert sum(r.doc_id == r.item_id for r in leaks) >= floor * len(items)
+
+
 def test_leaks_odd(spark, odd_extra, no_docs):
     from .conftest import PROSE
 
