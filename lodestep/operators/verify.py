@@ -1,8 +1,9 @@
 """Integrity findings of a decision log, as rows.
 
 The rules that need other lines (duplicates, unknown decisions, times that go back)
-are windows over ids and salts; those within a line are predicates. What needs
-the exact candidate encoding runs in Arrow batches, line by line, without state.
+are windows over ids and salts; those within a line are predicates. A log may have one
+salt, so the latest time of a salt is taken by chunks of lines, with chunk totals carried. What
+needs the exact candidate encoding runs in Arrow batches, line by line, without state.
 """
 
 from __future__ import annotations
@@ -14,7 +15,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import kernel as K
+from ..plans.shared import written
 
+CHUNK = 65_536
 _PARSED = "line bigint, event string, decision_id string, salt string, t double, kind string, reward double, bad_bits boolean, bad_chosen boolean, bad_propensity boolean, unencodable boolean, bad_hash boolean, bad_features boolean, error string"
 
 
@@ -87,15 +90,24 @@ def parsed(lines: DataFrame) -> DataFrame:
     return lines.select("line", "value").mapInPandas(batches, _PARSED)
 
 
-def verify(lines: DataFrame) -> DataFrame:
+def _with_latest(rows: DataFrame, counts, chunk: int) -> DataFrame:
+    """``rows`` with latest: the greatest t of the earlier lines of their salt that count."""
+    dealt = rows.withColumns({"chunk": F.floor(F.col("line") / chunk), "own": F.when(counts, F.col("t"))})
+    within = Window.partitionBy("salt", "chunk").orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy("salt").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    totals = dealt.where("salt is not null").groupBy("salt", "chunk").agg(F.max("own").alias("most"))
+    carried = totals.select("salt", "chunk", F.max("most").over(before).alias("carried"))
+    seen = dealt.withColumn("within", F.max("own").over(within)).join(carried, ["salt", "chunk"], "left")
+    return seen.withColumn("latest", F.greatest("within", "carried")).drop("chunk", "own", "within", "carried")
+
+
+def verify(lines: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """(line, at, problem) of every violation; ``at`` orders those of one line. Malformed lines are findings too."""
-    rows = parsed(lines)
+    rows = written(parsed(lines), "parsed")
     ids = Window.partitionBy("decision_id").orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
     decided = F.coalesce(F.max(F.when(F.col("event") == "decision", True)).over(ids), F.lit(False))
     stops = F.col("bad_bits") | F.col("bad_chosen") | F.col("unencodable")
-    salts = Window.partitionBy("salt").orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
-    latest = F.max(F.when(~stops, F.col("t"))).over(salts)
-    seen = rows.withColumns({"known": decided, "latest": latest})
+    seen = _with_latest(rows, ~stops, chunk).withColumn("known", decided)
     taken = F.coalesce(F.max(F.when((F.col("event") == "resolution") & F.col("known"), True)).over(ids), F.lit(False))
     seen = seen.withColumn("taken", taken)
     where = F.concat(F.lit("line "), F.col("line"))

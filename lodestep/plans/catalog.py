@@ -86,6 +86,11 @@ def verify_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verify.verify(lines).select("line", "problem")
 
 
+def verify_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings of the whole derived log, decisions and resolutions as lines, a fixed share of them damaged in each way."""
+    return verify.verify(derived.damaged_lines(derived.log(spark, sf_dir), BITS)).select("line", "at", "problem")
+
+
 def _user_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The log with the user of each resolution, which is that of its event."""
     log = derived.log(spark, sf_dir)
@@ -147,7 +152,7 @@ def sim_regret(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        hash_ids, rng_units, logged_choices, encode_events, effective_resolutions, horizon_classes, verify_findings, evaluate_lattice, sweep_lattice, replay_slots,
+        hash_ids, rng_units, logged_choices, encode_events, effective_resolutions, horizon_classes, verify_findings, verify_log, evaluate_lattice, sweep_lattice, replay_slots,
         merged_logs_replay, debiased_rates, expiry_rate, per_user_evaluate, per_user_replay, replay_states, slate_topk, online_learner, byo_explore, sim_regret,
     )
 }

@@ -8,10 +8,14 @@ horizon, twice, or never, by fixed rules.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import hashing as H
+from ..functions import kernel as K
+from ..plans.ranking import in_order
 
 SALT, HORIZON = "ev", 3600.0
 #: Offers: arm and its action features.
@@ -57,3 +61,61 @@ def log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORDER = ["t", "kind_order", "event_id", "report"]
+
+#: One event in so many has each kind of damage; which kind is told by the remainder.
+DAMAGED = 211
+#: Decisions with these remainders are changed in one field; those with the last one are logged twice.
+DECISION_DAMAGE = ("bits", "chosen", "propensity", "hash", "features", "context", "json", "shape", "t", "twice")
+#: Resolutions with the remainders that follow. Second resolutions are in the log already.
+RESOLUTION_DAMAGE = ("kind", "reward", "json", "object", "event", "shape")
+
+
+def damaged_lines(log: DataFrame, bits: int) -> DataFrame:
+    """(line, value): the log as JSON lines in its order, some lines damaged in place."""
+    last = F.lit(len(DECISION_DAMAGE) - 1)
+    twice = log.where((F.col("event") == "decision") & (F.col("event_id") % DAMAGED == last)).withColumn("copy", F.lit(1))
+    ordered = in_order(log.withColumn("copy", F.lit(0)).unionByName(twice), [*ORDER, "copy"], "place")
+
+    def batches(it: Iterator) -> Iterator:
+        import pandas as pd
+
+        encoded: dict = {}
+        for pdf in it:
+            rows = [(r.place + 1, _line(r, bits, encoded)) for r in pdf.itertuples(index=False)]
+            yield pd.DataFrame(rows, columns=["line", "value"])
+
+    return ordered.select("place", "event", "event_id", "decision_id", "t", "seg", "hour", "chosen", "propensity", "kind", "reward").mapInPandas(batches, "line bigint, value string")
+
+
+def _line(r, bits: int, encoded: dict) -> str:
+    """A row of the log as a line, damaged as its event's remainder says."""
+    import json
+
+    from .logfile import decision_line, resolution_line
+
+    kinds = dict(enumerate(DECISION_DAMAGE)) if r.event == "decision" else dict(enumerate(RESOLUTION_DAMAGE, len(DECISION_DAMAGE)))
+    damage = kinds.get(r.event_id % DAMAGED)
+    if damage == "json":
+        return "{"
+    if r.event == "resolution":
+        x = json.loads(resolution_line(K.Resolution(r.decision_id, r.kind, float(r.reward))))
+        if damage == "object":
+            return "[]"
+        x |= {"kind": {"kind": "lost"}, "reward": {"reward": None}, "event": {"event": "other"}, "shape": {"kind": 1}}.get(damage, {})
+        return json.dumps(x, separators=(",", ":"))
+    key = r.seg, r.hour
+    if key not in encoded:
+        context = {name: v for name, v in (("seg", r.seg), ("hour", r.hour)) if v is not None and v == v}
+        made = [K.encode(context, arm, action, bits) for arm, action in OFFERS]
+        encoded[key] = context, made, K.candidate_hash(made, 1 << bits)
+    context, made, own = encoded[key]
+    chosen = int(r.chosen)
+    whole = decision_line(K.Decision(r.decision_id, float(r.t), own, chosen, tuple(made[chosen]), float(r.propensity), 0, SALT), bits, context, OFFERS)
+    if damage in (None, "twice"):
+        return whole
+    x = json.loads(whole)
+    x |= {"bits": {"bits": K.MAX_BITS + 1}, "context": {"context": {"seg": []}}, "shape": {"candidates": None}}.get(damage, {})
+    changed = {"chosen": len(OFFERS), "propensity": 0.0, "hash": own ^ 1, "features": made[chosen][1:], "t": float(r.t) - 86_400.0}
+    if damage in changed:
+        x["record"]["candidate_hash" if damage == "hash" else damage] = changed[damage]
+    return json.dumps(x, separators=(",", ":"))

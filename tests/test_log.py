@@ -76,6 +76,73 @@ def test_field_findings(spark):
     ]
 
 
+def findings_by_hand(lines):
+    """The rules of the log, one line after the other; what one line shows by itself is told by the batch parser."""
+    known, taken, latest, out = set(), set(), {}, []
+    for n, text in lines:
+        try:
+            x = verify.parse_line(text)
+        except ValueError as error:
+            out.append(f"line {n}: {error}")
+            continue
+        if x["event"] == "decision":
+            r, id = x["record"], x["record"]["decision_id"]
+            of = f"line {n}: decision {id}: "
+            if id in known:
+                out.append(f"line {n}: duplicate decision id '{id}'")
+            known.add(id)
+            if not 1 <= x["bits"] <= 24:
+                out.append(of + "bits must be between 1 and 24")
+                continue
+            if not 0 <= r["chosen"] < len(x["candidates"]):
+                out.append(of + "chosen index out of range")
+                continue
+            if not 0 < r["propensity"] <= 1:
+                out.append(of + "propensity must be in (0, 1]")
+            try:
+                made = [K.encode(x["context"], arm, action, x["bits"]) for arm, action in x["candidates"]]
+            except ValueError:
+                out.append(of + "candidates failed to encode")
+                continue
+            if K.candidate_hash(made, 1 << x["bits"]) != r["candidate_hash"]:
+                out.append(of + "candidates do not match the logged candidate_hash")
+            if [list(f) for f in made[r["chosen"]]] != r["features"]:
+                out.append(of + "chosen features do not match the logged candidates")
+            if r["t"] < latest.get(r["salt"], r["t"]):
+                out.append(of + f"t decreases within salt '{r['salt']}'")
+            latest[r["salt"]] = max(r["t"], latest.get(r["salt"], r["t"]))
+        elif (id := x["decision_id"]) not in known:
+            out.append(f"line {n}: resolution for unknown decision '{id}'")
+        elif id in taken:
+            out.append(f"line {n}: second resolution for decision '{id}'")
+        else:
+            taken.add(id)
+            if x["kind"] not in ("rewarded", "expired"):
+                out.append(f"line {n}: resolution for {id}: unknown kind '{x['kind']}'")
+            elif x["reward"] is None:
+                out.append(f"line {n}: resolution for {id}: reward must be a finite number")
+    return out
+
+
+def test_whole_log_is_verified(spark, sf):
+    """Decisions and resolutions, with damage of every kind: each rule finds something, and all findings are those of a plain fold."""
+    lines = derived.damaged_lines(derived.log(spark, sf), catalog.BITS).collect()
+    expected = findings_by_hand(sorted((r.line, r.value) for r in lines))
+    assert len(lines) == derived.log(spark, sf).count() + sum(i % derived.DAMAGED == 9 for i in (r.event_id for r in derived.decisions(spark, sf).collect()))
+    got = [r.problem for r in entry.queries()["verify_log"](spark, sf).orderBy("line", "at").collect()]
+    assert got == expected
+    rules = ("not valid JSON", "not an object", "unknown event", "malformed resolution", "malformed decision", "duplicate decision id", "bits must", "chosen index", "propensity must", "failed to encode",
+        "logged candidate_hash", "chosen features", "t decreases", "unknown decision", "second resolution", "unknown kind", "reward must")
+    assert [x for x in rules if not any(x in p for p in got)] == []
+
+
+@pytest.mark.parametrize("chunk", [1, 7, 65_536])
+def test_latest_time_is_carried_over_chunks(spark, sf, chunk):
+    lines = derived.damaged_lines(derived.log(spark, sf), catalog.BITS)
+    found = verify.verify(lines, chunk)
+    assert [r.problem for r in found.orderBy("line", "at").collect()] == findings_by_hand(sorted((r.line, r.value) for r in lines.collect()))
+
+
 @pytest.mark.parametrize("packed", [False, True])
 def test_files(spark, tmp_path, packed):
     lines = [f"line {i}" if i % 7 else "" for i in range(5000)]
