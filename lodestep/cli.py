@@ -1,20 +1,20 @@
 """``python -m lodestep.cli``: verify, eval, sweep and replay of a JSON-lines log.
 
-Exit codes: 0 done, 1 the log has problems, 2 the call is wrong. The log is read
-and checked by Spark; a fold over one unkeyed log is sequential by nature and takes the
-lines from an ordered iterator, holding only open decisions. A sweep feeds all
-configurations in one pass.
+Exit codes: 0 done, 1 the log has problems, 2 the call is wrong. The log is read, checked and
+folded by Spark; reports and findings come back, a sweep's configurations share one pass.
 """
 
 from __future__ import annotations
 
 import sys
-from collections.abc import Iterator
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame
 
 from .functions import kernel as K
+from .operators import evaluate as E
 from .operators import verify as V
+from .sources import logfile
 
 #: Flags of each command with their types; the first group is required.
 FLAGS = {
@@ -29,32 +29,10 @@ class Usage(Exception):
     """A wrong call."""
 
 
-def events(lines: DataFrame) -> Iterator[tuple]:
-    """The events of (line, value) in line order; the first malformed line that is reached raises."""
-    for row in lines.orderBy("line").toLocalIterator():
-        if not row.value.strip():
-            continue
-        try:
-            x = V.parse_line(row.value)
-            if x["event"] == "resolution":
-                if x["reward"] is None:
-                    raise ValueError("reward must be a finite number")
-                yield "resolution", x["decision_id"], float(x["reward"])
-            else:
-                r = x["record"]
-                if not 0 <= r["chosen"] < len(x["candidates"]):
-                    raise ValueError("chosen index out of range")
-                yield "decision", r["decision_id"], x["context"], [tuple(c) for c in x["candidates"]], r["chosen"], r["propensity"]
-        except ValueError as error:
-            raise ValueError(f"line {row.line}: {error}") from error
-
-
-def sweep(lines: DataFrame, bits: list[int], epsilons: list[float], forgetting: list[float]) -> list[dict]:
-    grid = [K.Evaluation(b, e, f) for b in bits for e in epsilons for f in forgetting]
-    for event in events(lines):
-        for own in grid:
-            own.feed(event)
-    return [{"bits": g.bits, "epsilon": g.epsilon, "forgetfulness": g.model.forgetting, **g.report()} for g in grid]
+def sweep(events: DataFrame, bits: list[int], epsilons: list[float], forgetting: list[float]) -> list[dict]:
+    """The report of every configuration, in the order in which they are named."""
+    rows = E.evaluate(events, ["line"], bits=bits, epsilons=epsilons, forgetting=forgetting, strict=True).collect()  # a row for each configuration
+    return [r.asDict() for r in sorted(rows, key=lambda r: (bits.index(r.bits), epsilons.index(r.epsilon), forgetting.index(r.forgetfulness)))]
 
 
 def parse(args: list[str]) -> tuple[str, str, dict, bool]:
@@ -99,27 +77,33 @@ def main(args: list[str]) -> int:
         print(error, file=sys.stderr)
         return 2
     from .session import local_session
-    from .sources.logfile import read_log
-
-    lines = read_log(local_session(name="cli"), path)
-    if command == "verify" or hard:
-        problems = [r.problem for r in V.verify(lines).orderBy("line", "at").toLocalIterator()]
-        if problems or command == "verify":
-            print("\n".join(problems) or "no problems")
-            return int(bool(problems))
+
+    lines = logfile.read_log(local_session(name="cli"), path)
     one = lambda name, default: flags.get(name, [default])
     epsilons, forgetting = one("epsilon", K.DEFAULTS["epsilon"]), one("forgetfulness", K.DEFAULTS["forgetting"])
     try:
+        if command == "verify" or hard:
+            problems = [r.problem for r in V.verify(lines).orderBy("line", "at").toLocalIterator()]
+            print("\n".join(problems), file=sys.stdout if command == "verify" else sys.stderr, end="\n" if problems else "")
+            if command == "verify":
+                n = {r["event"]: r["n"] for r in logfile.log_counts(logfile.typed(lines)).collect()}  # two rows, three with bad lines
+                print(f"{n.get('decision', 0)} decisions, {n.get('resolution', 0)} resolutions, {len(problems)} problem(s)")
+            if problems or command == "verify":
+                return int(bool(problems))
+        events = logfile.parse_log(lines)
         if command == "replay":
-            state = K.replay(events(lines), flags["bits"][0], flags["horizon"][0], forgetting[0], one("default-reward", 0.0)[0], epsilons[0])
-            print(K.serialize(state))
+            state = E.replay(events, ["line"], bits=flags["bits"][0], horizon=flags["horizon"][0], forgetting=forgetting[0], default_reward=one("default-reward", 0.0)[0], epsilon=epsilons[0], strict=True).first()
+            print(state.state)
             print(f"{state.model_version} resolutions absorbed", file=sys.stderr)
         else:
-            rows = sweep(lines, flags["bits"], epsilons, forgetting)
-            print(table(rows) if command == "sweep" else "\n".join(f"{k}: {v}" for k, v in rows[0].items()))
+            rows = sweep(events, flags["bits"], epsilons, forgetting)
+            print(table(rows) if command == "sweep" else "\n".join(f"{k}: {'n/a' if v is None else v}" for k, v in rows[0].items()))
     except ValueError as error:
         print(error, file=sys.stderr)
         return 1
+    except PySparkException as error:  # what a plan itself refuses
+        print(str(error).split("SQLSTATE")[0].strip(), file=sys.stderr)
+        return 1
     return 0
 
 

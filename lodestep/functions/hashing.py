@@ -31,15 +31,14 @@ def wrapping(spark: SparkSession):
 
 
 def _bytes(c: Column) -> Column:
-    """The bytes of a binary column as BIGINTs."""
-    digits = F.hex(c)
-    return F.transform(F.sequence(F.lit(0), F.octet_length(c) - 1), lambda i: F.conv(F.substring(digits, i * 2 + 1, F.lit(2)), 16, 10).cast("bigint"))
+    """The bytes of a binary column: read as Latin-1, each byte is the character of its number."""
+    return F.split(F.decode(c, "ISO-8859-1"), "")
 
 
 def fnv1a_64(c: Column, start: Column | None = None) -> Column:
     """Fold of a binary column; ``start`` goes on from an earlier fold."""
     start = F.lit(signed(K.FNV_OFFSET)) if start is None else start
-    folded = F.aggregate(_bytes(c), start, lambda h, b: h.bitwiseXOR(b) * F.lit(K.FNV_PRIME))
+    folded = F.aggregate(_bytes(c), start, lambda h, b: h.bitwiseXOR(F.ascii(b).cast("bigint")) * F.lit(K.FNV_PRIME))
     return F.when(F.octet_length(c) == 0, start).otherwise(folded)
 
 
@@ -52,9 +51,10 @@ def mix64(x: Column) -> Column:
 def derive_key(decision_id: Column, salt: Column) -> Column:
     """Key of a decision's draws. The id's length goes before it, as 8 bytes from the lowest."""
     own = decision_id.cast("binary")
-    length = F.lpad(F.hex(F.octet_length(own)), 16, "0")
-    turned = F.concat(*(F.substring(length, 15 - 2 * i, 2) for i in range(8)))
-    return fnv1a_64(F.concat(F.unhex(turned), own, salt.cast("binary")))
+    start, length = F.lit(signed(K.FNV_OFFSET)), F.octet_length(own).cast("bigint")
+    for i in range(8):
+        start = start.bitwiseXOR(F.shiftrightunsigned(length, 8 * i).bitwiseAND(F.lit(255))) * F.lit(K.FNV_PRIME)
+    return fnv1a_64(F.concat(own, salt.cast("binary")), start)
 
 
 def random_u64(key: Column, counter: Column | int) -> Column:
@@ -66,8 +66,17 @@ def random_unit(key: Column, counter: Column | int) -> Column:
     return F.shiftrightunsigned(random_u64(key, counter), 11).cast("double") * F.lit(2.0**-53)
 
 
+def begun(left: Column) -> Column:
+    """The fold of a left token and the separator, from which all its pairs go on."""
+    return fnv1a_64(F.concat(left.cast("binary"), F.lit(K.SEPARATOR)))
+
+
 def pair_hash(left: Column, right: Column) -> Column:
-    return mix64(fnv1a_64(F.concat(left.cast("binary"), F.lit(K.SEPARATOR), right.cast("binary"))))
+    return pair_hash_from(begun(left), right)
+
+
+def pair_hash_from(start: Column, right: Column) -> Column:
+    return mix64(fnv1a_64(right.cast("binary"), start))
 
 
 def hex64(x: Column) -> Column:

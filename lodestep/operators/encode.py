@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import hashing as H
 from ..functions import kernel as K
+from ..plans.shared import written
 
 
 def action_tokens(arm: str, action: dict) -> list[tuple[str, float]]:
@@ -38,8 +39,15 @@ def encoded(rows: DataFrame, keys: list[str], context: Column, offers, bits: int
     pairs = pairs.select(*keys, "cand", F.posexplode("ctx").alias("i", "l"), "act").select(*keys, "cand", "i", "l", F.posexplode("act").alias("j", "r"))
     pairs = pairs.select(*keys, "cand", (F.col("i") * 1000 + F.col("j")).alias("at"), F.col("l.tok").alias("lt"), F.col("r.tok").alias("rt"), (F.col("l.w") * F.col("r.w")).alias("w"))
     with H.wrapping(rows.sparkSession):
-        hashes = pairs.select("lt", "rt").distinct().withColumn("h", H.pair_hash(F.col("lt"), F.col("rt")))
+        lefts = pairs.select("lt").distinct().withColumn("begun", H.begun(F.col("lt")))
+        hashes = pairs.select("lt", "rt").distinct().join(lefts, "lt").select("lt", "rt", H.pair_hash_from(F.col("begun"), F.col("rt")).alias("h"))
     value = F.when(F.col("h") < 0, -F.col("w")).otherwise(F.col("w"))
     placed = pairs.join(hashes, ["lt", "rt"]).select(*keys, "cand", F.col("h").bitwiseAND(F.lit((1 << bits) - 1)).cast("int").alias("slot"), "at", value.alias("v"))
     total = F.aggregate(F.array_sort(F.collect_list(F.struct("at", "v"))), F.lit(0.0), lambda a, x: a + x["v"])
     return placed.groupBy(*keys, "cand", "slot").agg(total.alias("v")).where("v <> 0")
+
+
+def features(made: DataFrame, offers, bits: int) -> DataFrame:
+    """(seg, hour, cand, slot, v) of each distinct context of decisions and candidate. Written once."""
+    contexts = made.select("seg", "hour").distinct()
+    return written(encoded(contexts, ["seg", "hour"], context_tokens({"seg": F.col("seg")}, {"hour": F.col("hour")}), offers, bits), "features")

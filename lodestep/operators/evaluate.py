@@ -1,101 +1,143 @@
-"""Progressive off-policy evaluation and model rebuilding as one batch plan.
-
-Training data comes from the log and every coordinate of the model is independent, so
-the model as of a decision is, for each slot, a running sum over the updates before it.
-The sums are taken per slot and chunk of the update order, chunks are carried by
-their totals, and equal probes of a slot are made once: the slot that every row touches
-is dealt over as many tasks as there are chunks. This form is for forgetfulness 1,
-where the log's numbers make all sums exact; with forgetting, order matters to
-the last bit and ``online`` folds each key's log in order.
+"""Progressive off-policy evaluation, sweeps and model rebuilding over any ordered log.
+
+A log has the columns ``event`` ('decision' or 'resolution'), ``decision_id``, for decisions
+``context`` (a JSON object), ``offers`` (a JSON list of [arm, action]), ``taken`` (the list of the
+chosen one alone), ``chosen`` and ``propensity``, for resolutions ``kind`` and ``reward``, and columns
+that order it. With a ``key`` each key's log is evaluated by itself.
+
+Training data comes from the log, never from the evaluated policy's own choices, so the
+model as of any place can be rebuilt independently (``fold``). All configurations of a grid
+share one ordering, one pairing and one pass over the chunks.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from itertools import product
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import kernel as K
 from ..plans.ranking import in_order
 from ..plans.shared import written
+from . import fold
 from .effective import paired
-from .encode import context_tokens, encoded
-
-CHUNK = 65_536
-
-
-def timeline(log: DataFrame, order: list[str]) -> DataFrame:
-    """The log with pos, n (effective resolutions before the row) and the decision that each resolution closes. Written once."""
-    pairs = paired(log, order, ["event_id", "seg", "hour", "chosen", "propensity"])
-    return in_order(pairs, order, "pos", {"n": F.col("effective")})
-
-
-def features(lines: DataFrame, offers, bits: int) -> DataFrame:
-    """(seg, hour, cand, slot, v) of each distinct context and candidate."""
-    contexts = lines.where("event = 'decision'").select("seg", "hour").distinct()
-    return written(encoded(contexts, ["seg", "hour"], context_tokens({"seg": F.col("seg")}, {"hour": F.col("hour")}), offers, bits), "features")
-
-
-def updates(lines: DataFrame, feats: DataFrame) -> DataFrame:
-    """(slot, u, dxx, dxy) of each effective resolution and slot of its chosen candidate."""
-    done = lines.where("effective").select(F.col("n").alias("u"), "reward", F.col("d_seg").alias("seg"), F.col("d_hour").alias("hour"), F.col("d_chosen").alias("cand"))
-    same = done.seg.eqNullSafe(feats.seg) & done.hour.eqNullSafe(feats.hour) & (done.cand == feats.cand)
-    return done.join(feats, same).select("slot", "u", (F.col("v") * F.col("v")).alias("dxx"), (F.col("reward") * F.col("v")).alias("dxy"))
-
-
-def slots(lines: DataFrame, feats: DataFrame) -> DataFrame:
-    """(slot, xx, xy): the model after the whole log."""
-    return updates(lines, feats).groupBy("slot").agg(F.sum("dxx").alias("xx"), F.sum("dxy").alias("xy"))
-
-
-def estimates(lines: DataFrame, feats: DataFrame, chunk: int = CHUNK) -> DataFrame:
-    """(event_id, cand, estimate) of every candidate of every decision, by the model as of the decision."""
-    made = lines.where("event = 'decision'").select("event_id", "n", "seg", "hour")
-    same = made.seg.eqNullSafe(feats.seg) & made.hour.eqNullSafe(feats.hour)
-    asked = made.join(feats, same).select("event_id", "n", "cand", "slot", "v")
-    up = updates(lines, feats).select("slot", F.expr(f"u div {chunk}").alias("chunk"), (F.col("u") * 2 + 1).alias("at"), "dxx", "dxy")
-    probe = asked.select("slot", "n").distinct().select("slot", F.expr(f"n div {chunk}").alias("chunk"), (F.col("n") * 2).alias("at"), F.lit(0.0).alias("dxx"), F.lit(0.0).alias("dxy"))
-    both = written(up.unionByName(probe), "sums")
-    carried = Window.partitionBy("slot").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    totals = both.groupBy("slot", "chunk").agg(F.sum("dxx").alias("tx"), F.sum("dxy").alias("ty"))
-    base = totals.select("slot", "chunk", *(F.coalesce(F.sum(t).over(carried), F.lit(0.0)).alias(b) for t, b in (("tx", "bx"), ("ty", "by"))))
-    within = Window.partitionBy("slot", "chunk").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
-    state = both.select("slot", "chunk", "at", F.sum("dxx").over(within).alias("wx"), F.sum("dxy").over(within).alias("wy")).where("at % 2 = 0").join(base, ["slot", "chunk"])
-    state = state.select("slot", F.expr("at div 2").alias("n"), (F.col("wx") + F.col("bx")).alias("xx"), (F.col("wy") + F.col("by")).alias("xy"))
-    term = F.col("v") * (F.col("xy") * (F.lit(1.0) / (F.col("xx") + F.lit(1.0))))
-    total = F.aggregate(F.array_sort(F.collect_list(F.struct("slot", term.alias("t")))), F.lit(0.0), lambda a, x: a + x["t"])
-    return asked.join(state, ["slot", "n"]).groupBy("event_id", "cand").agg(total.alias("estimate"))
-
-
-def weighted(lines: DataFrame, scored: DataFrame, epsilons: list[float]) -> DataFrame:
-    """(epsilon, event_id, w, reward) of each effective resolution: probability of the logged choice over its propensity."""
-    per = scored.groupBy("event_id").agg(F.map_from_entries(F.collect_list(F.struct("cand", "estimate"))).alias("e"))
-    per = per.select("event_id", "e", F.array_max(F.map_values("e")).alias("best"), F.size("e").alias("k"))
-    per = per.withColumn("ties", F.size(F.filter(F.map_values("e"), lambda x: x == F.col("best"))))
-    done = lines.where("effective").select(F.col("d_event_id").alias("event_id"), F.col("d_chosen").alias("chosen"), F.col("d_propensity").alias("propensity"), "reward")
-    rows = done.join(per, "event_id").withColumn("epsilon", F.explode(F.array(*map(F.lit, epsilons))))
-    uniform = F.col("epsilon") / F.col("k")
-    p = F.when(F.element_at("e", F.col("chosen")) == F.col("best"), uniform + (F.lit(1.0) - F.col("epsilon")) / F.col("ties")).otherwise(uniform)
-    return rows.select("epsilon", "event_id", (p / F.col("propensity")).alias("w"), "reward")
-
-
-def report(lines: DataFrame, weights: DataFrame, digits: int = 9) -> DataFrame:
-    """One row an epsilon: counts and estimates, null without resolutions. Sums are decimal, so they don't depend on the order."""
-    exact = lambda c: F.sum(c.cast("decimal(38,18)")).cast("double")
-    w, r = F.col("w"), F.col("reward")
-    sums = weights.groupBy("epsilon").agg(F.count("*").alias("resolved"), exact(r).alias("r"), exact(w).alias("s"), exact(w * r).alias("sr"), exact(w * w).alias("ss"), F.max("w").alias("top"))
-    counts = lines.agg(F.sum((F.col("event") == "decision").cast("long")).alias("decisions"), F.sum(F.col("open").cast("long")).alias("unresolved"))
-    rounded = lambda c: F.round(c, digits)
-    joined = sums.join(F.broadcast(counts), F.col("resolved") >= 0)  # one row of counts
+
+KINDS = ("rewarded", "expired")
+EVENTS = ("chunk", "pos", "event", "context", "offers", "chosen", "propensity", "target", "reward")
+
+
+class Timeline:
+    """A log in order with each resolution paired to the decision it closes. Written once; everything else reads it."""
+
+    def __init__(self, log: DataFrame, order: list[str], key: str | None = None, chunk: int = fold.CHUNK):
+        keyed = log.withColumn("key", F.col(key) if key else F.lit(0))
+        placed = in_order(keyed, (["key"] if key else []) + order, "pos")
+        pairs = paired(placed, ["pos"], ["context", "taken"], ["key"])
+        rows = pairs.select(
+            "key", "pos", F.expr(f"pos div {chunk}").alias("chunk"), "event", "decision_id", "effective", "open", "chosen", "propensity", "kind",
+            F.when(F.col("event") == "decision", F.when(F.col("next_event") == "resolution", F.col("next_pos"))).alias("target"),
+            F.coalesce("context", F.when(F.col("effective"), F.col("d_context"))).alias("context"),
+            F.coalesce("offers", F.when(F.col("effective"), F.col("d_taken"))).alias("offers"),
+            F.when(F.col("event") == "decision", F.col("next_reward")).otherwise(F.col("reward")).alias("reward"),
+            *(F.col(c) for c in ("line", "unsupported") if c in log.columns),
+        )
+        self.rows, self.chunk = written(rows, "timeline"), chunk
+
+    def refuse(self, propensities: bool = True) -> None:
+        """Raise what is wrong with the first line that can't be evaluated. ``parse_log`` has done so for malformed lines."""
+        line = F.col("line") if "line" in self.rows.columns else F.col("pos") + 1
+        finite = F.col("reward").isNotNull() & ~F.isnan("reward") & (F.abs("reward") != float("inf"))
+        at = F.col("event") == "decision"
+        none = F.get_json_object("offers", "$[0]").isNull()
+        wrong = F.when(at & none & propensities, "need at least one candidate").when(at & F.col("chosen").isNull(), "chosen index out of range")
+        if propensities:
+            wrong = wrong.when(at & ~((F.col("propensity") > 0) & (F.col("propensity") <= 1)), "propensity must be in (0, 1]")
+        if "unsupported" in self.rows.columns:
+            wrong = wrong.when(F.col("unsupported").isNotNull(), F.col("unsupported"))
+        wrong = wrong.when(F.col("effective") & ~F.col("kind").isin(*KINDS), "unknown resolution kind").when(F.col("effective") & ~finite, "reward must be a finite number")
+        first = self.rows.select(line.alias("line"), wrong.alias("wrong")).where("wrong is not null").agg(F.min(F.struct("line", "wrong")).alias("x")).first()["x"]
+        if first is not None:
+            raise ValueError(f"line {first['line']}: {first['wrong']}")
+
+    def events(self, decisions: bool) -> DataFrame:
+        """Updates, and decisions that are resolved later: an open one weighs nothing."""
+        kinds = F.when(F.col("effective"), "update").when(F.col("target").isNotNull() & F.lit(decisions), "decision")
+        return self.rows.withColumn("event", kinds).where("event is not null").select("key", *EVENTS)
+
+
+def _ordered(by: Column | str, values: list[str], start: Column, step) -> Column:
+    """Fold of the rows of a group in the order of ``by``."""
+    return F.aggregate(F.array_sort(F.collect_list(F.struct(by, *values))), start, step)
+
+
+def _sums(per: DataFrame, groups: list[str], chunk: int) -> DataFrame:
+    """Sums in log order: within chunks, then over them."""
+    zero = F.struct(F.lit(0).cast("bigint").alias("n"), *(F.lit(0.0).alias(c) for c in ("r", "s", "sr", "ss", "top")))
+
+    def one(a, x):
+        w, r = x["w"], x["reward"]
+        return F.struct((a["n"] + 1).alias("n"), (a["r"] + r).alias("r"), (a["s"] + w).alias("s"), (a["sr"] + w * r).alias("sr"), (a["ss"] + w * w).alias("ss"), F.greatest(a["top"], w).alias("top"))
+
+    def many(a, x):
+        return F.struct(*((a[c] + x["x"][c]).alias(c) for c in ("n", "r", "s", "sr", "ss")), F.greatest(a["top"], x["x"]["top"]).alias("top"))
+
+    parts = per.groupBy(*groups, F.expr(f"target div {chunk}").alias("part")).agg(_ordered("target", ["w", "reward"], zero, one).alias("x"))
+    return parts.groupBy(*groups).agg(_ordered("part", ["x"], zero, many).alias("x"))
+
+
+def evaluate(log: DataFrame, order: list[str], *, bits: list[int], epsilons: list[float], forgetting: list[float], key: str | None = None, digits: int | None = None, chunk: int = fold.CHUNK, strict: bool = False) -> DataFrame:
+    """One row for each (key,) bits, epsilon and forgetfulness: counts and estimates; estimates are null without resolutions.
+
+    ``strict`` raises at the first line that can't be evaluated; a log of one's own making needs no such pass.
+    """
+    for b in bits:
+        K.check_bits(b)
+    grid = list(product(bits, forgetting))
+    configs = [(m, e) for m in range(len(grid)) for e in epsilons]
+    for m, e in configs:
+        K.Bandit(K.Model(1 << grid[m][0], grid[m][1]), 1.0, epsilon=e)  # refuses what is out of range
+    lines = Timeline(log, order, key, chunk)
+    if strict:
+        lines.refuse()
+    events = lines.events(True)
+    carry = fold.carry_rows(events, fold.chunk_counts(events), grid)
+    sums = _sums(fold.weights(events, carry, grid, configs), ["key", "config"], chunk)
+    counts = lines.rows.groupBy("key").agg(F.sum((F.col("event") == "decision").cast("bigint")).alias("decisions"), F.sum(F.col("open").cast("bigint")).alias("unresolved"))
+    if not key:  # an empty log has its row too
+        counts = lines.rows.agg(F.lit(0).alias("key"), F.coalesce(F.sum((F.col("event") == "decision").cast("bigint")), F.lit(0)).alias("decisions"), F.coalesce(F.sum(F.col("open").cast("bigint")), F.lit(0)).alias("unresolved"))
+    asked = [F.struct(F.lit(i).alias("config"), F.lit(grid[m][0]).alias("bits"), F.lit(e).alias("epsilon"), F.lit(grid[m][1]).alias("forgetfulness")) for i, (m, e) in enumerate(configs)]
+    every = counts.select("key", "decisions", "unresolved", F.explode(F.array(*asked)).alias("c")).select("key", "decisions", "unresolved", "c.*")
+    found = sums.select(F.col("key").alias("_key"), F.col("config").alias("_config"), "x.*")
+    joined = every.join(found, every.key.eqNullSafe(found._key) & (F.col("config") == F.col("_config")), "left")
+    shown = lambda c: c if digits is None else F.round(c, digits)
+    n = F.col("n")
     return joined.select(
-        "epsilon", "decisions", "resolved", "unresolved", rounded(F.col("r") / F.col("resolved")).alias("logged_mean"), rounded(F.col("sr") / F.col("resolved")).alias("ips"),
-        rounded(F.when(F.col("s") > 0, F.col("sr") / F.col("s"))).alias("snips"), rounded(F.when(F.col("ss") > 0, F.col("s") * F.col("s") / F.col("ss"))).alias("ess"), rounded(F.col("top")).alias("max_weight"),
+        *([F.col("key").alias(key)] if key else []), "bits", "epsilon", "forgetfulness", "decisions", F.coalesce(n, F.lit(0).cast("bigint")).alias("resolved"), "unresolved",
+        shown(F.col("r") / n).alias("logged_mean"), shown(F.col("sr") / n).alias("ips"), shown(F.when(F.col("s") > 0, F.col("sr") / F.col("s"))).alias("snips"),
+        shown(F.when(F.col("ss") > 0, F.col("s") * F.col("s") / F.col("ss"))).alias("ess"), shown(F.col("top")).alias("max_weight"),
     )
 
 
-def evaluate(log: DataFrame, order: list[str], offers, bits: list[int], epsilons: list[float], digits: int = 9) -> DataFrame:
-    """One row for each bits and epsilon. The log is ordered once, features and model sums are shared by all epsilons."""
-    lines, out = timeline(log, order), None
-    for b in bits:
-        scored = estimates(lines, features(lines, offers, b))
-        one = report(lines, weighted(lines, scored, epsilons), digits).select(F.lit(b).alias("bits"), "*")
-        out = one if out is None else out.unionByName(one)
-    return out
+def replay(log: DataFrame, order: list[str], *, bits: int, horizon: float, forgetting: float = K.DEFAULTS["forgetting"], default_reward: float = 0.0, epsilon: float = K.DEFAULTS["epsilon"], key: str | None = None, chunk: int = fold.CHUNK, strict: bool = False) -> DataFrame:
+    """One row for each key (or one): state as hex, next_seq, model_version. Logged choices and rewards, no draws, an empty ledger."""
+    K.create(bits, horizon, default_reward, epsilon, forgetting)  # refuses what is out of range
+    lines = Timeline(log, order, key, chunk)
+    if strict:
+        lines.refuse(propensities=False)
+    events = lines.events(False)
+    counts = fold.chunk_counts(events)
+    model = bits, forgetting
+    seq = F.regexp_extract("decision_id", "[^:]*$", 0)
+    valid = seq.rlike("^[0-9]{1,20}$") & (F.when(seq.rlike("^[0-9]{1,20}$"), seq).cast("decimal(20,0)") < F.lit(str(K.MASK)).cast("decimal(20,0)"))
+    after = F.when(valid, seq.cast("decimal(20,0)") + 1).otherwise(F.raise_error(F.concat(F.lit("malformed decision id '"), F.col("decision_id"), F.lit("'"))).cast("decimal(20,0)"))
+    per = [F.max(F.when(F.col("event") == "decision", after)).alias("s"), F.sum(F.col("effective").cast("bigint")).alias("u")]
+    heads = lines.rows.groupBy("key").agg(*per) if key else lines.rows.agg(F.lit(0).alias("key"), *per)
+    heads = heads.select("key", F.coalesce(F.col("s").cast("decimal(20,0)").cast("string"), F.lit("0")).alias("next_seq"), F.coalesce("u", F.lit(0)).cast("bigint").alias("updates"))
+    out = fold.states(events, fold.carry_rows(events, counts, [model]), counts, heads, model, horizon, default_reward, epsilon)
+    return out.withColumnRenamed("key", key) if key else out.drop("key")
+
+
+def running_mean(rows: DataFrame, by: list[str], order: list[str], value: str, size: int) -> Column:
+    """Column: mean of ``value`` over the last ``size`` rows of each group, this one included."""
+    return F.avg(value).over(Window.partitionBy(*by).orderBy(*order).rowsBetween(1 - size, 0))

@@ -2,31 +2,48 @@
 
 from __future__ import annotations
 
+import math
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import DoubleType
+
+
+@pandas_udf(DoubleType())
+def exact_sum(values: pd.Series) -> float:
+    """Aggregate: the sum of a group's doubles, rounded once. Doesn't depend on their order. A group is one run, in one task."""
+    return math.fsum(values.dropna())
 
 
-def normalized_regret(regret: Column, normalizer: Column) -> Column:
-    """Aggregate: regret as a share of what a uniform choice would have lost; 0 where that is 0."""
-    total = F.sum(normalizer)
-    return F.when(total == 0, 0.0).otherwise(F.sum(regret) / total)
+@pandas_udf(DoubleType())
+def normalized_regret(regret: pd.Series, normalizer: pd.Series) -> float:
+    """Aggregate: regret as a share of what a uniform choice would have lost, both summed exactly; 0 where that is 0."""
+    unit = math.fsum(normalizer)
+    return math.fsum(regret) / unit if unit else 0.0
 
 
-def final_window(runs: DataFrame, by: list[str], share: float = 0.2) -> DataFrame:
+def final_window(runs: DataFrame, by: list[str], share: float = 0.1) -> DataFrame:
     """The last max(1, floor(n * share)) rounds of each run."""
+    if not 0 < share <= 1:
+        raise ValueError("share must be in (0, 1]")
     n = F.count("*").over(Window.partitionBy(*by))
     return runs.withColumn("_n", n).where(F.col("t") >= F.col("_n") - F.greatest(F.lit(1), F.floor(F.col("_n") * share))).drop("_n")
 
 
-def recovery_time(runs: DataFrame, by: list[str], event: int, window: int, share: float) -> DataFrame:
-    """(by, recovered): first round from ``event`` on whose forward window earns the share of the best; null if none."""
+def recovery_time(runs: DataFrame, by: list[str], event: int, window: int = 100, share: float = 0.9) -> DataFrame:
+    """(by, recovered): rounds from ``event`` to the first whose forward window earns the share of the best; null if none does."""
+    if window < 1:
+        raise ValueError("window must be at least one round")
     ahead = Window.partitionBy(*by).orderBy("t").rowsBetween(0, window - 1)
     earned, best, full = F.avg(F.col("best") - F.col("regret")).over(ahead), F.avg("best").over(ahead), F.count("*").over(ahead) == window
     found = runs.select(*by, "t", (full & (F.col("t") >= event) & (earned >= share * best)).alias("ok"))
-    return found.groupBy(*by).agg(F.min(F.when(F.col("ok"), F.col("t"))).alias("recovered"))
+    return found.groupBy(*by).agg((F.min(F.when(F.col("ok"), F.col("t"))) - event).alias("recovered"))
 
 
 def rmse(squared_error: Column) -> Column:
+    """Aggregate: null where there is no error, that is without a model."""
     return F.sqrt(F.avg(squared_error))
 
 

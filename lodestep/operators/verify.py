@@ -8,7 +8,6 @@ needs the exact candidate encoding runs in Arrow batches, line by line, without
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, Window
@@ -16,43 +15,12 @@ from pyspark.sql import functions as F
 
 from ..functions import kernel as K
 from ..plans.shared import written
+from ..sources.logfile import parse_line
 
 CHUNK = 65_536
 _PARSED = "line bigint, event string, decision_id string, salt string, t double, kind string, reward double, bad_bits boolean, bad_chosen boolean, bad_propensity boolean, unencodable boolean, bad_hash boolean, bad_features boolean, error string"
 
 
-def _number(x) -> bool:
-    return isinstance(x, (int, float)) and not isinstance(x, bool)
-
-
-def _whole(x) -> bool:
-    return isinstance(x, int) and not isinstance(x, bool)
-
-
-def parse_line(text: str) -> dict:
-    """A log line as typed fields; ValueError says what is malformed."""
-    try:
-        x = json.loads(text)
-    except ValueError as error:
-        raise ValueError("not valid JSON") from error
-    if not isinstance(x, dict):
-        raise ValueError("not an object")
-    if x.get("event") == "resolution":
-        if not isinstance(x.get("decision_id"), str) or not isinstance(x.get("kind"), str) or "reward" not in x or not (x["reward"] is None or _number(x["reward"])):
-            raise ValueError("malformed resolution")
-        return x
-    if x.get("event") != "decision":
-        raise ValueError("unknown event")
-    r = x.get("record")
-    fits = isinstance(r, dict) and _whole(x.get("bits")) and isinstance(x.get("context"), dict) and isinstance(x.get("candidates"), list)
-    fits = fits and all(isinstance(c, list) and len(c) == 2 and isinstance(c[0], str) and isinstance(c[1], dict) for c in x["candidates"])
-    fits = fits and isinstance(r.get("decision_id"), str) and isinstance(r.get("salt"), str) and _number(r.get("t")) and _number(r.get("propensity"))
-    fits = fits and all(_whole(r.get(k)) for k in ("candidate_hash", "chosen", "model_version")) and isinstance(r.get("features"), list)
-    if not fits or not all(isinstance(f, list) and len(f) == 2 and _whole(f[0]) and _number(f[1]) for f in r["features"]):
-        raise ValueError("malformed decision")
-    return x
-
-
 def _checked(line: int, text: str) -> tuple:
     try:
         x = parse_line(text)

@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import hashing as H
-from ..operators import effective, evaluate, metrics, online, verify
-from ..sources import derived
+from ..operators import effective, encode, evaluate, metrics, online, verify
+from ..sim import battery, worlds
+from ..sources import derived, logfile
 from . import oracle
+from .shared import written
 
 FLAGSHIP = "evaluate_lattice"
-BITS, EPSILON = 6, 0.1
+BITS, EPSILON, FORGETTING = 6, 0.1, 0.999
 
 
 def hash_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,8 +37,8 @@ def logged_choices(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def encode_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = derived.decisions(spark, sf_dir).withColumn("event", F.lit("decision"))
-    feats = evaluate.features(made, derived.OFFERS, BITS)
+    made = derived.decisions(spark, sf_dir)
+    feats = encode.features(made, derived.OFFERS, BITS)
     same = made.seg.eqNullSafe(feats.seg) & made.hour.eqNullSafe(feats.hour)
     return made.join(feats, same).select("event_id", "cand", "slot", "v")
 
@@ -51,16 +54,50 @@ def horizon_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def evaluate_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evaluate.evaluate(derived.log(spark, sf_dir), derived.ORDER, derived.OFFERS, [BITS], [EPSILON])
+    """One configuration that never forgets: all sums are exact."""
+    return evaluate.evaluate(derived.log(spark, sf_dir), derived.ORDER, bits=[BITS], epsilons=[EPSILON], forgetting=[1.0], digits=6)
+
+
+def evaluate_forget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with forgetting, over the whole log."""
+    return evaluate.evaluate(derived.log(spark, sf_dir), derived.ORDER, bits=[BITS], epsilons=[EPSILON], forgetting=[FORGETTING], digits=6)
 
 
 def sweep_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evaluate.evaluate(derived.log(spark, sf_dir), derived.ORDER, derived.OFFERS, [4, 8], [0.05, 0.2, 1.0], 4)
+    """Twelve configurations in one pass."""
+    return evaluate.evaluate(derived.log(spark, sf_dir), derived.ORDER, bits=[4, 8], epsilons=[0.05, 0.2, 1.0], forgetting=[1.0, FORGETTING], digits=4)
+
+
+def ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the engine would earn without the feature hour."""
+    log = derived.log(spark, sf_dir).withColumn("context", F.when(F.col("context").isNotNull(), F.to_json(F.struct("seg"))))
+    return evaluate.evaluate(log, derived.ORDER, bits=[BITS], epsilons=[EPSILON], forgetting=[1.0], digits=6)
+
+
+def _slots(states: DataFrame) -> DataFrame:
+    return online.state_slots(states.withColumn("one", F.lit(0)), "one").select("slot", "xx", "xy")
 
 
 def replay_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = evaluate.timeline(derived.log(spark, sf_dir), derived.ORDER)
-    return evaluate.slots(lines, evaluate.features(lines, derived.OFFERS, BITS))
+    return _slots(evaluate.replay(derived.log(spark, sf_dir), derived.ORDER, bits=BITS, horizon=derived.HORIZON, forgetting=1.0))
+
+
+def replay_forget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rebuilt state with forgetting: next sequence number, absorbed resolutions and true sums by slot."""
+    state = written(evaluate.replay(derived.log(spark, sf_dir), derived.ORDER, bits=BITS, horizon=derived.HORIZON, forgetting=FORGETTING), "state")
+    slots = _slots(state).select("slot", F.round("xx", 6).alias("xx"), F.round("xy", 6).alias("xy"))
+    return slots.join(state.select(F.col("next_seq").cast("bigint").alias("next_seq"), "model_version"))  # one row
+
+
+def log_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return logfile.log_counts(derived.log(spark, sf_dir))
+
+
+def rolling_reward(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean reward of each user's last hundred effective resolutions, at each of them."""
+    done = effective.paired(derived.log(spark, sf_dir), derived.ORDER, []).where("effective")
+    mean = evaluate.running_mean(done, ["user_id"], derived.ORDER, "reward", 100)
+    return done.select("event_id", "user_id", "report", F.round(mean, 9).alias("mean"))
 
 
 def debiased_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,56 +115,51 @@ def expiry_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.groupBy(day).agg(F.count("*").alias("n"), F.round(F.avg((F.col("kind") == "expired").cast("double")), 9).alias("expired"))
 
 
-def verify_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Findings of a damaged log: resolutions of the derived log as lines, without their decisions, some of them malformed."""
-    told = derived.classified(derived.resolutions(derived.decisions(spark, sf_dir)))
-    line = F.to_json(F.struct(F.lit("resolution").alias("event"), "decision_id", "kind", "reward"))
-    lines = told.select((F.col("event_id") * 2 + F.col("report")).alias("line"), F.when(F.col("event_id") % 101 == 0, "{").otherwise(line).alias("value"))
-    return verify.verify(lines).select("line", "problem")
-
-
 def verify_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Findings of the whole derived log, decisions and resolutions as lines, a fixed share of them damaged in each way."""
     return verify.verify(derived.damaged_lines(derived.log(spark, sf_dir), BITS)).select("line", "at", "problem")
 
 
-def _user_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The log with the user of each resolution, which is that of its event."""
-    log = derived.log(spark, sf_dir)
-    users = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "user_id")
-    return log.drop("user_id").join(users, "event_id")
+def verify_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each line's findings occur: the report by rule."""
+    rule = F.regexp_replace(F.regexp_replace("problem", "^line [0-9]+: ", ""), "ev:[0-9]+", "ID")
+    return verify_log(spark, sf_dir).groupBy(rule.alias("problem")).agg(F.count("*").alias("n"), F.min("line").alias("first_line"))
 
 
 def per_user_evaluate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return online.evaluate_keyed(_user_log(spark, sf_dir), "user_id", derived.ORDER, derived.OFFERS, bits=BITS, epsilon=EPSILON, forgetfulness=0.999)
+    return evaluate.evaluate(derived.log(spark, sf_dir), derived.ORDER, bits=[BITS], epsilons=[EPSILON], forgetting=[FORGETTING], key="user_id", digits=6)
 
 
 def per_user_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return online.replay_keyed(_user_log(spark, sf_dir), "user_id", derived.ORDER, derived.OFFERS, bits=BITS, horizon=derived.HORIZON, forgetfulness=0.999)
+    return evaluate.replay(derived.log(spark, sf_dir), derived.ORDER, bits=BITS, horizon=derived.HORIZON, forgetting=FORGETTING, key="user_id")
 
 
 def replay_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rebuilt states of all users as a table of slots."""
-    return online.state_slots(per_user_replay(spark, sf_dir), "user_id")
+    return online.state_slots(per_user_replay(spark, sf_dir), "user_id").select("user_id", "slot", F.round("xx", 6).alias("xx"), F.round("xy", 6).alias("xy"))
 
 
 def slate_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return online.slates(per_user_replay(spark, sf_dir), "user_id", {"seg": "click", "hour": 12.0}, derived.OFFERS, 2)
 
 
+def preview_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every user's state would do now, without doing it."""
+    return online.previews(per_user_replay(spark, sf_dir), "user_id", {"seg": "click", "hour": 12.0}, derived.OFFERS).withColumns({"estimate": F.round("estimate", 6), "probability": F.round("probability", 6)})
+
+
 def online_learner(spark: SparkSession, sf_dir: str) -> DataFrame:
     return online.learn_keyed(online.with_outcomes(derived.decisions(spark, sf_dir)), "user_id", derived.OFFERS, bits=BITS, horizon=derived.HORIZON, epsilon=EPSILON)
 
 
-def byo_explore(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The keyed learner with a caller's exploration: probabilities in proportion to exp(4 * estimate)."""
-    import math
+def softmax(estimates: list[float], epsilon: float) -> list[float]:
+    """Probabilities in proportion to exp(4 * estimate)."""
+    weights = [math.exp(4 * (e - max(estimates))) for e in estimates]
+    return [w / sum(weights) for w in weights]
 
-    def softmax(estimates, epsilon):
-        top = max(estimates)
-        weights = [math.exp(4 * (e - top)) for e in estimates]
-        return [w / sum(weights) for w in weights]
 
+def byo_explore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The keyed learner with a caller's exploration."""
     return online.learn_keyed(online.with_outcomes(derived.decisions(spark, sf_dir)), "user_id", derived.OFFERS, bits=BITS, horizon=derived.HORIZON, explore=softmax)
 
 
@@ -138,22 +170,32 @@ def merged_logs_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     pooled = log.where(day == 0).unionByName(log.where(day == 1))
     poisoned = pooled.where("event = 'decision' and seg = 'error'").select("decision_id")
     told = pooled.where("event = 'resolution'").join(poisoned, "decision_id", "left_anti")
-    lines = evaluate.timeline(pooled.where("event = 'decision'").unionByName(told.select(*pooled.columns)), derived.ORDER)
-    return evaluate.slots(lines, evaluate.features(lines, derived.OFFERS, BITS))
+    clean = pooled.where("event = 'decision'").unionByName(told.select(*pooled.columns))
+    return _slots(evaluate.replay(clean, derived.ORDER, bits=BITS, horizon=derived.HORIZON, forgetting=1.0))
 
 
 def sim_regret(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Median and quartiles of the battery's normalised regret, by world and policy."""
-    from ..sim import worlds
+    """Median and quartiles of the battery's normalised regret, by world and policy. Reads no table: rounds are made from seeds."""
+    runs = battery.battery(spark, worlds.SHORT, seeds=3, rounds=600)
+    return metrics.median_iqr(battery.regrets(runs), ["world", "policy"], "regret")
+
+
+def sim_epsilon_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How each epsilon of the engine would do as a default over the battery's worlds."""
+    return battery.epsilon_sweep(spark, worlds.SHORT, [0.01, 0.05, 0.1, 0.2, 0.3], seeds=3, rounds=400)
+
 
-    return metrics.median_iqr(worlds.regrets(worlds.battery(spark)), ["world", "policy"], "regret")
+def sim_oracle_uniform(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Normalised regret of the uniform policy, and the best mean reward, by world and seed."""
+    per = battery.blind_rounds(spark, seeds=4, rounds=600).groupBy("world", "seed")
+    return per.agg(F.round(F.sum("best") / F.count("*"), 9).alias("oracle_reward"), F.round(F.sum("regret") / F.sum("normalizer"), 9).alias("uniform_regret"), F.sum("chosen").alias("choices"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        hash_ids, rng_units, logged_choices, encode_events, effective_resolutions, horizon_classes, verify_findings, verify_log, evaluate_lattice, sweep_lattice, replay_slots,
-        merged_logs_replay, debiased_rates, expiry_rate, per_user_evaluate, per_user_replay, replay_states, slate_topk, online_learner, byo_explore, sim_regret,
+        hash_ids, rng_units, logged_choices, encode_events, effective_resolutions, horizon_classes, log_counts, verify_findings, verify_log, evaluate_lattice, evaluate_forget, sweep_lattice, ablation,
+        replay_slots, replay_forget, merged_logs_replay, debiased_rates, expiry_rate, rolling_reward, per_user_evaluate, preview_states, per_user_replay, replay_states, slate_topk, online_learner, byo_explore, sim_regret, sim_epsilon_sweep, sim_oracle_uniform,
     )
 }
 
@@ -163,4 +205,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return oracle.sql(BITS, EPSILON)
+    return oracle.sql(BITS, EPSILON, FORGETTING)

@@ -5,7 +5,7 @@ from __future__ import annotations
 M = "18446744073709551616::UHUGEINT"
 FNV = f"list_reduce(list_concat([14695981039346656037::UHUGEINT], {{bytes}}), lambda h, b: (xor(h, b) * 1099511628211::UHUGEINT) % {M})"
 #: Offers: number, then the right-hand tokens in order with their weights.
-RIGHT = {0: [("", 1), ("a|price", 3), ("i|basic", 1)], 1: [("", 1), ("a|price", 9), ("a|trial", 1), ("i|plus", 1)], 2: [("", 1), ("i|free", 1)]}
+RIGHT = {0: [("", 1), ("a|cost", 2), ("a|fresh", 1), ("i|north", 1)], 1: [("", 1), ("i|east", 1)], 2: [("", 1), ("a|cost", 5), ("i|south", 1)]}
 
 
 def _chars(text: str) -> str:
@@ -37,58 +37,131 @@ def units(n: int) -> str:
     return ", ".join(steps)
 
 
-LOG = f"""with {units(1)},
+def log(by: str = "", clean: bool = False) -> str:
+    """CTEs dec, res, pair and line: the log with n, the effective resolutions (of the same ``by``) before each row. ``clean`` leaves out resolutions of one segment."""
+    of = f"partition by {by} " if by else ""
+    left = " where decision_id not in (select decision_id from dec where seg = 'error')" if clean else ""
+    return f"""with {units(1)},
 third as (select 1::DOUBLE / 3::DOUBLE as p),
 dec as (select e.event_id, e.user_id, 'ev:' || e.event_id as decision_id, epoch_us(e.ts)::DOUBLE / 1000000::DOUBLE as t, e.event_type as seg, hour(e.ts)::DOUBLE as hour,
     case when u0 < p then 0 when u0 < p + p then 1 else 2 end as chosen, p as propensity from events e join d0 using (event_id), third),
-one as (select event_id, decision_id, 0 as report, t + (event_id * 37 % 5000) as t, t as t0, ((event_id * 7 + chosen * 3) % 4)::DOUBLE / 4::DOUBLE as reward from dec where event_id % 13 <> 0),
+one as (select event_id, user_id, decision_id, 0 as report, t + (event_id * 37 % 5000) as t, t as t0, ((event_id * 7 + chosen * 3) % 4)::DOUBLE / 4::DOUBLE as reward from dec where event_id % 13 <> 0),
 told as (select *, case when t0 + 3600::DOUBLE <= t then 'expired' else 'rewarded' end as kind from
-    (select * from one union all select event_id, decision_id, 1, t + 60::DOUBLE, t0, 1::DOUBLE - reward from one where event_id % 17 = 0)),
-res as (select event_id, decision_id, report, t, kind, case when kind = 'expired' then 0::DOUBLE else reward end as reward from told),
-log as (select t, 0 as ko, event_id, -1 as report, 'decision' as event, decision_id, seg, hour, chosen, propensity, null::varchar as kind, null::double as reward from dec
-    union all select t, 1, event_id, report, 'resolution', decision_id, null, null, null, null, kind, reward from res),
+    (select * from one union all select event_id, user_id, decision_id, 1, t + 60::DOUBLE, t0, 1::DOUBLE - reward from one where event_id % 17 = 0)),
+res as (select event_id, user_id, decision_id, report, t, kind, case when kind = 'expired' then 0::DOUBLE else reward end as reward from told),
+log as (select t, 0 as ko, event_id, -1 as report, 'decision' as event, decision_id, user_id, seg, hour, chosen, propensity, null::varchar as kind, null::double as reward from dec
+    union all select t, 1, event_id, report, 'resolution', decision_id, user_id, null, null, null, null, kind, reward from res{left}),
 pair as (select *, event = 'resolution' and coalesce(lag(event) over w, '') = 'decision' as effective, event = 'decision' and lead(event) over w is null as open,
     lag(event_id) over w as d_event_id, lag(seg) over w as d_seg, lag(hour) over w as d_hour, lag(chosen) over w as d_chosen, lag(propensity) over w as d_propensity
     from log window w as (partition by decision_id order by t, ko, event_id, report)),
-line as (select *, coalesce(sum(effective::int) over (order by t, ko, event_id, report rows between unbounded preceding and 1 preceding), 0) as n from pair)"""
+line as (select *, coalesce(sum(effective::int) over ({of}order by t, ko, event_id, report rows between unbounded preceding and 1 preceding), 0) as n from pair)"""
 
 
-#: Where the log is complete, and what removes the resolutions of one segment from it.
-POOL = "null, null, null, null, kind, reward from res"
-CLEAN = " where decision_id not in (select decision_id from dec where seg = 'error')"
+LOG = log()
 
 
-def features(bits: int, name: str = "feat") -> str:
+def features(bits: int, name: str = "feat", hours: bool = True) -> str:
     """CTE with the features (seg, hour, cand, slot, v) of every distinct context."""
     right = ", ".join(f"({cand}, {j}, '{token}', {w}::DOUBLE)" for cand, tokens in RIGHT.items() for j, (token, w) in enumerate(tokens))
     hashed = mixed(f"(select distinct lt, rt, {fnv(f'list_concat({_chars(chr(108) + chr(116))}, [31::UHUGEINT], {_chars(chr(114) + chr(116))})')}::UBIGINT as f from {name}_p)", "f", "lt, rt")
+    hour = f"union all select seg, hour, 1, 'c|hour', hour from {name}_c " if hours else ""
     return f"""{name}_c as (select distinct seg, hour from dec), {name}_r(cand, j, rt, rw) as (values {right}),
-{name}_l as (select seg, hour, 0 as i, '' as lt, 1::DOUBLE as lw from {name}_c union all select seg, hour, 1, 'c|hour', hour from {name}_c union all select seg, hour, 2, 'c|seg=' || seg, 1::DOUBLE from {name}_c),
+{name}_l as (select seg, hour, 0 as i, '' as lt, 1::DOUBLE as lw from {name}_c {hour}union all select seg, hour, 2, 'c|seg=' || seg, 1::DOUBLE from {name}_c),
 {name}_p as (select seg, hour, cand, i * 1000 + j as ord, lt, rt, lw * rw as w from {name}_l, {name}_r),
 {name}_h as (select * from {hashed}),
 {name} as (select seg, hour, cand, slot, v from (select seg, hour, cand, (m % {1 << bits})::INT as slot, list_reduce(list_concat([0::DOUBLE], list(case when m >= 9223372036854775808 then -w else w end order by ord)), lambda a, b: a + b) as v
     from {name}_p join {name}_h using (lt, rt) group by seg, hour, cand, (m % {1 << bits})::INT) where v <> 0)"""
 
 
-def evaluated(bits: int, epsilons: list[float], digits: int, name: str) -> str:
-    """CTEs that end with the report ``name`` of one number of bits."""
+def _decayed(f: float, exponent: str) -> str:
+    return f"pow({f}::DOUBLE, {exponent})"
+
+
+def updates(name: str, feats: str, f: float = 1.0, by: str = "") -> str:
+    """CTE of what each effective resolution adds to each slot, in units of the sums before anything was forgotten."""
+    return f"""{name} as (select {by and by + ", "}slot, n as u, v * v * {_decayed(f, "-(n + 1)")} as dxx, reward * v * {_decayed(f, "-(n + 1)")} as dxy
+    from line join {feats} f on f.seg = d_seg and f.hour = d_hour and f.cand = d_chosen where effective)"""
+
+
+def evaluated(bits: int, epsilons: list[float], digits: int, name: str, f: float = 1.0, by: str = "", hours: bool = True) -> str:
+    """CTEs that end with the report ``name`` of one number of bits and forgetting, for each ``by`` if given."""
     grid = ", ".join(f"({e}::DOUBLE)" for e in epsilons)
-    return f"""{features(bits, name + '_f')},
-{name}_up as (select slot, n as u, v * v as dxx, reward * v as dxy from line join {name}_f f on f.seg = d_seg and f.hour = d_hour and f.cand = d_chosen where effective),
-{name}_ask as (select event_id, n, cand, slot, v from line join {name}_f f using (seg, hour) where event = 'decision'),
-{name}_st as (select slot, ord // 2 as n, xx, xy from (select *, sum(dxx) over w as xx, sum(dxy) over w as xy from
-    (select slot, 2 * u + 1 as ord, dxx, dxy from {name}_up union all select distinct slot, 2 * n, 0::DOUBLE, 0::DOUBLE from {name}_ask) window w as (partition by slot order by ord rows between unbounded preceding and current row)) where ord % 2 = 0),
-{name}_e as (select event_id, cand, list_reduce(list_concat([0::DOUBLE], list(v * (xy * (1::DOUBLE / (xx + 1::DOUBLE))) order by slot)), lambda a, b: a + b) as e from {name}_ask join {name}_st using (slot, n) group by event_id, cand),
+    of, using = (by + ", ", f"{by}, ") if by else ("", "")
+    same = f"c.{by} is not distinct from s.{by} and " if by else ""
+    counts = f"select {of}count(*) filter (event = 'decision') as decisions, count(*) filter (open) as unresolved from line {'group by ' + by if by else ''}"
+    shown = lambda x: f"round({x}, {digits})"
+    return f"""{features(bits, name + '_f', hours)},
+{updates(name + '_up', name + '_f', f, by)},
+{name}_ask as (select {of}event_id, n, cand, slot, v from line join {name}_f f using (seg, hour) where event = 'decision'),
+{name}_st as (select {of}slot, ord // 2 as n, xx * {_decayed(f, "ord // 2")} as xx, xy * {_decayed(f, "ord // 2")} as xy from (select *, sum(dxx) over w as xx, sum(dxy) over w as xy from
+    (select {of}slot, 2 * u + 1 as ord, dxx, dxy from {name}_up union all select distinct {of}slot, 2 * n, 0::DOUBLE, 0::DOUBLE from {name}_ask) window w as (partition by {of}slot order by ord rows between unbounded preceding and current row)) where ord % 2 = 0),
+{name}_e as (select event_id, cand, list_reduce(list_concat([0::DOUBLE], list(v * (xy * (1::DOUBLE / (xx + 1::DOUBLE))) order by slot)), lambda a, b: a + b) as e from {name}_ask join {name}_st using ({using}slot, n) group by event_id, cand),
 {name}_b as (select event_id, count(*) as k, max(e) as best from {name}_e group by event_id),
 {name}_k as (select event_id, any_value(k) as k, any_value(best) as best, count(*) filter (e = best) as ties from {name}_e join {name}_b using (event_id) group by event_id),
-{name}_w as (select g.eps, (case when x.e = best then g.eps / k + (1::DOUBLE - g.eps) / ties else g.eps / k end) / d_propensity as w, reward as r
+{name}_w as (select {of}g.eps, (case when x.e = best then g.eps / k + (1::DOUBLE - g.eps) / ties else g.eps / k end) / d_propensity as w, reward as r
     from line l join {name}_k kk on kk.event_id = l.d_event_id join {name}_e x on x.event_id = l.d_event_id and x.cand = l.d_chosen, (values {grid}) g(eps) where effective),
-{name} as (select {bits}::INT as bits, eps as epsilon, (select count(*) from line where event = 'decision') as decisions, count(*) as resolved, (select count(*) from line where open) as unresolved,
-    round(sum(r) / count(*), {digits}) as logged_mean, round(sum(w * r) / count(*), {digits}) as ips, round(sum(w * r) / sum(w), {digits}) as snips, round(sum(w) * sum(w) / sum(w * w), {digits}) as ess, round(max(w), {digits}) as max_weight from {name}_w group by eps)"""
-
-
-def sql(bits: int, epsilon: float) -> dict[str, str]:
+{name}_s as (select {of}eps, count(*) as n, sum(r) as r, sum(w) as s, sum(w * r) as sr, sum(w * w) as ss, max(w) as top from {name}_w group by {of}eps),
+{name} as (select {'c.' + of if by else ''}{bits}::INT as bits, g.eps as epsilon, {f}::DOUBLE as forgetfulness, c.decisions, coalesce(n, 0) as resolved, c.unresolved,
+    {shown('r / n')} as logged_mean, {shown('sr / n')} as ips, {shown('sr / s')} as snips, {shown('s * s / ss')} as ess, {shown('top')} as max_weight
+    from ({counts}) c cross join (values {grid}) g(eps) left join {name}_s s on {same}s.eps = g.eps)"""
+
+
+def replayed(bits: int, f: float, by: str = "", clean: bool = False, digits: int | None = None) -> str:
+    """CTEs that end with ``r``: the true sums of each slot after the whole log."""
+    of, using = (by + ", ", f" using ({by})") if by else ("", "")
+    total = f"(select {of}count(*) as m from line where effective {'group by ' + by if by else ''})"
+    shown = lambda x: x if digits is None else f"round({x}, {digits})"
+    sums = ", ".join(shown(f"sum({d}) * {_decayed(f, 'any_value(m)')}") + f" as {d[1:]}" for d in ("dxx", "dxy"))
+    return f"{log(by, clean)}, {features(bits)}, {updates('up', 'feat', f, by)}, r as (select {of}slot, {sums} from up {'join' if by else 'cross join'} {total} t{using} group by {of}slot)"
+
+
+#: What damage a decision's or a resolution's remainder stands for, and the finding that it brings.
+DECISION_FINDINGS = {
+    0: "': decision ' || id || ': bits must be between 1 and 24'", 1: "': decision ' || id || ': chosen index out of range'", 2: "': decision ' || id || ': propensity must be in (0, 1]'",
+    3: "': decision ' || id || ': candidates do not match the logged candidate_hash'", 4: "': decision ' || id || ': chosen features do not match the logged candidates'",
+    5: "': decision ' || id || ': candidates failed to encode'", 6: "': not valid JSON'", 7: "': malformed decision event'",
+    8: "case when t - 86400::DOUBLE < latest then ': decision ' || id || ': t decreases within salt ''ev''' end", 9: "case when copy = 1 then ': duplicate decision id ''' || id || '''' end",
+}
+RESOLUTION_FINDINGS = {12: "': not valid JSON'", 13: "': each event must be a JSON object with an ''event'' kind'", 14: "': unknown event kind'", 15: "': malformed resolution event'"}
+
+
+def findings() -> str:
+    """CTEs that end with ``found`` (line, at, problem) of the damaged log."""
+    case = lambda of: " ".join(f"when {k} then {v}" for k, v in of.items())
+    return f"""{LOG}, both_ as (select t, ko, event_id, report, event, decision_id as id, kind, 0 as copy from log union all select t, ko, event_id, report, event, decision_id, kind, 1 from log where event = 'decision' and event_id % 211 = 9),
+numbered as (select *, event_id % 211 as d, row_number() over (order by t, ko, event_id, report, copy) as line from both_),
+seen as (select *, max(t - case when d = 8 then 86400::DOUBLE else 0::DOUBLE end) filter (event = 'decision' and d not in (0, 1, 5, 6, 7)) over (order by line rows between unbounded preceding and 1 preceding) as latest from numbered),
+told_ as (select line, case
+    when event = 'decision' then case d {case(DECISION_FINDINGS)} end
+    when d in (12, 13, 14, 15) then case d {case(RESOLUTION_FINDINGS)} end
+    when d in (6, 7) then ': resolution for unknown decision ''' || id || ''''
+    when report = 1 then ': second resolution for decision ''' || id || ''''
+    when d = 10 then ': resolution for ' || id || ': unknown kind ''lost'''
+    when d = 11 then ': resolution for ' || id || ': reward must be a finite number' end as what from seen),
+found as (select line, 0::INT as at, 'line ' || line || what as problem from told_ where what is not null)"""
+
+
+def simulated(seeds: int, rounds: int) -> str:
+    """CTEs that end with ``rounds_`` (world, seed, chosen, best, regret, normalizer) of the uniform policy."""
+    names = {"u": "'uniform:' || seed || ':choose:' || t || '.0'", "x": "'xor-k4:' || seed || ':context:' || t", "n": "'needle-k10-g0.2:' || seed || ':needle'"}
+    steps = [f"grid as (select i // {rounds} as seed, i % {rounds} as t from range({seeds * rounds}) r(i))"]
+    for name, text in names.items():
+        steps.append(f"{name}k as (select seed, t, {key(text, 'sim')}::UBIGINT as key from grid)")
+    for name, of, i in (("u", "u", 0), ("s0", "x", 0), ("s1", "x", 1), ("nd", "n", 0)):
+        counted = f"(select seed, t, ((key::UHUGEINT + {i}::UHUGEINT * 11400714819323198485::UHUGEINT) % {M})::UBIGINT as c from {of}k)"
+        steps.append(f"{name}d as (select seed, t, (m >> 11)::DOUBLE * 1.1102230246251565e-16::DOUBLE as {name} from {mixed(counted, 'c', 'seed, t')})")
+    steps.append("drawn as (select * from ud join s0d using (seed, t) join s1d using (seed, t) join ndd using (seed, t))")
+    steps.append("""paid as (select 'xor-k4' as world, seed, floor(u * 4)::INT as chosen, 0.75::DOUBLE as best, case when floor(u * 4)::INT % 2 = (floor(s0 * 2) <> floor(s1 * 2))::INT then 0.75::DOUBLE else 0.25::DOUBLE end as mean, 0.5::DOUBLE as average from drawn
+        union all select 'needle-k10-g0.2', seed, floor(u * 10)::INT, 0.7::DOUBLE, case when floor(u * 10) = floor(nd * 10) then 0.7::DOUBLE else 0.5::DOUBLE end, 0.52::DOUBLE from drawn)""")
+    steps.append("rounds_ as (select world, seed, chosen, best, best - mean as regret, best - average as normalizer from paid)")
+    return "with " + ", ".join(steps)
+
+
+def sql(bits: int, epsilon: float, f: float) -> dict[str, str]:
     hexed = lambda c: f"printf('%016X', {c})"
+    sweep = [(b, x, f"s{i}") for i, (b, x) in enumerate((b, x) for b in (4, 8) for x in (1.0, f))]
+    rule = "regexp_replace(regexp_replace(problem, '^line [0-9]+: ', ''), 'ev:[0-9]+', 'ID', 'g')"
+    click = "(select distinct cand, slot, v from feat where seg = 'click' and hour = 12)"
     return {
         "hash_ids": f"select a.event_id, {hexed(fnv(_chars('name')) + '::UBIGINT')} as fnv, {hexed('m')} as mixed, {hexed(key('name') + '::UBIGINT')} as key from (select event_id, 'ev:' || event_id as name from events) a join {mixed('(select event_id, event_id::UBIGINT as x from events)', 'x', 'event_id')} b using (event_id)",
         "rng_units": f"with {units(3)} select event_id, u0, u1, u2 from d0 join d1 using (event_id) join d2 using (event_id)",
@@ -96,11 +169,24 @@ def sql(bits: int, epsilon: float) -> dict[str, str]:
         "encode_events": f"{LOG}, {features(bits)} select event_id, cand, slot, v from dec join feat using (seg, hour)",
         "effective_resolutions": f"{LOG} select decision_id, report, kind, reward, d_chosen as chosen from pair where effective",
         "horizon_classes": f"{LOG} select kind, report, count(*) as n, sum(reward) as reward from res group by kind, report",
-        "evaluate_lattice": f"{LOG}, {evaluated(bits, [epsilon], 9, 'a')} select * from a",
-        "sweep_lattice": f"{LOG}, {evaluated(4, [0.05, 0.2, 1.0], 4, 'a')}, {evaluated(8, [0.05, 0.2, 1.0], 4, 'b')} select * from a union all select * from b",
-        "replay_slots": f"{LOG}, {features(bits)} select slot, sum(v * v) as xx, sum(reward * v) as xy from line join feat f on f.seg = d_seg and f.hour = d_hour and f.cand = d_chosen where effective group by slot",
-        "merged_logs_replay": f"{LOG.replace(POOL, POOL + CLEAN)}, {features(bits)} select slot, sum(v * v) as xx, sum(reward * v) as xy from line join feat f on f.seg = d_seg and f.hour = d_hour and f.cand = d_chosen where effective group by slot",
-        "verify_findings": f"{LOG} select event_id * 2 + report as line, 'line ' || (event_id * 2 + report) || case when event_id % 101 = 0 then ': not valid JSON' else ': resolution for unknown decision ' || chr(39) || decision_id || chr(39) end as problem from res",
+        "log_counts": f"{LOG} select event, count(*) as n from log group by event",
+        "evaluate_lattice": f"{LOG}, {evaluated(bits, [epsilon], 6, 'a')} select * from a",
+        "evaluate_forget": f"{LOG}, {evaluated(bits, [epsilon], 6, 'a', f)} select * from a",
+        "ablation": f"{LOG}, {evaluated(bits, [epsilon], 6, 'a', hours=False)} select * from a",
+        "sweep_lattice": f"{LOG}, {', '.join(evaluated(b, [0.05, 0.2, 1.0], 4, name, x) for b, x, name in sweep)} {' union all '.join(f'select * from {name}' for *_, name in sweep)}",
+        "per_user_evaluate": f"{log('user_id')}, {evaluated(bits, [epsilon], 6, 'a', f, 'user_id')} select * from a",
+        "replay_slots": f"{replayed(bits, 1.0)} select * from r",
+        "replay_forget": f"{replayed(bits, f, digits=6)} select slot, xx, xy, (select max(event_id) + 1 from dec) as next_seq, (select count(*) from line where effective) as model_version from r",
+        "replay_states": f"{replayed(bits, f, 'user_id', digits=6)} select * from r",
+        "merged_logs_replay": f"{replayed(bits, 1.0, clean=True)} select * from r",
+        "preview_states": f"""{replayed(bits, f, 'user_id')}, e as (select u.user_id, c.cand, sum(v * (coalesce(xy, 0) * (1::DOUBLE / (coalesce(xx, 0) + 1::DOUBLE)))) as e
+            from (select distinct user_id from dec) u cross join {click} c left join r on r.user_id = u.user_id and r.slot = c.slot group by u.user_id, c.cand)
+            select user_id, case cand when 0 then 'north' when 1 then 'east' else 'south' end as arm, round(e, 6) as estimate,
+            round(case when e = max(e) over (partition by user_id) then 0.05::DOUBLE / 3 + 0.95::DOUBLE else 0.05::DOUBLE / 3 end, 6) as probability from e""",
+        "sim_oracle_uniform": f"{simulated(4, 600)} select world, seed::INT as seed, round(sum(best) / count(*), 9) as oracle_reward, round(sum(regret) / sum(normalizer), 9) as uniform_regret, sum(chosen)::BIGINT as choices from rounds_ group by world, seed",
+        "verify_log": f"{findings()} select * from found",
+        "verify_findings": f"{findings()} select {rule} as problem, count(*) as n, min(line) as first_line from found group by {rule}",
         "debiased_rates": f"{LOG} select d_seg as seg, d_chosen as chosen, count(*) as exposure, round(sum(reward * (1::DOUBLE / d_propensity)) / sum(1::DOUBLE / d_propensity), 9) as rate from pair where effective group by d_seg, d_chosen",
         "expiry_rate": f"{LOG} select floor(t / 86400)::BIGINT as day, count(*) as n, round(avg((kind = 'expired')::INT::DOUBLE), 9) as expired from pair where effective group by floor(t / 86400)::BIGINT",
+        "rolling_reward": f"{LOG} select event_id, user_id, report, round(avg(reward) over (partition by user_id order by t, ko, event_id, report rows between 99 preceding and current row), 9) as mean from pair where effective",
     }

@@ -2,23 +2,50 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_written: list[tuple[SparkSession, str]] = []
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; a temporary folder only where that is unset (local sessions)."""
+    """``spark.checkpoint.dir``. Where it is unset, a local session takes a temporary folder; a cluster's executors couldn't see one."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="lodestep-shared-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
 
 
+def forget(spark: SparkSession, path: str) -> None:
+    """Delete a written table that no later step reads."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@atexit.register
+def _forget_all() -> None:
+    for spark, path in _written:
+        try:
+            forget(spark, path)
+        except Exception:  # noqa: BLE001  the session may be gone at exit; the folder's owner cleans up then
+            return
+
+
+def new_path(spark: SparkSession, label: str) -> str:
+    """A path of its own in the shared folder. What is there goes when the process ends."""
+    path = f"{shared_dir(spark)}/lodestep/{label}-{uuid.uuid4().hex}"
+    _written.append((spark, path))
+    return path
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """``df`` as a Parquet table: cuts lineage, survives lost executors, read as often as needed."""
-    path = f"{shared_dir(df.sparkSession)}/lodestep/{label}-{uuid.uuid4().hex}"
+    path = new_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -3,14 +3,16 @@
 The logger is uniform and draws by the decision's own key, so the log is the same
 everywhere. Rewards are quarters and features whole numbers, so that model sums are exact
 in any order. Times are whole seconds after each other's event; rewards arrive late, past the
-horizon, twice, or never, by fixed rules.
+horizon, twice, or never, by fixed rules. A decision and its reports come from one row, so
+the draw is made once.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import hashing as H
@@ -19,7 +21,7 @@ from ..plans.ranking import in_order
 
 SALT, HORIZON = "ev", 3600.0
 #: Offers: arm and its action features.
-OFFERS = (("basic", {"price": 3.0}), ("plus", {"price": 9.0, "trial": True}), ("free", {}))
+OFFERS = (("north", {"cost": 2.0, "fresh": True}), ("east", {}), ("south", {"cost": 5.0}))
 
 
 def decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,28 +38,46 @@ def decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drawn.withColumn("chosen", chosen).withColumn("propensity", F.lit(p))
 
 
-def resolutions(made: DataFrame) -> DataFrame:
-    """decision_id, report, t, t0, reward: reports of rewards. One in thirteen decisions has none, one in seventeen two."""
+def _reports() -> Column:
+    """(report, t, reward) of a decision: none for one in thirteen, two for one in seventeen."""
     delay = F.col("event_id") * 37 % 5000
     reward = (F.col("event_id") * 7 + F.col("chosen") * 3) % 4 / F.lit(4).cast("double")
-    first = made.where("event_id % 13 <> 0").select("event_id", "decision_id", F.lit(0).alias("report"), (F.col("t") + delay).alias("t"), F.col("t").alias("t0"), reward.alias("reward"))
-    again = first.where("event_id % 17 = 0").withColumns({"report": F.lit(1), "t": F.col("t") + 60.0, "reward": F.lit(1.0) - F.col("reward")})
-    return first.unionByName(again)
+    one = lambda n, t, r: F.struct(F.lit(n).alias("report"), t.alias("t"), r.alias("reward"))
+    first, again = one(0, F.col("t") + delay, reward), one(1, F.col("t") + delay + 60.0, F.lit(1.0) - reward)
+    return F.when(F.col("event_id") % 13 == 0, F.array().cast("array<struct<report:int,t:double,reward:double>>")).when(F.col("event_id") % 17 == 0, F.array(first, again)).otherwise(F.array(first))
+
+
+def resolutions(made: DataFrame) -> DataFrame:
+    """event_id, decision_id, report, t, t0, reward: reports of rewards."""
+    return made.select("event_id", "decision_id", F.col("t").alias("t0"), F.explode(_reports()).alias("e")).select("event_id", "decision_id", "e.report", "e.t", "t0", "e.reward")
+
+
+def _late(horizon: float) -> Column:
+    return F.col("t0") + F.lit(horizon) <= F.col("t")
 
 
 def classified(reports: DataFrame, horizon: float = HORIZON, default_reward: float = 0.0) -> DataFrame:
     """Reports with kind and the reward that counts: at or past the horizon a report expires the decision."""
-    late = F.col("t0") + F.lit(horizon) <= F.col("t")
+    late = _late(horizon)
     return reports.withColumn("kind", F.when(late, "expired").otherwise("rewarded")).withColumn("reward", F.when(late, F.lit(default_reward)).otherwise(F.col("reward")))
 
 
 def log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All events of the log with what orders them: t, kind_order (decisions first), event_id, report."""
+    """All events of the log, with what orders them: t, kind_order (decisions first), event_id, report."""
     made = decisions(spark, sf_dir)
-    told = classified(resolutions(made))
-    a = made.select("t", F.lit(0).alias("kind_order"), "event_id", F.lit(-1).alias("report"), F.lit("decision").alias("event"), "decision_id", "user_id", "seg", "hour", "chosen", "propensity", F.lit(None).cast("string").alias("kind"), F.lit(None).cast("double").alias("reward"))
-    b = told.select("t", F.lit(1).alias("kind_order"), "event_id", "report", F.lit("resolution").alias("event"), "decision_id", "kind", "reward")
-    return a.unionByName(b, allowMissingColumns=True)
+    itself = F.array(F.struct(F.lit(-1).alias("report"), F.col("t"), F.lit(None).cast("double").alias("reward")))
+    rows = made.withColumn("e", F.explode(F.concat(itself, _reports()))).withColumns({"at": F.col("e.report") < 0, "t0": F.col("t")})
+    of = lambda c: F.when(F.col("at"), c)
+    alone = F.array(*(F.lit(json.dumps([offer])) for offer in OFFERS))
+    rows = rows.select(
+        "user_id", "event_id", F.col("e.report").alias("report"), "at", "t0", F.col("e.t").alias("t"), F.col("e.reward").alias("reward"), "decision_id", *(of(F.col(c)).alias(c) for c in ("seg", "hour", "chosen", "propensity")),
+        of(F.to_json(F.struct("hour", "seg"))).alias("context"), of(F.lit(json.dumps(OFFERS))).alias("offers"), of(F.element_at(alone, F.col("chosen") + 1)).alias("taken"),
+    )
+    late = _late(HORIZON)
+    return rows.select(
+        "t", F.when(F.col("at"), 0).otherwise(1).alias("kind_order"), "event_id", "report", F.when(F.col("at"), "decision").otherwise("resolution").alias("event"), "decision_id", "user_id", "seg", "hour", "chosen", "propensity",
+        F.when(~F.col("at"), F.when(late, "expired").otherwise("rewarded")).alias("kind"), F.when(~F.col("at"), F.when(late, 0.0).otherwise(F.col("reward"))).alias("reward"), "context", "offers", "taken",
+    )
 
 
 ORDER = ["t", "kind_order", "event_id", "report"]
@@ -89,8 +109,6 @@ def damaged_lines(log: DataFrame, bits: int) -> DataFrame:
 
 def _line(r, bits: int, encoded: dict) -> str:
     """A row of the log as a line, damaged as its event's remainder says."""
-    import json
-
     from .logfile import decision_line, resolution_line
 
     kinds = dict(enumerate(DECISION_DAMAGE)) if r.event == "decision" else dict(enumerate(RESOLUTION_DAMAGE, len(DECISION_DAMAGE)))

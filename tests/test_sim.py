@@ -1,0 +1,94 @@
+"""Simulated worlds, policies and their judgement."""
+
+import math
+
+import pytest
+from pyspark.sql import functions as F
+
+from lodestep.operators import metrics
+from lodestep.sim import battery, worlds
+
+BITS, ROUNDS = 6, 600
+
+
+@pytest.fixture(scope="module")
+def judged(spark):
+    """(regret, late error) of the short battery: medians over three seeds."""
+    runs = battery.battery(spark, worlds.SHORT, seeds=3, rounds=ROUNDS, bits=BITS)
+    per = battery.regrets(runs)
+    medians = {c: {(r.world, r.policy): r.median for r in metrics.median_iqr(per, ["world", "policy"], c).collect()} for c in ("regret", "late_rmse")}
+    return medians["regret"], medians["late_rmse"]
+
+
+#: What a policy's median regret must stay under, by world.
+BOUNDS = {
+    "linear-k5-f3": {"greedy": 0.35, "epsilon-0.05": 0.35, "epsilon-0.1": 0.45, "engine": 0.4},
+    "needle-k10-g0.2": {"epsilon-0.1": 0.85, "engine": 1.2},
+    "actions-k16-f3": {"greedy": 0.6, "epsilon-0.1": 0.7, "engine": 0.7},
+    "xor-k4": {"engine": 1.5},
+    "shift-k5-p150": {"greedy": 0.7, "epsilon-0.1": 0.75, "engine": 0.95},
+    "drift-k5-p200": {"greedy": 1.15, "epsilon-0.1": 1.15, "engine": 1.15},
+    "churn-k8": {"epsilon-0.1": 0.95, "engine": 1.05},
+    "dropout-k5-f3-p0.3": {"greedy": 0.6, "epsilon-0.1": 0.7, "engine": 1.05},
+}
+
+
+def test_bounds(judged):
+    regret, late = judged
+    assert {(w, p): regret[w, p] for w, of in BOUNDS.items() for p, most in of.items() if not regret[w, p] < most} == {}
+    assert regret["needle-k10-g0.2", "greedy"] > 1.0  # the first arm pays, so greed never looks further
+    assert late["linear-k5-f3", "engine"] < 0.4 and late["actions-k16-f3", "engine"] < 0.6
+    assert late["linear-k5-f3", "oracle"] is None
+    for w in worlds.SHORT:
+        assert regret[w.name, "oracle"] == 0.0 and 0.8 < regret[w.name, "uniform"] < 1.2
+
+
+def test_rounds_are_functions_of_seed_and_time():
+    for w in worlds.SHORT:
+        assert w.show(7, 5) == w.show(7, 5)
+        assert battery.run(w, "engine", 7, 30, BITS) == battery.run(w, "engine", 7, 30, BITS)
+    assert worlds.linear(3).show(0, 0) != worlds.linear(3).show(1, 0)
+    assert worlds.linear(3).reward(0, 5, 0.5) == worlds.linear(3).reward(0, 5, 0.5)
+
+
+def test_churn_schedule():
+    world = worlds.churn(8, (150, 300), 450)
+    before, during, after = ({arm: m for (arm, _), m in zip(r.offers, r.means)} for r in (world.show(0, t) for t in (0, 200, 500)))
+    best = max(before, key=before.get)
+    assert len(before) == 8 and set(before) - set(during) == {best} and set(after) - set(before) == {"newcomer"}
+    assert after["newcomer"] == before[best] + 0.1 == max(after.values())
+
+
+def test_normal_draws():
+    values = [worlds.Draws("normal").normal(i) for i in range(4000)]
+    mean = sum(values) / len(values)
+    assert abs(mean) < 0.05 and abs(math.sqrt(sum((v - mean) ** 2 for v in values) / len(values)) - 1) < 0.05
+
+
+def test_column_rounds_equal_the_policy(spark):
+    got = {(r.world, r.seed, r.t): (r.chosen, r.best, r.regret, r.normalizer) for r in battery.blind_rounds(spark, 2, 40).collect()}
+    for world in (worlds.xor(4), worlds.needle(10)):
+        for seed in range(2):
+            for row in battery.run(world, "uniform", seed, 40, BITS):
+                assert got[world.name, seed, row[3]] == pytest.approx((row[4], row[5], row[6], row[7]), abs=1e-12)
+
+
+def test_metrics(spark):
+    values = [0.1] * 10 + [1e16, -1e16]
+    runs = spark.createDataFrame([("r", t, v, 1.0, 0.5) for t, v in enumerate(values)], "run string, t int, regret double, best double, normalizer double")
+    assert runs.agg(metrics.exact_sum("regret")).first()[0] == math.fsum(values)
+    assert runs.agg(metrics.normalized_regret("regret", "normalizer")).first()[0] == math.fsum(values) / 6.0
+    assert runs.agg(metrics.normalized_regret("regret", F.lit(0.0))).first()[0] == 0.0
+    assert [r.t for r in metrics.final_window(runs, ["run"], 0.2).orderBy("t").collect()] == [10, 11]
+    late = runs.withColumn("regret", F.when(F.col("t") < 6, 0.9).otherwise(0.0))
+    assert metrics.recovery_time(late, ["run"], 2, 3, 0.9).first().recovered == 4
+    assert metrics.recovery_time(late, ["run"], 11, 3, 0.9).first().recovered is None
+
+
+def test_epsilon_table(spark):
+    rows = [("a", 0.1, 0.2, 0.3), ("a", 0.2, 0.21, 0.3), ("a", 0.3, 0.5, 0.3), ("b", 0.1, 0.4, 0.1), ("b", 0.2, 0.1, 0.1), ("b", 0.3, 0.1, 0.1)]
+    got = {r.epsilon: r for r in battery.epsilon_table(spark.createDataFrame(rows, "world string, epsilon double, regret double, baseline double")).collect()}
+    assert [(got[e].near_best, got[e].catastrophic, got[e].loses) for e in (0.1, 0.2, 0.3)] == [(1, 1, 1), (2, 0, 0), (1, 1, 1)]
+    assert got[0.1].worst_ratio == 4.0 and got[0.2].mean_regret == pytest.approx(0.155)
+    with pytest.raises(ValueError):
+        battery.policy("other", 0, BITS)
