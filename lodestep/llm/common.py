@@ -1,14 +1,14 @@
-"""What the training-data operators share: written tables, row keys and text expressions."""
+"""What the training-data operators share: column names, row keys and text expressions, and the library's written tables."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.shared import forget, new_path, shared_dir, written
+
+__all__ = ["P", "ascii_lower", "by_place", "cols", "forget", "hash128", "new_path", "quoted", "shared_dir", "table", "written"]
+
 #: Names that operators add to a caller's rows start so, so that they can't clash with the caller's columns.
 P = "__lds_"
 
@@ -26,48 +26,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share, from ``spark.checkpoint.dir``; a temporary one only where that is unset (tests)."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = "file://" + tempfile.mkdtemp(prefix="lodestep-shared-")
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at.rstrip("/")
-
-
-_written: list[tuple[SparkSession, str]] = []
-
-
-def forget(spark: SparkSession, path: str) -> None:
-    """Delete a written table that no later step reads."""
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-
-
-@atexit.register
-def _forget_all() -> None:
-    for spark, path in _written:
-        try:
-            forget(spark, path)
-        except Exception:  # noqa: BLE001  the session may be gone at exit; the folder's owner cleans up then
-            return
-
-
-def new_path(spark: SparkSession, label: str) -> str:
-    path = f"{shared_dir(spark)}/lodestep/{label}-{uuid.uuid4().hex}"
-    _written.append((spark, path))
-    return path
-
-
-def written(df: DataFrame, label: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder: cuts lineage, survives lost executors, read as often as needed."""
-    spark = df.sparkSession
-    path = new_path(spark, label)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 #: Letters beyond ASCII that lower() would change; only A-Z are to be lowered.
 _UPPER_BEYOND_ASCII = r"[\p{IsUppercase}\p{Lt}&&[^A-Z]]"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
