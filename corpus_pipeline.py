@@ -29,12 +29,20 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, by five-word shingles and a similarity of 0.8."""
-    key = linededup.row_key(docs)
-    named = docs.select(*cols(docs), key.alias(P + "key"))
-    found = neardup.near_duplicates(named, carry=(P + "key",), words=5, percent=80)
-    gone = found.where("not kept").select(P + "key").distinct()
-    return named.join(gone, P + "key", "left_anti").select(*cols(docs))
+    """One document of each group of near duplicates, by five-word shingles and a similarity of 0.8.
+
+    Rows that repeat each other are one group and one of them stays, also where ids are null or
+    repeated; rows without a word are linked with nothing and all stay.
+    """
+    named = docs.select(*cols(docs), linededup.row_key(docs).alias(P + "key"))
+    found = written(neardup.near_duplicates(named, carry=(P + "key",), words=5, percent=80).select(P + "key", "survivor"), "survivors")
+    gone = found.where("not survivor").select(P + "key").distinct()
+    left = named.join(gone, P + "key", "left_anti")
+    # a row that repeats the survivor has its key too: of such rows one stays
+    repeated = written(gone.join(found.where("survivor").select(P + "key"), P + "key", "left_semi"), "repeated")
+    if not repeated.isEmpty():
+        left = left.unionByName(named.join(repeated, P + "key", "left_semi").dropDuplicates([P + "key"]))
+    return left.select(*cols(docs))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
