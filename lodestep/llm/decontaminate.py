@@ -23,15 +23,17 @@ that array applied to itself. Sampled steps are such multiples. Only windows tha
 two early steps are looked at further, with a third one. All three are drawn for each walk.
 
 Words are runs other than ASCII white space, A-Z lowered, without the marks in
-``MARKS``. Defined results: null or empty texts and items hold nothing; an item of
-fewer than ``MIN_WORDS`` words is too short to be a passage and is not searched.
-Equal items each give their rows. The items are sent to all workers in blocks of at most
-``BLOCK_BYTES``, each block searched over all documents; documents are never shuffled.
+``MARKS``; in scripts that don't part words each character is one. Defined results: null or
+empty texts and items hold nothing; an item so short that the share allows it no edit is found
+where it stands unedited. Equal items are searched once and each give their rows. The items are
+sent to all workers in blocks of at most ``BLOCK_BYTES``, each block searched over all
+documents; documents are never shuffled.
 """
 
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
@@ -40,10 +42,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import by_place, quoted
+from .common import by_place, hash128, quoted
 
 MARKS = b".,;:!?\"()[]"
-MIN_WORDS = 5
 PERIOD = 4
 SAMPLES = 3
 #: Shorter items are found by pieces, of which so many words at most are looked up.
@@ -63,8 +64,16 @@ BLOCK_WORDS = 1 << 15
 ENTRY_POWER = 4.7
 
 
+#: Characters of scripts that don't part words: Thai to Khmer, kana, Han.
+UNPARTED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\U00020000-\U0003ffff]")
+
+
 def words_of(text: str | None) -> list[bytes]:
-    return text.encode().lower().translate(None, MARKS).split() if text else []
+    if not text:
+        return []
+    if not text.isascii():
+        text = UNPARTED.sub(r" \g<0> ", text)
+    return text.encode().lower().translate(None, MARKS).split()
 
 
 def walks_for(target_recall: float, share: float) -> int:
@@ -72,19 +81,38 @@ def walks_for(target_recall: float, share: float) -> int:
     return max(1, math.ceil(math.log(1 - target_recall) / math.log(1 - (1 - share) ** ENTRY_POWER))) if share else 1
 
 
+class Pattern:
+    """An item as bit masks, one bit a word from its end: a column of the edit matrix is two integers (Myers)."""
+
+    def __init__(self, item: list[bytes]):
+        self.n, self.at = len(item), {}
+        for i, word in enumerate(reversed(item)):
+            self.at[word] = self.at.get(word, 0) | 1 << i
+
+    def best_place(self, window: list[bytes]) -> tuple[int, int]:
+        """Least word edits that turn the item into some run of the window, and where the first such run begins.
+
+        Both are read backwards, so that the end of a match is where it begins.
+        """
+        n, all_, top = self.n, (1 << self.n) - 1, 1 << self.n >> 1
+        up, down, edits = all_, 0, n
+        best = n, len(window)
+        for j in range(len(window) - 1, -1, -1):
+            same = self.at.get(window[j], 0)
+            vertical = same | down
+            same |= (((same & up) + up) ^ up) & all_
+            more, less = down | (all_ & ~(same | up)), up & same
+            edits += bool(more & top) - bool(less & top)
+            more, less = more << 1 & all_, less << 1 & all_
+            up, down = less | (all_ & ~(vertical | more)), more & vertical
+            if edits <= best[0]:
+                best = edits, j
+        return best
+
+
 def edits_at_best_place(item: list[bytes], window: list[bytes]) -> tuple[int, int]:
-    """Least word edits that turn the item into some run of the window, and where such a run begins."""
-    n = len(item)
-    row = [(0, j) for j in range(len(window) + 1)]
-    for i, word in enumerate(item, 1):
-        left = (i, 0)
-        new = [left]
-        for j, other in enumerate(window, 1):
-            diagonal, up = row[j - 1], row[j]
-            left = min((diagonal[0] + (word != other), diagonal[1]), (up[0] + 1, up[1]), (left[0] + 1, left[1]))
-            new.append(left)
-        row = new
-    return min(row) if n else (0, 0)
+    """``Pattern.best_place`` of an item."""
+    return Pattern(item).best_place(window) if item else (0, 0)
 
 
 @dataclass
@@ -103,6 +131,7 @@ class Items:
         self.seeds = draw.integers(1 << 62, 1 << 63, (self.walks, 2), np.uint64) | np.uint64(1)
         self.factors = draw.integers(1 << 62, 1 << 63, SAMPLES, np.uint64) | np.uint64(1)
         self.distinct = [frozenset(w) for w in self.words]
+        self.patterns: dict[int, Pattern] = {}
         self.piece_factors = draw.integers(1 << 62, 1 << 63, PIECE_WORDS, np.uint64) | np.uint64(1)
         self.pieces = self._pieces()
         #: For each walk its two early steps and its third one.
@@ -135,7 +164,7 @@ class Items:
         rows: dict[int, list] = {}
         for i, found in enumerate(self.words):
             n = len(found)
-            if MIN_WORDS <= n < WALK_WORDS:
+            if 0 < n < WALK_WORDS:
                 pieces = min(int(self.share * n) + 1, n)
                 size = min(n // pieces, PIECE_WORDS)
                 keys = self.piece_keys(np.concatenate([hashed(found), np.zeros(PAD, np.uint64)]), [size])[size]
@@ -222,7 +251,9 @@ class Items:
         # each of its words that the window lacks takes an edit
         if len(self.distinct[item]) - len(self.distinct[item].intersection(window)) > most:
             return None
-        edits, place = edits_at_best_place(own, window)
+        if item not in self.patterns:
+            self.patterns[item] = Pattern(own)
+        edits, place = self.patterns[item].best_place(window)
         return (edits, begin + place) if edits <= most else None
 
     def leaks(self, texts: list[str | None]) -> Iterator[tuple[int, int, int, int]]:
@@ -277,16 +308,16 @@ def hashed(words: list[bytes]):
     return np.fromiter(map(crc32, words), np.uint64, len(words)) * np.uint64(0x9E3779B97F4A7C15)
 
 
-def _blocks(items: DataFrame, id: str, text: str, target_recall: float, share: float) -> Iterator:
-    """The items, broadcast in blocks of a bounded size."""
+def _blocks(items: DataFrame, text: str, target_recall: float, share: float) -> Iterator:
+    """The distinct item texts, broadcast in blocks of a bounded size; a text is known by its hash."""
     spark = items.sparkSession
-    own = items.select(F.col(quoted(id)).alias("id"), F.col(quoted(text)).alias("text"))
+    own = items.select(F.col(quoted(text)).alias("text")).where("text is not null").distinct()
     total = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = -(-total // BLOCK_BYTES) or 1
-    part = F.pmod(F.xxhash64("id", "text"), F.lit(n))
+    part = F.pmod(F.xxhash64("text"), F.lit(n))
     for block in range(n):
-        rows = own.where(part == block).where("text is not null").collect()  # at most about BLOCK_BYTES
-        yield spark.sparkContext.broadcast(Items([r["id"] for r in rows], [words_of(r["text"]) for r in rows], walks_for(target_recall, share), share))
+        rows = own.where(part == block).select(hash128(F.col("text")).alias("k"), "text").collect()  # at most about BLOCK_BYTES
+        yield spark.sparkContext.broadcast(Items([bytes(r["k"]) for r in rows], [words_of(r["text"]) for r in rows], walks_for(target_recall, share), share))
 
 
 def find_leaks(docs: DataFrame, items: DataFrame, *, id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", target_recall: float = 0.95, share: float = 0.2) -> DataFrame:
@@ -294,10 +325,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, *, id: str = "doc_id", text: s
 
     An item is found where at most ``share`` of its words need an edit.
     """
-    schema = T.StructType([
-        T.StructField(id, docs.schema[id].dataType), T.StructField(item_id, items.schema[item_id].dataType), T.StructField("start_word", T.LongType()),
-        T.StructField("item_words", T.LongType()), T.StructField("edits", T.LongType()), T.StructField("similarity", T.DoubleType()),
-    ])
+    schema = T.StructType([T.StructField("doc", docs.schema[id].dataType), *T._parse_datatype_string("k binary, start_word bigint, item_words bigint, edits bigint, similarity double").fields])
 
     def search(shared):
         def batches(it: Iterator) -> Iterator:
@@ -316,10 +344,12 @@ def find_leaks(docs: DataFrame, items: DataFrame, *, id: str = "doc_id", text: s
 
         return docs.select(F.col(quoted(id)), F.col(quoted(text))).mapInArrow(batches, schema)
 
-    return reduce(DataFrame.unionAll, [search(b) for b in _blocks(items, item_id, item_text, target_recall, share)])
+    found = reduce(DataFrame.unionAll, [search(b) for b in _blocks(items, item_text, target_recall, share)])
+    named = items.select(F.col(quoted(item_id)).alias("item"), hash128(F.col(quoted(item_text))).alias("k"))
+    return found.join(named, "k").select(F.col("doc").alias(id), F.col("item").alias(item_id), "start_word", "item_words", "edits", "similarity")
 
 
-def without_leaks(docs: DataFrame, items: DataFrame, *, text: str = "text", item_id: str = "item_id", item_text: str = "text", target_recall: float = 0.95, share: float = 0.2) -> DataFrame:
+def without_leaks(docs: DataFrame, items: DataFrame, *, text: str = "text", item_text: str = "text", target_recall: float = 0.95, share: float = 0.2) -> DataFrame:
     """The rows of ``docs``, with all their columns, in which no item is found."""
     names, at = docs.columns, docs.columns.index(text)
 
@@ -334,4 +364,4 @@ def without_leaks(docs: DataFrame, items: DataFrame, *, text: str = "text", item
 
         return by_place(df).mapInArrow(batches, docs.schema)
 
-    return reduce(keep, _blocks(items, item_id, item_text, target_recall, share), docs)
+    return reduce(keep, _blocks(items, item_text, target_recall, share), docs)

@@ -6,15 +6,16 @@ language whose dictionary leaves the fewest bytes is the prediction. The margin
 is what the runner-up needs more, as a share of its bytes; where it is under
 ``min_margin`` the prediction is rejected (``confident`` is false).
 
-Learning takes a bounded sample: of each language the ``SAMPLE_ROWS`` labelled
-rows with the least hash of their text, up to ``SAMPLE_CHARS`` of each (many short
+Learning takes a bounded sample: of each language the ``SAMPLE_ROWS`` distinct labelled
+texts with the least hash, up to ``SAMPLE_CHARS`` of each (many short
 samples beat a few long ones), fill its dictionary of ``DICT_BYTES``.
 Which rows may be learned from is the caller's choice. Prediction reads whole
 texts, and nothing but the text.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0.
 Rows with a null language are not learned from. Where nothing can be learned
-every text is ``und``. Equal sizes go to the language that sorts first.
+every text is ``und``. Equal sizes go to the language that sorts first. More than
+``MAX_LANGUAGES`` languages are an error: their dictionaries go to every worker.
 """
 
 from __future__ import annotations
@@ -28,24 +29,28 @@ from pyspark.sql import types as T
 from .common import by_place, quoted
 
 SAMPLE_ROWS, SAMPLE_CHARS, DICT_BYTES, BLOCK_CHARS, LEVEL = 256, 2000, 96 << 10, 4096, 6
+MAX_LANGUAGES = 400
 UND = "und"
 
 
 def learn(labelled: DataFrame, *, text: str = "text", lang: str = "lang") -> dict[str, bytes]:
     """Dictionary content by language.
 
-    Two narrow passes: how many rows each language has, then the rows whose text
-    hash lies in the least share that holds about twice SAMPLE_ROWS of them. At
-    most SAMPLE_ROWS rows a language reach the driver, cut to SAMPLE_CHARS.
+    Two passes: about how many distinct texts each language has (a sketch a
+    language), then those whose hash lies in the least share that holds about twice
+    SAMPLE_ROWS of them; copies count once, however many. At most SAMPLE_ROWS texts a
+    language reach the driver, cut to SAMPLE_CHARS.
     """
-    own = labelled.select(F.col(quoted(lang)).alias("lang"), F.col(quoted(text)).alias("text")).where("lang is not null and text is not null")
-    counts = {r["lang"]: r["count"] for r in own.groupBy("lang").count().collect()}
+    own = labelled.select(F.col(quoted(lang)).alias("lang"), F.xxhash64(quoted(text)).alias("x"), F.col(quoted(text)).alias("text")).where("lang is not null and text is not null")
+    counts = {r["lang"]: r["n"] for r in own.groupBy("lang").agg(F.approx_count_distinct("x", 0.02).alias("n")).limit(MAX_LANGUAGES + 1).collect()}
+    if len(counts) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages")
     if not counts:
         return {}
-    drawn = own.withColumn("h", F.pmod(F.xxhash64("text"), F.lit(1 << 40)) / float(1 << 40))
-    share = F.create_map(*(x for name, n in sorted(counts.items()) for x in (F.lit(name), F.lit(min(1.0, 2 * SAMPLE_ROWS / n)))))
+    drawn = own.withColumn("h", F.pmod("x", F.lit(1 << 40)) / float(1 << 40))
+    share = F.create_map(*(x for name, n in sorted(counts.items()) for x in (F.lit(name), F.lit(1.0 if n <= 2 * SAMPLE_ROWS else 2 * SAMPLE_ROWS / n))))
     near = drawn.where(F.col("h") <= share[F.col("lang")]).select("lang", "h", F.lower(F.substring("text", 1, SAMPLE_CHARS)).alias("text"))
-    near = near.groupBy("lang", "h").agg(F.min("text").alias("text"))  # copies count once, so a much copied text can't fill the sample
+    near = near.groupBy("lang", "h").agg(F.min("text").alias("text"))
     by_lang = near.groupBy("lang").agg(F.slice(F.sort_array(F.collect_list(F.struct("h", "text"))), 1, SAMPLE_ROWS).alias("rows")).collect()
     out = {}
     for r in by_lang:

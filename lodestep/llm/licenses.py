@@ -25,7 +25,7 @@ from __future__ import annotations
 import math
 import re
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import P, ascii_lower, hash128, quoted, written
@@ -98,45 +98,71 @@ def _starts(words: Column, phrase: list[str], label: str) -> Column:
     return F.transform(found, lambda i: F.struct(i.alias("at"), F.lit(label).alias("label")))
 
 
-def scan(docs: DataFrame, *, id: str = "doc_id", text: str = "text", threshold: float = 0.8, templates: dict[str, list[str]] = TEMPLATES) -> DataFrame:
-    """Per document: id, n_words, n_base, first_word, last_word, base_labels, labels, score (the greatest containment)."""
-    spark = docs.sparkSession
-    sets = template_sets(templates)
-    order = word_order(docs, sorted({w for _, s in sets for w in s}), text)
-    rank = {w: i for i, w in enumerate(order)}
-    index = []
-    for number, (label, found) in enumerate(sets):
-        need = math.ceil(round(threshold * len(found), 9))
-        own = sorted(found, key=rank.__getitem__)
-        index += [(w, number, label, i, len(own), need, own) for i, w in enumerate(own[: len(own) - need + 1])]
-    quote = lambda s: "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
-    values = ", ".join(f"({quote(w)}, {n}, {quote(label)}, {i}, {size}, {need}, array({', '.join(map(quote, own))}))" for w, n, label, i, size, need, own in index)
-    prefixes = spark.sql(f"select * from values {values} as t(w, template, label, i, size, need, own)")
+class _Templates:
+    """The templates as the join needs them: words in the global order, prefixes with their places."""
 
-    words = F.col(P + "words")
-    rare = _array(sorted({x[0] for x in index}))
-    at = F.filter(F.transform(words, lambda w, i: F.when(F.array_contains(rare, w), i)), lambda i: i.isNotNull())
-    numbers = F.array_distinct(F.flatten(F.transform(at, lambda i: F.array(F.floor(i / STRIDE), F.greatest(F.floor(i / STRIDE) - 1, F.lit(0))))))
-    blocks = F.transform(numbers, lambda b: F.array_intersect(_array(order), F.slice(words, (b * STRIDE + 1).cast("int"), 2 * STRIDE)))
-    blocks = F.when(F.arrays_overlap(words, rare), blocks).otherwise(F.array().cast("array<array<string>>"))
+    def __init__(self, docs: DataFrame, text: str, threshold: float, templates: dict[str, list[str]]):
+        self.sets = template_sets(templates)
+        self.order = word_order(docs, sorted({w for _, s in self.sets for w in s}), text)
+        rank = {w: i for i, w in enumerate(self.order)}
+        self.index = []
+        for number, (label, found) in enumerate(self.sets):
+            need = math.ceil(round(threshold * len(found), 9))
+            own = sorted(found, key=rank.__getitem__)
+            self.index += [(w, number, label, i, len(own), need, own) for i, w in enumerate(own[: len(own) - need + 1])]
+
+    def prefixes(self, spark: SparkSession) -> DataFrame:
+        quote = lambda s: "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
+        values = ", ".join(f"({quote(w)}, {n}, {quote(label)}, {i}, {size}, {need}, array({', '.join(map(quote, own))}))" for w, n, label, i, size, need, own in self.index)
+        return spark.sql(f"select * from values {values} as t(w, template, label, i, size, need, own)")
+
+    def blocks(self) -> Column:
+        """(block, held) of the blocks that hold a prefix word: number, and which template words are in it, rarest first."""
+        words, rare = F.col(P + "words"), _array(sorted({x[0] for x in self.index}))
+        at = F.filter(F.transform(words, lambda w, i: F.when(F.array_contains(rare, w), i)), lambda i: i.isNotNull())
+        numbers = F.array_distinct(F.flatten(F.transform(at, lambda i: F.array(F.floor(i / STRIDE), F.greatest(F.floor(i / STRIDE) - 1, F.lit(0))))))
+        held = F.transform(numbers, lambda b: F.struct(b.cast("bigint").alias("block"), F.array_intersect(_array(self.order), F.slice(words, (b * STRIDE + 1).cast("int"), 2 * STRIDE)).alias("held")))
+        return F.when(F.arrays_overlap(words, rare), held).otherwise(F.array().cast("array<struct<block:bigint,held:array<string>>>"))
+
+
+def _read(docs: DataFrame, id: str, text: str, known: _Templates) -> DataFrame:
     key = hash128(F.col(P + "text"), F.col(quoted(id)).cast("string"))
-    read = _split(docs, [id], text).select(F.col(quoted(id)), key.alias("key"), F.size(words).cast("bigint").alias("n_words"), _places().alias("places"), F.array_distinct(blocks).alias("blocks"))
-    rows = written(read, "words")
-
-    block = rows.where(F.size("blocks") > 0).select("key", F.explode("blocks").alias("block"))
-    token = block.select("key", "block", F.posexplode("block").alias("j", "w"))
-    held = F.size("block")
-    passes = (held >= F.col("need")) & (F.col("j") <= held - F.col("need")) & (1 + F.least(F.col("size") - F.col("i") - 1, held - F.col("j") - 1) >= F.col("need"))
-    pairs = token.join(prefixes, "w").where(passes)
-    common = F.size(F.array_intersect("block", "own"))
-    matched = pairs.where(common >= F.col("need")).select("key", "label", (common / F.col("size")).alias("part"))
-    labels = matched.groupBy("key").agg(F.collect_set("label").alias("more"), F.max("part").alias("part"))
+    read = _split(docs, [id], text).select(F.col(quoted(id)).alias("id"), key.alias("key"), F.size(P + "words").cast("bigint").alias("n_words"), _places().alias("places"), known.blocks().alias("blocks"))
+    return written(read, "words")
+
+
+def _joined(rows: DataFrame, known: _Templates) -> DataFrame:
+    """(id, key, block, template, label, containment) of all blocks and templates that match."""
+    block = rows.where(F.size("blocks") > 0).select("id", "key", F.explode("blocks").alias("b")).select("id", "key", "b.*")
+    token = block.select("id", "key", "block", "held", F.posexplode("held").alias("j", "w"))
+    n = F.size("held")
+    passes = (n >= F.col("need")) & (F.col("j") <= n - F.col("need")) & (1 + F.least(F.col("size") - F.col("i") - 1, n - F.col("j") - 1) >= F.col("need"))
+    pairs = token.join(known.prefixes(rows.sparkSession), "w").where(passes)
+    common = F.size(F.array_intersect("held", "own"))
+    # a pair may meet in several prefix words: its first common one counts
+    return pairs.where(common >= F.col("need")).groupBy("id", "key", "block", "template", "label").agg(F.max(common / F.col("size")).alias("containment"))
+
+
+def matches(docs: DataFrame, *, id: str = "doc_id", text: str = "text", threshold: float = 0.8, templates: dict[str, list[str]] = TEMPLATES) -> DataFrame:
+    """Every text block that meets the threshold of a template: id, block, first_word and last_word (exclusive, as far as the text goes), template number, label, containment."""
+    known = _Templates(docs, text, threshold, templates)
+    rows = _read(docs, id, text, known)
+    found = _joined(rows, known).join(rows.select("key", "n_words").distinct(), "key")
+    begin = F.col("block") * STRIDE
+    return found.select(F.col("id").alias(id), "block", begin.alias("first_word"), F.least(begin + 2 * STRIDE, F.col("n_words")).alias("last_word"), "template", "label", "containment")
+
+
+def scan(docs: DataFrame, *, id: str = "doc_id", text: str = "text", threshold: float = 0.8, templates: dict[str, list[str]] = TEMPLATES) -> DataFrame:
+    """Per document: id, n_words, n_base, first_word, last_word, base_labels, labels, score (the greatest containment)."""
+    known = _Templates(docs, text, threshold, templates)
+    rows = _read(docs, id, text, known)
+    labels = _joined(rows, known).groupBy("key").agg(F.collect_set("label").alias("more"), F.max("containment").alias("part"))
 
     starts = F.transform("places", lambda p: p["at"])
     base = F.array_distinct(F.transform("places", lambda p: p["label"]))
     some = F.size("places") > 0
     return rows.join(labels, "key", "left").select(
-        F.col(quoted(id)), "n_words", F.size("places").cast("bigint").alias("n_base"),
+        F.col("id").alias(id), "n_words", F.size("places").cast("bigint").alias("n_base"),
         F.array_min(starts).cast("bigint").alias("first_word"), F.array_max(starts).cast("bigint").alias("last_word"),
         F.array_join(F.array_sort(base), ",").alias("base_labels"),
         F.array_join(F.array_sort(F.array_union(base, F.coalesce("more", F.array().cast("array<string>")))), ",").alias("labels"),

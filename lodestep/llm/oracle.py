@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import quality
+from . import licenses, quality, sharding, warc
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _SPACES = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
@@ -16,7 +16,7 @@ kept as (select rid, count(*) as n_lines, count(*) filter (gone) as n_dropped, c
 select doc_id, n_lines, n_dropped, sha256(kept.text) as kept_sha256 from docs join kept using (rid)"""
 
 
-def quality_sql(spread: float = 6.0, min_group: int = 200) -> str:
+def quality_sql(spread: float = 6.0, prior: int = 200) -> str:
     p = quality.P
     measures = {m: e.replace(p, "") for m, (e, _) in quality.MEASURES.items()}
     floors = ", ".join(f"('{m}', {f}::DOUBLE)" for m, (_, f) in quality.MEASURES.items())
@@ -28,7 +28,8 @@ def quality_sql(spread: float = 6.0, min_group: int = 200) -> str:
 {name} as (select {by}measure, max(total) as total, min(bucket) filter (below >= 0.5 * total) as b2, min(bucket) filter (below >= 0.75 * total) as b3 from {name}_r group by {by}measure)"""
 
     value = lambda b: f"(case when {b} <= -10000 then 0::DOUBLE else pow({quality.GAMMA}::DOUBLE, {b}) end)"
-    fence = lambda t: f"{value(t + '.b3')} + greatest({spread}::DOUBLE * ({value(t + '.b3')} - {value(t + '.b2')}), floor_)"
+    drawn = lambda x, q, to: f"(({x}.total * {value(x + '.' + q)} + {prior}::DOUBLE * {to}) / ({x}.total + {prior}::DOUBLE))"
+    q2, q3 = (drawn("o", q, drawn("l", q, value(f"a.{q}"))) for q in ("b2", "b3"))
     within = " and ".join(f"coalesce({e} <= max(f.fence) filter (f.measure = '{m}'), true)" for m, e in measures.items())
     return f"""with docs as (select row_number() over () as rid, doc_id, coalesce(text, '') as text, lang, source from documents),
 words as (select rid, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') as w from docs),
@@ -44,7 +45,7 @@ valued as ({values}),
 sketched as (select *, case when v <= 1e-6 then -10000 else ceil(ln(v) / ln({quality.GAMMA}::DOUBLE))::INT end as bucket from valued),
 {fences('own', 'lang, source')}, {fences('ofl', 'lang')}, {fences('ofa', '')},
 floors(measure, floor_) as (values {floors}),
-fences as (select o.lang, o.source, o.measure, case when o.total >= {min_group} then {fence('o')} when l.total >= {min_group} then {fence('l')} else {fence('a')} end as fence
+fences as (select o.lang, o.source, o.measure, {q3} + greatest({spread}::DOUBLE * ({q3} - {q2}), floor_) as fence
     from own o join ofl l on o.lang is not distinct from l.lang and o.measure = l.measure join ofa a on a.measure = o.measure join floors on floors.measure = o.measure)
 select doc_id, n_words::BIGINT as n_words, word_chars::BIGINT as word_chars, n_symbols::BIGINT as n_symbols, n_dup_lines::BIGINT as n_dup_lines, n_repeat_words::BIGINT as n_repeat_words, base_failed,
     not base_failed and {within} as kept
@@ -52,4 +53,64 @@ from counted c left join fences f on c.lang is not distinct from f.lang and c.so
 group by c.rid, doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_capitals, n_marks, base_failed"""
 
 
-ORACLE_SQL = {"op2_line_dedup": LINE_DEDUP, "op4_quality_rules": quality_sql()}
+def licenses_sql(threshold: float = 0.8) -> str:
+    """Every block against every template."""
+    phrases = " union all ".join(f"select '{label}' as label, {len(p.split())} as k, [{', '.join(repr(w) for w in p.split())}] as p" for p, label in licenses.PHRASES.items())
+    templates = ", ".join(f"('{label}', [{', '.join(repr(w) for w in found)}])" for label, found in licenses.template_sets())
+    n = licenses.STRIDE
+    return f"""with docs as (select row_number() over () as rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') as w from documents),
+phrases as ({phrases}),
+places as (select rid, i - 1 as place, label from (select rid, w, unnest(range(1, len(w) + 1)) as i from docs), phrases where w[i:i + k - 1] = p),
+base as (select rid, count(*) as n_base, min(place) as first_word, max(place) as last_word, list(distinct label) as labels from places group by rid),
+templates(label, t) as (values {templates}),
+blocks as (select rid, list_distinct(w[b * {n} + 1:b * {n} + {2 * n}]) as held from (select rid, w, unnest(range(0, (len(w) + {n - 1}) // {n})) as b from docs)),
+parts as (select rid, label, len(list_intersect(held, t)) / len(t)::DOUBLE as part, len(list_intersect(held, t)) >= ceil(round({threshold}::DOUBLE * len(t), 9)) as meets from blocks, templates),
+more as (select rid, list(distinct label) as labels, max(part) as part from parts where meets group by rid)
+select doc_id, len(w) as n_words, coalesce(n_base, 0) as n_base, first_word::BIGINT as first_word, last_word::BIGINT as last_word, coalesce(array_to_string(list_sort(base.labels), ','), '') as base_labels,
+    array_to_string(list_sort(list_distinct(list_concat(coalesce(base.labels, []), coalesce(more.labels, [])))), ',') as labels, case when n_base > 0 then 1::DOUBLE else coalesce(part, 0::DOUBLE) end as score
+from docs left join base using (rid) left join more using (rid)"""
+
+
+#: The 256 steps of CRC-32 as a one-row table.
+CRC_STEPS = "(select list(list_reduce([i] || [0::BIGINT, 0, 0, 0, 0, 0, 0, 0], lambda c, z: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end) order by i) as steps from range(256) r(i))"
+
+
+def _crc32(hex_: str) -> str:
+    """CRC-32 of bytes given in hexadecimal, by the column ``steps``."""
+    return f"xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(regexp_extract_all({hex_}, '..'), lambda p: ('0x' || p)::BIGINT)), lambda c, b: xor(c >> 8, steps[(xor(c, b) & 255) + 1])), 4294967295)"
+
+
+def shards_sql(n: int = 16) -> str:
+    """Equal-depth cells of language and source and the cell of the size, along the Hilbert curve, cut into runs of equal counts."""
+    cells = ", ".join(f"""{c}_c as (select v, floor((upto - n) * {1 << sharding.BITS} / total)::BIGINT as cell from (select v, n, sum(n) over (order by v nulls first) as upto, sum(n) over () as total from (select {c} as v, count(*) as n from documents group by {c})))""" for c in ("lang", "source"))
+    sizes = " + ".join(f"(size >= {x})::INT" for x in sharding.SIZE_STEPS)
+    sql, known = f"(select d.*, l.cell as c0, s.cell as c1, {sizes} as c2 from docs d join lang_c l on l.v is not distinct from d.lang join source_c s on s.v is not distinct from d.source)", set()
+    for step in sharding.hilbert_steps(["c0", "c1", "c2"], sharding.BITS):
+        new = ", ".join(f"{e} as {k}" for k, e in step.items() if k not in known)
+        old = ", ".join(f"{e} as {k}" for k, e in step.items() if k in known)
+        sql, known = f"(select *{f' replace ({old})' if old else ''}{', ' + new if new else ''} from {sql})", known | set(step)
+    return f"""with docs as (select doc_id, lang, source, coalesce(octet_length(encode(text)), 0) + 1 as size, {_crc32("hex(encode(coalesce(text, '')))")} as crc from documents, {CRC_STEPS}), {cells},
+ranked as (select *, row_number() over (order by h, crc, size, doc_id) - 1 as r, count(*) over () as total from {sql}),
+cut as (select *, (r * {n}) // total as shard from ranked)
+select doc_id, size::BIGINT as size, crc::BIGINT as text_crc32, 'rows' as law, shard::INT as shard, (r - (shard * total + {n - 1}) // {n})::BIGINT as slot, null::INT as grown_shard, h as hilbert from cut"""
+
+
+def revisits_sql() -> str:
+    """The captures that the query makes of pages, and the latest earlier response by an as-of join."""
+    tracking = ", ".join(f"'{t}'" for t in warc.TRACKING)
+    return f"""with bare as (select *, regexp_replace(regexp_replace(trim(url), '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://', '') as b from pages),
+parts as (select *, regexp_replace(regexp_replace(lower(regexp_extract(b, '^([^/?]*)', 1)), '^(www|m)\\.', ''), ':(80|443)$', '') as host, regexp_extract(b, '^[^/?]*([^?]*)', 1) as path,
+    list_sort(list_filter(string_split(regexp_extract(b, '\\?(.*)$', 1), '&'), lambda p: p <> '' and lower(split_part(p, '=', 1)) not in ({tracking}))) as args from bare),
+caps as (select page_id, 1700000000 + page_id * 60 as t, '"' || md5(coalesce(html, '')) || '"' as etag, html, page_id % 5 as k,
+    host || case when path = '/' then '' else regexp_replace(path, '/$', '') end || case when len(args) > 0 then '?' || array_to_string(args, '&') else '' end as url_key from parts),
+found as (select v.page_id, v.t + 7200 as again, v.k, v.url_key, v.etag as own, r.page_id as source, r.t as source_t, r.etag, r.html from caps v left join lateral
+    (select * from caps r where r.url_key = v.url_key and r.t < v.t + 7200 order by r.t desc, 'r' || r.page_id desc limit 1) r on true),
+judged as (select *, case when source is null then 'orphan' when k = 1 then 'unchecked' when k = 2 then case when 1700000000 + page_id * 60 = source_t then 'resolved' else 'changed' end
+    when k = 0 then 'changed' when own = etag then 'resolved' else 'changed' end as status from found),
+kept as (select *, status in ('resolved', 'unchecked') as takes from judged)
+select 'v' || page_id as record_id, url_key, again as captured_at, status, case when takes then 'r' || source end as source_id,
+    case when takes then 'cache-control=max-age=60; content-type=text/html; date=' || again || '; etag=' || case when k in (1, 2) then etag else 'W/' || own end || '; last-modified=' || (source_t - 3600) end as headers,
+    case when takes then octet_length(encode(html)) end as body_bytes, case when takes then md5(html) end as body_md5 from kept"""
+
+
+ORACLE_SQL = {"op2_line_dedup": LINE_DEDUP, "op4_quality_rules": quality_sql(), "op5_warc_revisits": revisits_sql(), "op7_license_scan": licenses_sql(), "op9_hilbert_shards": shards_sql()}

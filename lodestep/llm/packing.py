@@ -34,8 +34,8 @@ from .bpe import CHUNK, SPACE, broadcast_vocabulary
 from .common import quoted
 
 GROUP_IDS = 4_000_000
-#: Chunks whose ids a worker remembers; then it starts anew. Only saves time.
-MEMO = 800_000
+#: How many chunks' ids a worker remembers (then it starts anew), and of how many characters at most. Only saves time.
+MEMO, MEMO_CHARS = 800_000, 64
 _OTHER_SPACE = re.compile("[" + SPACE.replace(" ", "").replace("\t-\r", "\t\x0b-\r") + "]")
 
 
@@ -53,15 +53,15 @@ class Tokens:
         self.plain: dict[str, bytes] = {}
 
     def _ids(self, memo: dict[str, bytes], chunks: list[str], before: str) -> bytes:
+        import numpy as np
+
         if len(memo) > MEMO:
             memo.clear()
-        new = [c for c in set(chunks) if c not in memo]
-        if new:
-            import numpy as np
-
-            for c in new:
-                memo[c] = np.array(self.encode(c if c[:1] == "\n" else before + c), self.width).tobytes()
-        return b"".join(map(memo.__getitem__, chunks))
+        long = {}
+        for c in set(chunks):
+            if c not in memo:
+                (memo if len(c) <= MEMO_CHARS else long)[c] = np.array(self.encode(c if c[:1] == "\n" else before + c), self.width).tobytes()
+        return b"".join([memo[c] if c in memo else long[c] for c in chunks] if long else map(memo.__getitem__, chunks))
 
     def ids(self, text: str | None) -> bytes:
         """White space before a word is at most one space or line break in most texts; then cutting at these is enough."""

@@ -8,9 +8,10 @@ sketches: counts in logarithmic buckets with a bounded relative error (DDSketch)
 Adding counts merges them exactly, in any order, so the sketch of a language is
 the sum of those of its sources, and results don't depend on the partitioning.
 
-Groups with fewer than ``min_group`` documents take the sketch of their language,
-and languages with fewer take that of all documents. The fences, a row for each
-language and source, are joined to the measured documents.
+A small group's quartiles are drawn towards those of its language, and these towards
+those of all documents, as if each brought ``prior`` documents along: a group of n
+documents counts n / (n + prior). The fences, a row for each language and source, are
+joined to the measured documents.
 
 Defined results: null texts have no words and fail the base rules. Null languages
 and sources are groups of their own. Every row is judged by itself, whatever its id.
@@ -29,7 +30,7 @@ GAMMA = 1.02
 MEASURES = {
     "symbols": (f"{P}n_symbols / {P}n_words", 0.15),
     "dup_lines": (f"{P}n_dup_lines / {P}n_words", 0.05),
-    "repeats": (f"{P}n_repeat_words / {P}n_words", 0.2),
+    "repeats": (f"{P}n_repeat_words / {P}n_words", 0.15),
     "word_length": (f"{P}word_chars / {P}n_words", 4.0),
     "capitals": (f"{P}n_capitals / {P}word_chars", 0.3),
     "marks": (f"{P}n_marks / {P}n_words", 0.5),
@@ -100,8 +101,8 @@ def sketches(docs: DataFrame, group: list[str]) -> DataFrame:
     return rows.groupBy(*group, F.col("v.measure").alias("measure"), F.col("v.bucket").alias("bucket")).agg(F.count("*").alias("n"))
 
 
-def _fences(sketch: DataFrame, group: list[str], spread: float) -> DataFrame:
-    """(group, n, fences): the greatest allowed bucket value of each measure, from the cumulated counts of a sketch."""
+def _quartiles(sketch: DataFrame, group: list[str]) -> DataFrame:
+    """(group, measure, total, q2, q3): median and upper quartile, from the cumulated counts of a sketch."""
     from pyspark.sql import Window
 
     by = [*group, "measure"]
@@ -110,24 +111,23 @@ def _fences(sketch: DataFrame, group: list[str], spread: float) -> DataFrame:
     ranked = sketch.groupBy(*by, "bucket").agg(F.sum("n").alias("n")).select(*by, "bucket", total.alias("total"), below.alias("below"))
     value = lambda b: F.when(b <= -10_000, 0.0).otherwise(F.pow(F.lit(GAMMA), b))
     at = lambda q: value(F.min(F.when(F.col("below") >= q * F.col("total"), F.col("bucket"))))
-    per = ranked.groupBy(*by).agg(F.max("total").alias("total"), at(0.5).alias("q2"), at(0.75).alias("q3"))
-    least = F.create_map(*(F.lit(x) for name, (_, floor) in MEASURES.items() for x in (name, floor)))
-    fence = F.col("q3") + F.greatest(F.lit(spread) * (F.col("q3") - F.col("q2")), least[F.col("measure")])
-    return per.groupBy(*group).agg(F.max("total").alias("total"), *(F.max(F.when(F.col("measure") == m, fence)).alias(m) for m in MEASURES))
+    return ranked.groupBy(*by).agg(F.max("total").alias("total"), at(0.5).alias("q2"), at(0.75).alias("q3"))
 
 
-def thresholds(sketch: DataFrame, *, spread: float = 6.0, min_group: int = 200) -> DataFrame:
-    """(lang, source, one column a measure): each group's fences, from its own sketch, its language's or all documents'."""
+def thresholds(sketch: DataFrame, *, spread: float = 6.0, prior: int = 200) -> DataFrame:
+    """(lang, source, one column a measure): each group's fences, from its quartiles drawn towards those of larger groups."""
     lang, source = P + "lang", P + "source"
-    own = _fences(sketch, [lang, source], spread)
-    of_lang = _fences(sketch, [lang], spread)
-    of_all = _fences(sketch, [], spread)
-    pick = lambda m: F.when(F.col("g.total") >= min_group, F.col(f"g.{m}")).when(F.col("l.total") >= min_group, F.col(f"l.{m}")).otherwise(F.col(f"a.{m}")).alias(m)
-    joined = own.alias("g").join(of_lang.alias("l"), F.col(f"g.{lang}").eqNullSafe(F.col(f"l.{lang}"))).join(of_all.withColumn("one", F.lit(1)).alias("a"), F.col("a.one") == F.when(F.col("g.total") > 0, 1))
-    return joined.select(F.col(f"g.{lang}").alias(lang), F.col(f"g.{source}").alias(source), *(pick(m) for m in MEASURES))
+    own, of_lang, of_all = (_quartiles(sketch, g).alias(x) for g, x in (([lang, source], "g"), ([lang], "l"), ([], "a")))
+    joined = own.join(of_lang, F.col(f"g.{lang}").eqNullSafe(F.col(f"l.{lang}")) & (F.col("g.measure") == F.col("l.measure"))).join(of_all, F.col("g.measure") == F.col("a.measure"))
+    drawn = lambda x, q, to: (F.col(f"{x}.total") * F.col(f"{x}.{q}") + F.lit(float(prior)) * to) / (F.col(f"{x}.total") + F.lit(float(prior)))
+    q2, q3 = (drawn("g", q, drawn("l", q, F.col(f"a.{q}"))) for q in ("q2", "q3"))
+    least = F.create_map(*(F.lit(x) for name, (_, floor) in MEASURES.items() for x in (name, floor)))
+    per = joined.select(F.col(f"g.{lang}").alias(lang), F.col(f"g.{source}").alias(source), F.col("g.measure").alias("measure"), q2.alias("q2"), q3.alias("q3"))
+    fence = F.col("q3") + F.greatest(F.lit(spread) * (F.col("q3") - F.col("q2")), least[F.col("measure")])
+    return per.groupBy(lang, source).agg(*(F.max(F.when(F.col("measure") == m, fence)).alias(m) for m in MEASURES))
 
 
-def judged(docs: DataFrame, *, keep: list[str] | None = None, text: str = "text", lang: str = "lang", source: str = "source", spread: float = 6.0, min_group: int = 200) -> DataFrame:
+def judged(docs: DataFrame, *, keep: list[str] | None = None, text: str = "text", lang: str = "lang", source: str = "source", spread: float = 6.0, prior: int = 200) -> DataFrame:
     """The columns ``keep`` of ``docs`` (all by default), the counts and ``kept``; new columns are under the prefix.
 
     The measured rows are written once: sketching and filtering both read them.
@@ -138,7 +138,7 @@ def judged(docs: DataFrame, *, keep: list[str] | None = None, text: str = "text"
     group = [P + "lang", P + "source"]
     named = measured(docs, text).withColumns({group[0]: F.col(quoted(lang)), group[1]: F.col(quoted(source))})
     rows = written(named.select(*(F.col(quoted(c)) for c in keep), *counts, *group), "measured")
-    fences = written(thresholds(sketches(rows, group), spread=spread, min_group=min_group), "fences")
+    fences = written(thresholds(sketches(rows, group), spread=spread, prior=prior), "fences")
     limits = fences.select(*(F.col(c).alias(f"{P}f_{c}") for c in fences.columns))
     same = rows[group[0]].eqNullSafe(limits[f"{P}f_{group[0]}"]) & rows[group[1]].eqNullSafe(limits[f"{P}f_{group[1]}"])
     within = F.lit(True)

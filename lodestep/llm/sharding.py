@@ -19,6 +19,8 @@ rows than shards leave some shards empty. Law ``rows``: counts differ by at most
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -96,28 +98,59 @@ def _value_cells(df: DataFrame, column: str, bits: int) -> DataFrame:
     return first.select(F.col(column).alias("v"), F.floor((F.col("upto") - F.col("n") + F.col("b")) * (1 << bits) / F.col("total")).cast("int").alias("cell"))
 
 
-def _size_cell(size: Column, bits: int) -> Column:
-    """Cell of a size: its position among the powers of the square root of 2, from 16 bytes up."""
-    return F.greatest(F.lit(0), F.least(F.lit((1 << bits) - 1), F.floor(F.log2(size) * 2) - 8)).cast("int")
+#: Sizes at which cells begin: the powers of the square root of 2 from 16 bytes up.
+SIZE_STEPS = [math.ceil(2 ** (4 + (c + 1) / 2)) for c in range((1 << BITS) - 1)]
+
 
+def _size_cell(size: Column) -> Column:
+    """Cell of a size: how many steps it reaches."""
+    return F.size(F.filter(F.array(*(F.lit(x).cast("bigint") for x in SIZE_STEPS)), lambda x: x <= size)).cast("int")
 
-def hilbert_shards(docs: DataFrame, n_shards: int, *, id: str = "doc_id", text: str = "text", values: tuple[str, ...] = ("lang", "source")) -> DataFrame:
-    """One narrow row per row of ``docs``: id, size, text_crc32, hilbert, shard, slot.
+
+def hilbert_shards(docs: DataFrame, n_shards: int, *, id: str = "doc_id", text: str = "text", values: tuple[str, ...] = ("lang", "source"), whole: bool = False) -> DataFrame:
+    """One narrow row per row of ``docs``: id, size, text_crc32, hilbert, shard, slot. With ``whole``, all columns of ``docs`` too, as ``doc``.
 
     The dimensions are the string columns ``values`` and the size.
     """
     t = F.col(quoted(text))
     size = (F.coalesce(F.octet_length(t), F.lit(0)) + 1).cast("bigint")
     crc = F.crc32(F.coalesce(t, F.lit("")).cast("binary")).cast("bigint")
-    narrow = docs.select(F.col(quoted(id)).alias("id"), size.alias("size"), crc.alias("crc"), *(F.col(quoted(c)).alias(f"v{i}") for i, c in enumerate(values)))
+    narrow = docs.select(F.col(quoted(id)).alias("id"), size.alias("size"), crc.alias("crc"), *(F.col(quoted(c)).alias(f"v{i}") for i, c in enumerate(values)), *([F.struct(*(F.col(quoted(c)) for c in docs.columns)).alias("doc")] if whole else []))
     rows = written(narrow, "metadata")
-    celled = rows.withColumn(f"c{len(values)}", _size_cell(F.col("size"), BITS))
+    celled = rows.withColumn(f"c{len(values)}", _size_cell(F.col("size")))
     for i in range(len(values)):
         cells = _value_cells(rows, f"v{i}", BITS).withColumnsRenamed({"v": f"w{i}", "cell": f"c{i}"})
         celled = celled.join(cells, F.col(f"v{i}").eqNullSafe(F.col(f"w{i}"))).drop(f"w{i}")
     indexed = with_hilbert(celled, [f"c{i}" for i in range(len(values) + 1)], BITS, "hilbert")
-    ranked = with_rank(indexed.select("id", "size", "crc", "hilbert"), ["hilbert", "crc", "size", "id"], "rank")
+    more = ["doc"] if whole else []
+    ranked = with_rank(indexed.select("id", "size", "crc", "hilbert", *more), ["hilbert", "crc", "size", "id"], "rank")
     total = max(1, rows.count())
     shard = F.expr(f"(rank * {n_shards}) div {total}").cast("int")
     begin = F.expr(f"(shard * cast({total} as bigint) + {n_shards - 1}) div {n_shards}")
-    return ranked.withColumn("shard", shard).withColumn("slot", F.col("rank") - begin).select(F.col("id").alias(id), "size", F.col("crc").alias("text_crc32"), "hilbert", "shard", "slot")
+    return ranked.withColumn("shard", shard).withColumn("slot", F.col("rank") - begin).select(F.col("id").alias(id), "size", F.col("crc").alias("text_crc32"), "hilbert", "shard", "slot", *more)
+
+
+def write_shards(docs: DataFrame, path: str, n_shards: int, *, id: str = "doc_id", text: str = "text", values: tuple[str, ...] = ("lang", "source")) -> DataFrame:
+    """Write the rows of ``docs`` by shard, in curve order, under ``path``/data, and a manifest under ``path``/manifest, which is returned.
+
+    The manifest has, for each shard, the number of rows and bytes and the least and
+    greatest size and value of each dimension: a filter on any of them names the shards to read
+    (``pruned``). Nulls lie outside of least and greatest; ``nulls_`` counts them.
+    """
+    spark = docs.sparkSession
+    placed = hilbert_shards(docs, n_shards, id=id, text=text, values=values, whole=True)
+    rows = placed.select("shard", "slot", "size", "doc.*")
+    ordered = rows.repartitionByRange(max(n_shards, int(spark.conf.get("spark.sql.shuffle.partitions"))), "shard", "slot").sortWithinPartitions("shard", "slot")
+    ordered.withColumnRenamed("shard", P + "shard").drop("slot", "size").write.partitionBy(P + "shard").parquet(f"{path}/data")
+    bounds = []
+    for c in ("size", *values):
+        bounds += [F.min(quoted(c)).alias(f"least_{c}"), F.max(quoted(c)).alias(f"most_{c}"), F.sum(F.col(quoted(c)).isNull().cast("bigint")).alias(f"nulls_{c}")]
+    manifest = rows.groupBy("shard").agg(F.count("*").alias("rows"), F.sum("size").alias("bytes"), *bounds)
+    manifest.coalesce(1).write.parquet(f"{path}/manifest")
+    return spark.read.parquet(f"{path}/manifest")
+
+
+def pruned(manifest: DataFrame, column: str, least, most) -> list[int]:
+    """The shards that may hold rows with ``column`` from ``least`` to ``most``."""
+    overlap = (F.col(quoted(f"least_{column}")) <= F.lit(most)) & (F.col(quoted(f"most_{column}")) >= F.lit(least))
+    return sorted(r["shard"] for r in manifest.where(overlap).select("shard").collect())  # a row for each shard

@@ -3,7 +3,7 @@
 A revisit says that a page hadn't changed since an earlier capture; its content is
 that of the latest earlier full response for the same canonical URL. That is an
 as-of join. It is done on narrow rows: captures of a URL are put into ``SLICES``
-time slices; within a slice a window finds the response before each revisit, and
+time slices that hold about as many captures each; within a slice a window finds the response before each revisit, and
 for revisits before the first response of their slice the last response of an
 earlier slice is carried on from one row a slice. So a URL with very many captures is
 dealt over many tasks, and bodies move only once, to the revisits that resolve.
@@ -17,10 +17,11 @@ response has another validator; ``unchecked`` where the revisit has no
 validator that the response has too (it is resolved, as no check speaks against it);
 ``orphan`` where no earlier response exists.
 
-Defined results: a null URL matches nothing (orphan). Of responses with equal
-time the one with the greatest id counts as latest; a response at the revisit's
-own time isn't earlier. Repeated revisits each give their row; of responses that share a
-record id one counts, and one without an id can't be referred to.
+Defined results: a revisit without URL or time matches nothing (orphan), a response
+without them is never found. Of responses with equal time the one with the greatest id counts
+as latest; a response at the revisit's own time isn't earlier. Repeated revisits each give
+their row; of responses that share record id and time the one counts whose body sorts first (by hash), and
+one without an id can't be referred to.
 """
 
 from __future__ import annotations
@@ -64,23 +65,30 @@ def resolve_revisits(records: DataFrame, slices: int = SLICES) -> DataFrame:
     url string, captured_at timestamp, headers map<string,string>, body string.
     """
     own = F.when(F.col("kind") == "revisit", F.col("headers")).alias("own")
-    named = written(records.select("record_id", "kind", "captured_at", canonical_url(F.col("url")).alias("url_key"), own), "captures")
-    spans = named.agg(F.min("captured_at").cast("double").alias("lo"), F.max("captured_at").cast("double").alias("hi")).first()
-    lo, hi = spans["lo"] or 0.0, spans["hi"] or 0.0
-    width = max((hi - lo) / slices, 1e-6)
-    rows = named.withColumn("slice", F.least(F.lit(slices - 1), F.floor((F.col("captured_at").cast("double") - lo) / width)).cast("int"))
-    response = F.when((F.col("kind") == "response") & F.col("record_id").isNotNull() & F.col("url_key").isNotNull(), F.struct("captured_at", F.col("record_id").alias("id")))
-
-    within = Window.partitionBy("url_key", "slice").orderBy(F.unix_micros("captured_at")).rangeBetween(Window.unboundedPreceding, -1)
+    all_ = written(records.select("record_id", "kind", "captured_at", canonical_url(F.col("url")).alias("url_key"), own), "captures")
+    known = F.col("url_key").isNotNull() & F.col("captured_at").isNotNull()
+    named = all_.where(known).withColumn("at", F.unix_micros("captured_at"))
+    cuts = named.agg(F.percentile_approx("at", [(i + 1) / slices for i in range(slices - 1)], 10_000).alias("c")).first()["c"] if slices > 1 else []  # one row
+    rows = named.withColumn("slice", F.size(F.filter(F.array(*map(F.lit, sorted(set(cuts or [])))).cast("array<bigint>"), lambda c: c < F.col("at"))))
+    response = F.when((F.col("kind") == "response") & F.col("record_id").isNotNull(), F.struct("at", F.col("record_id").alias("id")))
+
+    within = Window.partitionBy("url_key", "slice").orderBy("at").rangeBetween(Window.unboundedPreceding, -1)
     near = rows.withColumn("near", F.max(response).over(within)).where("kind = 'revisit'")
     last = rows.where("kind = 'response'").groupBy("url_key", "slice").agg(F.max(response).alias("last"))
     wanted = near.where("near is null").select("url_key", "slice").distinct()
     earlier = Window.partitionBy("url_key").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     ends = last.join(wanted.withColumn("asked", F.lit(True)), ["url_key", "slice"], "full").withColumn("carried", F.max("last").over(earlier)).where("asked").select("url_key", "slice", "carried")
-    found = near.join(ends, ["url_key", "slice"], "left").select("record_id", "url_key", "captured_at", "own", F.coalesce("near", "carried")["id"].alias("source_id"))
-
-    full = records.where("kind = 'response' and record_id is not null").select(F.col("record_id").alias("source_id"), F.col("headers").alias("stored"), "body")
-    joined = found.join(full.dropDuplicates(["source_id"]), "source_id", "left")
+    source = F.coalesce("near", "carried")
+    found = near.join(ends, ["url_key", "slice"], "left").select("record_id", "url_key", "captured_at", "own", source["id"].alias("source_id"), source["at"].alias("source_at"))
+    alone = all_.where(~known & (F.col("kind") == "revisit")).select("record_id", "url_key", "captured_at", "own", F.lit(None).cast("string").alias("source_id"), F.lit(None).cast("bigint").alias("source_at"))
+    found = written(found.unionByName(alone), "found")
+
+    # only responses that are referred to move with their bodies
+    asked = found.select("source_id", "source_at").where("source_id is not null").distinct()
+    full = records.where("kind = 'response'").select(F.col("record_id").alias("source_id"), F.unix_micros("captured_at").alias("source_at"), F.struct(F.col("headers").alias("stored"), "body").alias("r"))
+    full = full.join(asked, ["source_id", "source_at"], "left_semi")
+    one = full.groupBy("source_id", "source_at").agg(F.min_by("r", F.xxhash64("r.body")).alias("r")).select("source_id", "source_at", "r.*")
+    joined = found.join(one, ["source_id", "source_at"], "left")
     own_tag, tag = _bare_etag(F.col("own")["etag"]), _bare_etag(F.col("stored")["etag"])
     own_time, time = F.col("own")["last-modified"], F.col("stored")["last-modified"]
     status = (
@@ -102,12 +110,12 @@ def captures_of_pages(pages: DataFrame) -> DataFrame:
     """A capture log of all pages: for each page a full response, and a revisit some hours later.
 
     Made from page_id, url and html alone. A revisit carries the page's ETag,
-    for pages whose URL hash says so an outdated one, or only a date.
+    for some pages, by their id, an outdated one, or only a date.
     """
     begin = F.lit(1_700_000_000) + F.col("page_id") * 60
     etag = F.concat(F.lit('"'), F.md5(F.coalesce("html", F.lit("")).cast("binary")), F.lit('"'))
     modified = (begin - 3600).cast("string")
-    case = F.crc32(F.coalesce("url", F.lit("")).cast("binary")) % 5
+    case = F.pmod("page_id", F.lit(5))
     response = F.struct(
         F.concat(F.lit("r"), F.col("page_id")).alias("record_id"), F.lit("response").alias("kind"), "url", F.timestamp_seconds(begin).alias("captured_at"),
         F.create_map(F.lit("content-type"), F.lit("text/html"), F.lit("date"), begin.cast("string"), F.lit("etag"), etag, F.lit("last-modified"), modified).alias("headers"), F.col("html").alias("body"),
