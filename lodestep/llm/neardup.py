@@ -232,9 +232,11 @@ def near_duplicates(docs: DataFrame, *, id: str = "doc_id", text: str = "text",
     centres = buckets.groupBy("bucket").agg(F.count("*").alias("members"), F.min("k").alias("a")).where("members > 1").select("bucket", "a")
     star = written(buckets.join(centres, "bucket").where("k != a").select("bucket", "a", F.col("k").alias("b")), "star")
 
-    # one text of each class that stands in a candidate pair, found by the text's hash: copies are merged before they move
-    wanted = star.select("a").union(star.select("b")).distinct().select(F.col("a").alias("k")).join(classes.select("k", "th"), "k")
-    one = named.select("th", "text").join(wanted.select("th"), "th", "left_semi").groupBy("th").agg(F.first("text").alias("text"))
+    # one text of each class that stands in a candidate pair, found by the text's hash; copies are dealt over SPREAD parts of it
+    every, part = F.explode(F.array(*map(F.lit, range(SPREAD)))).alias("part"), lambda c: F.pmod(c, F.lit(SPREAD)).cast("int")
+    wanted = written(star.select("a").union(star.select("b")).distinct().select(F.col("a").alias("k")).join(classes.select("k", "th"), "k"), "wanted")
+    dealt = named.select("th", "text", part(F.xxhash64(F.monotonically_increasing_id())).alias("part"))
+    one = dealt.join(wanted.select("th", every), ["th", "part"], "left_semi").groupBy("th").agg(F.first("text").alias("text"))
     texts = written(one.join(wanted, "th").select("k", "text"), "texts")
 
     first = written(_confirmed(star.select("a", "b").distinct(), texts, words), "confirmed")
@@ -254,8 +256,7 @@ def near_duplicates(docs: DataFrame, *, id: str = "doc_id", text: str = "text",
 
     # classes of one row are that row; rows of larger ones meet their class's result in one of SPREAD parts of it
     row = [*given, "n", "rid", "least"]
-    part = lambda c: F.pmod(c, F.lit(SPREAD)).cast("int")
-    shared = known.where("members > 1").select("k", "least", F.explode(F.array(*map(F.lit, range(SPREAD)))).alias("part"))
+    shared = known.where("members > 1").select("k", "least", every)
     copies = sketch.where("n > 0").withColumn("part", part(F.xxhash64("rid"))).join(shared, ["k", "part"]).select(*row)
     empty = sketch.where("n = 0").select(*given, "n", "rid", own.alias("least"))
     out = known.where("members = 1").select(*row).unionByName(copies).unionByName(empty)

@@ -58,9 +58,57 @@ def test_language_sample_ignores_copies(spark):
     assert learned["en"].count(b"same text again") <= 1
 
 
+def test_language_of_copies_is_learned(spark):
+    """A language of very many rows but few texts keeps its dictionary."""
+    draw = random.Random(2)
+    rows = [(f"das ist ein deutscher satz nummer {i % 51} mit vielen worten", "de") for i in range(20_000)]
+    rows += [(" ".join(draw.choices(["the", "cat", "sat", "down", "here", "and", "there", "again"], k=9)), "en") for _ in range(2000)]
+    df = spark.createDataFrame(rows, "text string, lang string")
+    learned = langid.learn(df)
+    assert set(learned) == {"de", "en"} and learned["de"].count(b"deutscher") == 51
+    assert langid.learn(df.repartition(13)) == learned
+    with pytest.raises(ValueError, match="languages"):
+        langid.learn(spark.range(500).selectExpr("cast(id as string) as lang", "'a' as text"))
+
+
+def test_language_is_the_smallest_encoding(spark, sf, docs):
+    """Sizes, choice and score by hand: every text compressed with every dictionary."""
+    import zstandard
+
+    learned = langid.learn(table(spark, sf, "documents").where(~langid.held_out(F.col("doc_id"))))
+    coders = {n: zstandard.ZstdCompressor(level=langid.LEVEL, dict_data=zstandard.ZstdCompressionDict(c, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False, write_checksum=False, write_dict_id=False) for n, c in learned.items()}
+    for r in queries.op1_language_id(spark, sf).collect():
+        text = (docs[r.doc_id].text or "").lower()
+        if not any(map(str.isalpha, text)):
+            assert (r.lang_pred, r.score, r.confident) == ("und", 0.0, False)
+            continue
+        sizes = sorted((sum(len(coders[n].compress(text[i : i + langid.BLOCK_CHARS].encode())) for i in range(0, len(text), langid.BLOCK_CHARS)), n) for n in coders)
+        margin = (sizes[1][0] - sizes[0][0]) / sizes[1][0]
+        assert (r.lang_pred, r.confident) == (sizes[0][1], margin >= 0.01)
+        assert r.score == pytest.approx(margin / (margin + 0.05) if margin else 0.0)
+
+
 # --- line dedup ---
 
 
+def test_line_store_is_kept_and_opened_again(spark, tmp_path):
+    """Batches by two openings of one store count like one table; merges need no shuffle."""
+    draw, root = random.Random(9), f"file://{tmp_path}/store"
+    batches = [[draw.randrange(60) ** 2 // 30 for _ in range(draw.randint(20, 80))] for _ in range(7)]
+    seen: collections.Counter = collections.Counter()
+    for i, batch in enumerate(batches):
+        store = linededup.LineStore(spark, 25, root, buckets=3) if i == 0 else linededup.LineStore.open(spark, root)
+        n = collections.Counter(batch)
+        store.add(spark.createDataFrame(list(n.items()), "h bigint, n bigint"))
+        store.save()
+        seen.update(n)
+        assert sorted(r.h for r in linededup.LineStore.open(spark, root).hot_hashes().collect()) == sorted(h for h, m in seen.items() if m >= 25)
+    runs = [x for level in store.levels for x in level]
+    plan = store._merged(runs[:2])._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Exchange" not in plan
+    store.forget()
+
+
 def key_of(line):
     return re.sub("[A-Z]", lambda m: m[0].lower(), line.strip(" \t\n\x0b\f\r"))
 
@@ -136,6 +184,47 @@ def test_packing_round_trip(odd_docs):
         assert joined == coder.encode(doc.text or "")
 
 
+def test_packing_query_is_lossless_and_full(spark, sf, docs):
+    """All ids of all documents, by the library, in their place; nearly no padding."""
+    import tiktoken
+
+    path, pattern = queries.vocabulary()
+    library = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=bpe.read_ranks(path), special_tokens={})
+    packed = queries.op3_pack_tokens(spark, sf).cache()
+    got = collections.defaultdict(dict)
+    for r in packing.unpacked(packed).collect():
+        assert r.doc_offset % 2048 == 0 and r.doc_offset not in got[r.doc_id]
+        got[r.doc_id][r.doc_offset] = r.ids
+    for k, r in docs.items():
+        assert [x for at in sorted(got.get(k, {})) for x in got[k][at]] == library.encode_ordinary(r.text)
+    used = packed.agg(F.sum("n_ids")).first()[0]
+    assert used / (2048 * packed.count()) > 0.9
+    packed.unpersist()
+
+
+def test_packing_odd(odd_extra, no_docs):
+    """Null and repeated ids are carried, repeated rows stay apart; an empty table has no rows."""
+    path, pattern = queries.vocabulary()
+    coder = packing.Tokens(bpe.read_ranks(path), pattern, "<u2")
+    got = collections.Counter((r.doc_id, r.doc_offset, tuple(r.ids)) for r in packing.unpacked(packing.pack_documents(odd_extra, path, pattern, length=128)).collect())
+    expected = collections.Counter()
+    for r in odd_extra.collect():
+        ids = coder.encode(r.text or "")
+        expected.update((r.doc_id, i, tuple(ids[i : i + 128])) for i in range(0, len(ids), 128))
+    assert got == expected
+    assert packing.pack_documents(no_docs, path, pattern).count() == 0
+
+
+def test_long_chunks_are_not_remembered():
+    path, pattern = queries.vocabulary()
+    coder = packing.Tokens(bpe.read_ranks(path), pattern, "<u2")
+    import numpy as np
+
+    text = "x" * 5000 + " word " + "漢" * 3000 + " word"
+    assert np.frombuffer(coder.ids(text), "<u2").tolist() == coder.encode(text)
+    assert max(map(len, [*coder.plain, *coder.spaced])) <= packing.MEMO_CHARS
+
+
 # --- quality ---
 
 
@@ -169,6 +258,38 @@ def test_quality_odd(odd_extra, no_docs):
     assert quality.judged(no_docs).count() == 0
 
 
+PLAIN = "Some quite ordinary sentence number {} that says nothing much about anything at all today"
+STRANGE = {
+    "symbols": PLAIN + " # * $ % & | < > # *",
+    "dup_lines": "\n".join(["{} one two three four", "five six seven eight", "five six seven eight", "nine ten eleven twelve thirteen"]),
+    "repeats": "{} a b c d e f g h i j k l m n o p q r s t u v w x y z " + " ".join(f"v{i}" for i in range(30)) + " a b c d e",
+    "word_length": "{} " + " ".join(f"extraordinarily{i}" for i in range(20)),
+    "capitals": "NUMBER {} SHOUTS WITHOUT END AT ALL THE PEOPLE WHO ARE IN THE STREET",
+    "marks": PLAIN + " one! two! three! four? five! six! seven!! eight?!",
+}
+
+
+def test_each_fence_rejects_what_stands_out(spark):
+    """Among ordinary documents each measure's strange one goes; where a source is made of such, it stays."""
+    rows = [(i, PLAIN.format(i), "en", "plain") for i in range(400)] + [(1000 + j, text.format(j), "en", "plain") for j, text in enumerate(STRANGE.values())]
+    rows += [(10_000 * (j + 1) + i, text.format(i), "en", name) for j, (name, text) in enumerate(STRANGE.items()) for i in range(1500)]
+    kept = {r.doc_id: r[P + "kept"] for r in quality.judged(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"), keep=["doc_id"]).collect()}
+    assert all(kept[i] for i in range(400)) and not any(kept[1000 + j] for j in range(len(STRANGE)))
+    assert all(kept[i] for i in kept if i >= 10_000)
+
+
+def test_small_groups_are_drawn_to_larger_ones(spark):
+    """One document more never switches a fence from one rule to another."""
+    def fence(n):
+        sketch = [("en", "big", "symbols", -10_000, 5000), ("en", "own", "symbols", 0, n)]
+        rows = [(lang, source, m, b, k) for lang, source, _, b, k in sketch for m in quality.MEASURES]
+        df = spark.createDataFrame(rows, f"{P}lang string, {P}source string, measure string, bucket int, n long")
+        return quality.thresholds(df).where(F.col(P + "source") == "own").first()["symbols"]
+
+    found = [fence(n) for n in (1, 199, 200, 201, 100_000)]
+    assert found == sorted(found) and found[3] - found[1] < 0.1 and found[-1] > 1.0
+
+
 def test_sketches_merge(spark):
     """The sketch of all rows is the sum of the sketches of its parts, however they are cut."""
     df = spark.range(500).selectExpr("id as doc_id", "concat_ws(' ', array_repeat(concat('w', id), cast(11 + id % 40 as int))) as text", "'en' as lang", "concat('s', id % 3) as source")
@@ -236,6 +357,30 @@ def test_warc_files(spark, tmp_path):
     assert (row.record_id, row.status, row.source_id, row.body) == ("<2>", "resolved", "<1>", "hello")
 
 
+def test_revisits_without_place_or_time(spark):
+    import datetime
+
+    t = datetime.datetime(2024, 1, 1)
+    later = t + datetime.timedelta(hours=1)
+    rows = [("a", "response", "http://a.org", t, {"etag": "1"}, "x"), ("b", "response", "http://a.org", None, {"etag": "1"}, "y"), ("c", "revisit", "http://a.org", None, {"etag": "1"}, None),
+        ("d", "revisit", None, later, None, None), ("e", "revisit", "http://a.org", later, {"etag": "1"}, None), (None, "response", "http://a.org", later - datetime.timedelta(minutes=1), {"etag": "1"}, "z")]
+    got = {r.record_id: (r.status, r.source_id, r.body) for r in warc.resolve_revisits(records(spark, rows)).collect()}
+    assert got == {"c": ("orphan", None, None), "d": ("orphan", None, None), "e": ("resolved", "a", "x")}
+
+
+def test_revisit_query_by_hand(spark, sf):
+    """Each page has one response and one later revisit; pages of one URL are seen as one."""
+    pages = table(spark, sf, "pages").collect()
+    got = queries.op5_warc_revisits(spark, sf).collect()
+    assert sorted(r.record_id for r in got) == sorted(f"v{p.page_id}" for p in pages)
+    for r in got:
+        own = int(r.record_id[1:])
+        assert r.captured_at == 1_700_000_000 + own * 60 + 7200
+        if r.status == "resolved":
+            body = next(p.html for p in pages if f"r{p.page_id}" == r.source_id)
+            assert r.body_md5 == hashlib.md5(body.encode()).hexdigest() and r.body_bytes == len(body.encode())
+
+
 # --- byte-level BPE ---
 
 
@@ -321,9 +466,48 @@ def test_licenses_odd(spark, odd_extra, no_docs):
     assert licenses.scan(no_docs).count() == 0
 
 
+def test_license_blocks_by_hand(spark, sf, docs):
+    """Every block of every document against every template."""
+    got = {(r.doc_id, r.block, r.template): (r.first_word, r.last_word, r.label, round(r.containment, 9)) for r in licenses.matches(table(spark, sf, "documents")).collect()}
+    expected = {}
+    for k, r in docs.items():
+        words = licenses.words_in(r.text or "")
+        for b in range(0, len(words), licenses.STRIDE):
+            block = set(words[b : b + 2 * licenses.STRIDE])
+            for number, (label, found) in enumerate(licenses.template_sets()):
+                if len(block & set(found)) / len(found) >= 0.8 - 1e-12:
+                    expected[k, b // licenses.STRIDE, number] = b, min(b + 2 * licenses.STRIDE, len(words)), label, round(len(block & set(found)) / len(found), 9)
+    assert got == expected and expected
+
+
 # --- near duplicates ---
 
 
+@pytest.mark.parametrize("size", [5, 10, 25, 60, 150, 300, 301, 375, 1000])
+def test_bucket_recall_by_size(size):
+    """Pairs of a similarity of just 0.8 share a bucket, whatever the size of their sets."""
+    import numpy as np
+
+    draw, sign, met = np.random.default_rng(size), neardup.Signature(30, 5), 0
+    for _ in range(200):
+        s = draw.integers(0, 1 << 63, size, np.uint64) * np.uint64(2)
+        common = -(-size * 4 // 5)
+        cut = draw.integers(common, size + 1)
+        a, b = np.sort(s[:cut]), np.sort(np.concatenate([s[:common], s[cut:]]))
+        met += bool((sign.keys(a) == sign.keys(b)).any())
+    assert met >= 199
+
+
+def test_ids_that_are_missing_or_repeated(spark):
+    """Thousands of rows with null or one id: groups are those of the texts, and one row of each survives."""
+    draw = random.Random(12)
+    texts = [" ".join(f"w{draw.randrange(10**6)}" for _ in range(30)) for _ in range(1500)]
+    rows = [(None if i % 2 else 7, t) for i, t in enumerate(texts) for _ in range(2)] + [(None, None), (None, None)]
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == 3002 and sum(r.survivor for r in got) == 1502
+    assert {(r.doc_id, r.component_id) for r in got} == {(None, None), (7, 7)}
+
+
 def groups_by_hand(texts, words, percent):
     sets = {k: set(neardup.shingles(t, words).tolist()) for k, t in texts.items()}
     label = {k: k for k in sets}
@@ -406,9 +590,73 @@ def test_shards_odd(odd_extra, no_docs):
     assert sharding.hilbert_shards(no_docs, 5).count() == 0
 
 
+def test_shard_files_prune(spark, sf, tmp_path):
+    """All rows are in the files of their shard, in curve order; filters on each dimension skip shards and lose nothing."""
+    docs = table(spark, sf, "documents")
+    manifest = sharding.write_shards(docs, f"file://{tmp_path}/out", 16).cache()
+    data = spark.read.parquet(f"file://{tmp_path}/out/data").withColumnRenamed(P + "shard", "shard")
+    assert sorted(map(tuple, data.drop("shard").select(*docs.columns).collect())) == sorted(map(tuple, docs.collect()))
+    shard_of = {r.doc_id: r.shard for r in queries.op9_hilbert_shards(spark, sf).collect()}
+    rows = data.collect()
+    assert all(shard_of[r.doc_id] == r.shard for r in rows) and sum(r.rows for r in manifest.collect()) == len(rows)
+    skipped = {}
+    for column, least, most in (("lang", "fr", "fr"), ("size", 1, 60), ("source", "src1", "src1")):
+        named = sharding.pruned(manifest, column, least, most)
+        value = lambda r: len((r.text or "").encode()) + 1 if column == "size" else r[column]
+        assert {r.shard for r in rows if value(r) is not None and least <= value(r) <= most} <= set(named)
+        skipped[column] = 16 - len(named)
+    assert skipped["lang"] > 0 and skipped["size"] > 0
+    manifest.unpersist()
+
+
 # --- decontamination ---
 
 
+def test_leaks_query_by_brute_force(spark, sf, docs):
+    """Each document against each item: least edits and the first place with so many; nothing else is reported."""
+    items = {r.item_id: decontaminate.words_of(r.text) for r in table(spark, sf, "benchmark").collect()}
+    expected = {}
+    for k, r in docs.items():
+        words = decontaminate.words_of(r.text)
+        for i, own in items.items():
+            edits, place = decontaminate.edits_at_best_place(own, words)
+            if own and edits <= int(0.2 * len(own)):
+                expected[k, i] = place, len(own), edits, 1 - edits / len(own)
+    got = {(r.doc_id, r.item_id): (r.start_word, r.item_words, r.edits, r.similarity) for r in queries.op10_decontaminate(spark, sf).collect()}
+    assert set(got) <= set(expected) and len(got) >= 0.95 * len(expected)
+    assert {k for k, x in expected.items() if x[2] == 0} <= set(got)
+    assert sum(got[k] == expected[k] for k in got) >= 0.95 * len(got)
+
+
+def test_leaks_of_short_equal_and_unparted_items(spark):
+    items = [(1, "Paris"), (2, "paris"), (3, "two words"), (4, "東京は日本の首都です"), (5, "a b c d e f g h i j " * 300)]
+    docs = [(1, "he went to Paris, then home"), (2, "only two, words here"), (3, "彼は東京は日本の首都ですと言った"), (4, "parisian words two"), (5, "x " + "a b c d e f g h i j " * 300)]
+    got = decontaminate.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert sorted((r.doc_id, r.item_id, r.edits) for r in got) == [(1, 1, 0), (1, 2, 0), (2, 3, 0), (3, 4, 0), (5, 5, 0)]
+
+
+def plain_edits(item, window):
+    """Least edits and least begin by the whole matrix."""
+    row = [(0, j) for j in range(len(window) + 1)]
+    for i, word in enumerate(item, 1):
+        new = [(i, 0)]
+        for j, other in enumerate(window, 1):
+            new.append(min((row[j - 1][0] + (word != other), row[j - 1][1]), (row[j][0] + 1, row[j][1]), (new[-1][0] + 1, new[-1][1])))
+        row = new
+    return min(row)
+
+
+def test_edits_equal_the_whole_matrix():
+    draw = random.Random(3)
+    for _ in range(1500):
+        item = [bytes([draw.randrange(97, 100)]) for _ in range(draw.randint(1, 9))]
+        window = [bytes([draw.randrange(97, 100)]) for _ in range(draw.randint(0, 12))]
+        edits, begin = plain_edits(item, window)
+        assert decontaminate.edits_at_best_place(item, window)[0] == edits
+        if edits < len(item):
+            assert decontaminate.edits_at_best_place(item, window)[1] == begin
+
+
 def test_leaks_exact_copies(spark, sf, docs):
     items = {r.item_id: decontaminate.words_of(r.text) for r in table(spark, sf, "benchmark").collect()}
     got = {(r.doc_id, r.item_id) for r in queries.op10_decontaminate(spark, sf).where("edits = 0").collect()}
@@ -472,7 +720,7 @@ def test_leaks_recall_at_share(spark, least, most, floor):
 def test_leaks_odd(spark, odd_extra, no_docs):
     from .conftest import PROSE
 
-    items = spark.createDataFrame([(1, PROSE[0]), (2, None), (3, ""), (None, PROSE[2].upper()), (4, "too short")], "item_id long, text string")
+    items = spark.createDataFrame([(1, PROSE[0]), (2, None), (3, ""), (None, PROSE[2].upper()), (4, "not there")], "item_id long, text string")
     kept = decontaminate.without_leaks(odd_extra, items)
     assert kept.columns == odd_extra.columns
     assert sorted(r.doc_id for r in kept.collect()) == [2, 4, 5, 6, 8, 9, 10]

@@ -56,10 +56,29 @@ def test_stages(spark, sf):
         assert r.decoded_sha256 == hashlib.sha256(left[r.doc_id].encode()).hexdigest()
 
 
+def test_run_is_its_stages(spark, sf):
+    """run() over a whole folder equals the stages one after the other."""
+    df = table(spark, sf, "documents")
+    for _, stage in corpus_pipeline.STAGES:
+        df = stage(spark, df, sf)
+    assert sorted(map(tuple, corpus_pipeline.run(spark, sf).collect())) == sorted(map(tuple, df.collect()))
+
+
 def test_stages_on_odd_rows(spark, sf, odd_extra, no_docs):
-    for docs in (odd_extra.drop("a.b"), no_docs):
+    for docs in (odd_extra, no_docs):
         df = docs
         for name, stage in corpus_pipeline.STAGES[:4]:
             df = stage(spark, df, sf)
             assert df.columns == docs.columns, name
-            df.count()
+        assert corpus_pipeline.byte_bpe(spark, df, sf).count() == df.count()
+    assert corpus_pipeline.run(spark, sf).columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+
+
+def test_one_of_repeated_rows_stays(spark, sf, odd_extra):
+    """Rows that agree in everything are one group; rows without words all stay; columns with odd names are kept."""
+    left = corpus_pipeline.near_dedup(spark, odd_extra, sf)
+    assert left.columns == odd_extra.columns
+    texts = [r.text for r in left.collect()]
+    assert sum((t or "").startswith("the quick brown fox") for t in texts) == 1
+    twice = corpus_pipeline.near_dedup(spark, odd_extra.where("doc_id = 7").unionByName(odd_extra.where("doc_id in (4, 5)")), sf)
+    assert sorted(r.doc_id for r in twice.collect()) == [4, 5, 7]
