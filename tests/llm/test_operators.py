@@ -265,7 +265,7 @@ STRANGE = {
     "repeats": "{} a b c d e f g h i j k l m n o p q r s t u v w x y z " + " ".join(f"v{i}" for i in range(30)) + " a b c d e",
     "word_length": "{} " + " ".join(f"extraordinarily{i}" for i in range(20)),
     "capitals": "NUMBER {} SHOUTS WITHOUT END AT ALL THE PEOPLE WHO ARE IN THE STREET",
-    "marks": PLAIN + " one! two! three! four? five! six! seven!! eight?!",
+    "marks": PLAIN + " one!! two!! three!! four?? five!! six!! seven!! eight?!",
 }
 
 
