@@ -33,6 +33,8 @@ from pyspark.sql import functions as F
 from .common import P, ascii_lower, cols, forget, hash128, new_path, quoted
 
 FANOUT, BATCHES = 2, 4
+#: Line hashes a bucket is to hold; no more buckets than shuffle partitions.
+BUCKET_ROWS = 500_000
 _SPACE = " \t\n\x0b\f\r"
 
 
@@ -170,7 +172,8 @@ def hot_places(docs: DataFrame, *, text: str = "text", min_docs: int = 10, min_c
     path = new_path(spark, "incoming")
     batch_counts(docs, text=text, min_chars=min_chars, by=F.pmod(F.xxhash64(key), F.lit(batches))).write.partitionBy("batch").parquet(path)
     incoming = spark.read.schema("batch int, h bigint, n bigint").parquet(path)
-    store = LineStore(spark, min_docs)
+    most = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    store = LineStore(spark, min_docs, buckets=max(1, min(most, -(-incoming.count() // BUCKET_ROWS))))
     for batch in range(batches):
         store.add(incoming.where(F.col("batch") == batch).select("h", "n"))
     forget(spark, path)
