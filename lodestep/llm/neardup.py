@@ -182,18 +182,23 @@ def _linked(percent: int) -> Column:
     return F.col("common") * 100 >= F.lit(percent) * (F.col("na") + F.col("nb") - F.col("common"))
 
 
+def _only_stars(edges: DataFrame) -> bool:
+    """Whether each node of ``edges`` (a, b) leads to one other at most, and none that leads anywhere is led to."""
+    ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(edges.select("b", F.lit(0), F.lit(1)))
+    return ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 0 and up + down > 1").isEmpty()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, label) of every node of ``edges`` (a, b): label is the least node that can be reached.
 
-    Alternates large-star and small-star rounds until the edges no longer
-    change. Both hang neighbours on a node's least neighbour by one grouped
+    Alternates large-star and small-star rounds until every edge leads straight to a
+    node that leads nowhere: such stars change no more, so no round is spent on seeing that.
+    Both rounds hang neighbours on a node's least neighbour by one grouped
     minimum and one join, so a node with very many neighbours needs no list.
     """
     least, most = F.least("a", "b"), F.greatest("a", "b")
     now = written(edges.where(F.col("a") != F.col("b")).select(most.alias("a"), least.alias("b")).distinct(), "edges")
-    mark = lambda df: df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-    seen = mark(now)
-    while seen[0]:
+    while not _only_stars(now):
         both = now.union(now.select("b", "a"))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.where(F.col("b") > F.col("a")).join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
@@ -201,12 +206,22 @@ def components(edges: DataFrame) -> DataFrame:
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.explode(F.array(F.struct("a", "m"), F.struct(F.col("b").alias("a"), "m"))).alias("e"))
         now = written(small.select(F.col("e.a").alias("a"), F.col("e.m").alias("b")).where(F.col("a") != F.col("b")).distinct(), "edges")
-        before, seen = seen, mark(now)
-        if seen == before:
-            break
     return now.select(F.col("a").alias("node"), F.col("b").alias("label")).union(now.select("b", "b").distinct())
 
 
+def _labelled(df: DataFrame, node: str, labels: DataFrame, label: str) -> DataFrame:
+    """``df`` with the label of its ``node`` as ``label``; a node without links is its own."""
+    return df.join(labels.select(F.col("node").alias(node), F.col("label").alias(label)), node, "left").withColumn(label, F.coalesce(label, node))
+
+
+def grown(labels: DataFrame, more: DataFrame) -> DataFrame:
+    """``labels`` (node, label) after further links ``more`` (a, b): whole components are joined, so that rounds see the new links only."""
+    ends = _labelled(_labelled(more, "a", labels, "la"), "b", labels, "lb").select(F.col("la").alias("a"), F.col("lb").alias("b"))
+    joined = written(components(ends), "joined")
+    old = _labelled(labels.select("node", F.col("label").alias("was")), "was", joined, "label").select("node", "label")
+    return old.unionByName(joined.join(labels, "node", "left_anti"))
+
+
 #: A class of copies is dealt over so many tasks when its result goes back to its rows.
 SPREAD = 16
 
@@ -247,7 +262,7 @@ def near_duplicates(docs: DataFrame, *, id: str = "doc_id", text: str = "text",
         if (pairs := candidates(star, first, labels, texts, words, percent)) is None:
             break
         more = written(_confirmed(pairs, texts, words), "confirmed").where(_linked(percent)).select("a", "b")
-        labels = written(components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).union(more)), "labels")
+        labels = written(grown(labels, more), "labels")
 
     in_links = labels.withColumnRenamed("node", "k").join(classes.select("k", "rep"), "k")
     of_label = in_links.groupBy("label").agg(F.min("rep").alias("least"))
@@ -269,9 +284,8 @@ def near_duplicates(docs: DataFrame, *, id: str = "doc_id", text: str = "text",
 
 def _open_leaves(star: DataFrame, confirmed: DataFrame, labels: DataFrame) -> DataFrame | None:
     """(bucket, a, b, d, la, lb) of the leaves in buckets that still hold more than one component; None if there is no such bucket."""
-    label_of = lambda df, x, out: df.join(labels.select(F.col("node").alias(x), F.col("label").alias(out)), x, "left").withColumn(out, F.coalesce(out, x))
     known = confirmed.select("a", "b", (1 - F.col("common") / (F.col("na") + F.col("nb") - F.col("common"))).alias("d"))
-    leaves = star.join(label_of(label_of(known, "a", "la"), "b", "lb"), ["a", "b"])
+    leaves = star.join(_labelled(_labelled(known, "a", labels, "la"), "b", labels, "lb"), ["a", "b"])
     still = leaves.where("la != lb").select("bucket").distinct()
     found = written(leaves.join(still, "bucket", "left_semi"), "open")
     return None if found.isEmpty() else found

@@ -552,6 +552,28 @@ def test_shingles_are_whole_sequences_and_sets():
     assert not len(neardup.shingles(" \n", 4)) and not len(neardup.shingles(None, 4))
 
 
+def test_components_of_chains_rings_and_hubs(spark):
+    def least(edges):
+        root = {x: x for e in edges for x in e}
+        while any(root[a] != root[b] for a, b in edges):
+            for a, b in edges:
+                root[a] = root[b] = min(root[a], root[b])
+        return root
+
+    rng = random.Random(5)
+    chain, ring = [(i, i + 1) for i in range(40)], [(100 + i, 100 + (i + 1) % 9) for i in range(9)]
+    hub, loose = [(200, 200 + i) for i in range(1, 60)], [(rng.randrange(300, 400), rng.randrange(300, 400)) for _ in range(60)]
+    first = [e for e in chain + ring + hub + loose if e[0] != e[1]]
+    rng.shuffle(first)
+    labels = neardup.written(neardup.components(spark.createDataFrame(first, "a long, b long")), "labels")
+    assert {r.node: r.label for r in labels.collect()} == least(first) and labels.count() == len(least(first))
+    later = [(40, 100), (250, 105), (500, 501), (39, 502), (501, 503)]  # joins components, new nodes, new nodes to old ones
+    grown = neardup.grown(labels, spark.createDataFrame(later, "a long, b long")).collect()
+    assert {r.node: r.label for r in grown} == least(first + later) and len(grown) == len(least(first + later))
+    assert neardup.components(spark.createDataFrame([], "a long, b long")).count() == 0
+    assert neardup.grown(labels, spark.createDataFrame([], "a long, b long")).count() == labels.count()
+
+
 def test_near_duplicates_odd(odd_extra, no_docs):
     rows = neardup.near_duplicates(odd_extra.select("doc_id", "text", "k", "n"), carry=("k", "n")).collect()
     assert len(rows) == odd_extra.count()
