@@ -222,7 +222,8 @@ def grown(labels: DataFrame, more: DataFrame) -> DataFrame:
     return old.unionByName(joined.join(labels, "node", "left_anti"))
 
 
-#: A class of copies is dealt over so many tasks when its result goes back to its rows.
+#: A class of copies is dealt over so many tasks when its result goes back to its rows. A side that is repeated
+#: for each of them is never broadcast: the size that Spark checks for that is the one before the repetition.
 SPREAD = 16
 
 
@@ -251,7 +252,7 @@ def near_duplicates(docs: DataFrame, *, id: str = "doc_id", text: str = "text",
     every, part = F.explode(F.array(*map(F.lit, range(SPREAD)))).alias("part"), lambda c: F.pmod(c, F.lit(SPREAD)).cast("int")
     wanted = written(star.select("a").union(star.select("b")).distinct().select(F.col("a").alias("k")).join(classes.select("k", "th"), "k"), "wanted")
     dealt = named.select("th", "text", part(F.xxhash64(F.monotonically_increasing_id())).alias("part"))
-    one = dealt.join(wanted.select("th", every), ["th", "part"], "left_semi").groupBy("th").agg(F.first("text").alias("text"))
+    one = dealt.join(wanted.select("th", every).hint("merge"), ["th", "part"], "left_semi").groupBy("th").agg(F.first("text").alias("text"))
     texts = written(one.join(wanted, "th").select("k", "text"), "texts")
 
     first = written(_confirmed(star.select("a", "b").distinct(), texts, words), "confirmed")
@@ -271,7 +272,7 @@ def near_duplicates(docs: DataFrame, *, id: str = "doc_id", text: str = "text",
 
     # classes of one row are that row; rows of larger ones meet their class's result in one of SPREAD parts of it
     row = [*given, "n", "rid", "least"]
-    shared = known.where("members > 1").select("k", "least", every)
+    shared = known.where("members > 1").select("k", "least", every).hint("merge")
     copies = sketch.where("n > 0").withColumn("part", part(F.xxhash64("rid"))).join(shared, ["k", "part"]).select(*row)
     empty = sketch.where("n = 0").select(*given, "n", "rid", own.alias("least"))
     out = known.where("members = 1").select(*row).unionByName(copies).unionByName(empty)
@@ -317,7 +318,8 @@ def _by_prefix(star: DataFrame, confirmed: DataFrame, labels: DataFrame, texts:
     leaves = _open_leaves(star, confirmed, labels)
     if leaves is None:
         return None
-    members = written(leaves.select(F.col("b").alias("k"), F.col("lb").alias("l"), (F.col("lb") != F.col("la")).alias("out")).groupBy("k", "l").agg(F.max("out").alias("out")), "members")
+    numbered = leaves.select(F.col("b").alias("k"), F.col("lb").alias("l"), (F.col("lb") != F.col("la")).alias("out")).groupBy("k", "l").agg(F.max("out").alias("out"))
+    members = written(numbered.withColumn("m", F.monotonically_increasing_id()), "members")
 
     def batches(it: Iterator) -> Iterator:
         import numpy as np
@@ -325,15 +327,17 @@ def _by_prefix(star: DataFrame, confirmed: DataFrame, labels: DataFrame, texts:
 
         for batch in it:
             for i in range(batch.num_rows):
-                s = shingles(batch.column(3)[i].as_py(), words)
-                of = np.full(len(s), i)
-                yield pa.RecordBatch.from_arrays([*(batch.column(j).take(pa.array(of)) for j in range(3)), pa.array(np.full(len(s), len(s))), pa.array(s.view(np.int64))], names=["k", "l", "out", "n", "s"])
+                s = shingles(batch.column(1)[i].as_py(), words)
+                of = batch.column(0).take(pa.array(np.zeros(len(s), np.int64) + i))
+                yield pa.RecordBatch.from_arrays([of, pa.array(np.full(len(s), len(s))), pa.array(s.view(np.int64))], names=["m", "n", "s"])
 
-    sets = written(members.join(texts, "k").select("k", "l", "out", "text").mapInArrow(batches, "k binary, l binary, out boolean, n bigint, s bigint"), "sets")
+    # a row for each shingle, so only numbers are in it; what belongs to its set comes back when the prefixes are cut
+    sets = written(members.join(texts, "k").select("m", "text").mapInArrow(batches, "m bigint, n bigint, s bigint"), "sets")
     held = sets.groupBy("s").agg(F.count("*").alias("f")).where("f > 1")
-    place = F.row_number().over(Window.partitionBy("k").orderBy(F.coalesce("f", F.lit(1)), "s")) - 1
-    ordered = sets.join(held, "s", "left").withColumn("i", place)
-    prefix = written(ordered.where((F.col("i") <= F.col("n") - F.ceil(F.col("n") * percent / 100)) & F.col("f").isNotNull()).select("k", "l", "out", "n", "s", "i"), "prefix")
+    # shingles of one set alone come first and meet nobody: places of the others are counted from the end
+    place = F.col("n") - F.row_number().over(Window.partitionBy("m").orderBy(F.desc("f"), F.desc("s")))
+    cut = sets.join(held, "s").withColumn("i", place).where(F.col("i") <= F.col("n") - F.ceil(F.col("n") * percent / 100))
+    prefix = written(cut.join(members, "m").select("k", "l", "out", "n", "s", "i"), "prefix")
     x = prefix.where("out").select("s", *(F.col(c).alias(c + "x") for c in ("k", "l", "n", "i")))
     y = prefix.select("s", *(F.col(c).alias(c + "y") for c in ("k", "l", "n", "i")))
     need = F.ceil(F.lit(percent) * (F.col("nx") + F.col("ny")) / (100 + percent) - 1e-9)
