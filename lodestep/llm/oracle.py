@@ -113,4 +113,32 @@ select 'v' || page_id as record_id, url_key, again as captured_at, status, case
     case when takes then octet_length(encode(html)) end as body_bytes, case when takes then md5(html) end as body_md5 from kept"""
 
 
-ORACLE_SQL = {"op2_line_dedup": LINE_DEDUP, "op4_quality_rules": quality_sql(), "op5_warc_revisits": revisits_sql(), "op7_license_scan": licenses_sql(), "op9_hilbert_shards": shards_sql()}
+def manifest_sql(levels: int = 7, fan: int = 8) -> str:
+    """The tree level by level, for at most ``fan`` to the power ``levels`` rows of a group and as many groups. A tree of one node stays as it is."""
+
+    def field(text: str = "text") -> str:
+        one = lambda s: f"coalesce(octet_length(encode({s})) || ':' || {s}, '-')"
+        return "sha256(" + " || ".join(one(f) for f in ("doc_id::varchar", "source", "lang", "n_chars::varchar", text)) + ")"
+
+    lower = f"translate(text, '{UPPER}', '{LOWER}')"
+    ctes = [f"""rows_ as (select doc_id, lang, {field()} as leaf, case when {_crc32("hex(encode(doc_id::varchar))")} % 3 = 0 then {field(lower)} else {field()} end as given from documents, {CRC_STEPS})""",
+        "trees as (select *, row_number() over (order by lang nulls first) - 1 as tree from (select distinct lang from rows_))",
+        "n0 as (select r.*, t.tree as g, row_number() over (partition by t.tree order by doc_id nulls first, leaf, given) - 1 as pos, '' as proof, leaf as node, given as fold from rows_ r join trees t on t.lang is not distinct from r.lang)"]
+
+    def climb(name: str, before: str, of: str) -> None:
+        """From each leaf's node and place to its parent's; ``of`` is the tree that a leaf climbs in."""
+        ctes.append(f"{name}_d as (select distinct {of} as tr, pos, node from {before})")
+        ctes.append(f"{name}_r as (select tr, pos // {fan} as up, list(node order by pos) as kids, max(count(*)) over (partition by tr) as most, count(*) over (partition by tr) as runs from {name}_d group by tr, pos // {fan})")
+        ctes.append(f"""{name} as (select b.* exclude (pos, proof, node, fold), case when stays then pos else up end as pos, case when stays then proof else proof || array_to_string(list_concat(kids[1:ix], kids[ix + 2:len(kids)]), '') end as proof,
+            case when stays then node else sha256(array_to_string(kids, '')) end as node, case when stays then fold else sha256(array_to_string(kids[1:ix], '') || fold || array_to_string(kids[ix + 2:len(kids)], '')) end as fold
+            from (select b.*, r.kids, r.up, (b.pos % {fan})::INT as ix, most = 1 and runs = 1 as stays from {before} b join {name}_r r on r.tr = {of} and r.up = b.pos // {fan}) b)""".replace("b.* exclude (pos, proof, node, fold)", "doc_id, leaf, g" + (", subroot" if of == "0" else "")))
+
+    for i in range(levels):
+        climb(f"n{i + 1}", f"n{i}", "g")
+    ctes.append(f"s0 as (select doc_id, leaf, g, node as subroot, g as pos, proof, node, fold from n{levels})")
+    for i in range(levels):
+        climb(f"s{i + 1}", f"s{i}", "0")
+    return "with " + ", ".join(ctes) + f" select doc_id, leaf, subroot, node as root, sha256(proof) as proof_sha256, fold as folded_root, fold = node as verified from s{levels}"
+
+
+ORACLE_SQL = {"op2_line_dedup": LINE_DEDUP, "op4_quality_rules": quality_sql(), "op5_warc_revisits": revisits_sql(), "op7_license_scan": licenses_sql(), "op9_hilbert_shards": shards_sql(), "op12_merkle_manifest": manifest_sql()}

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, langid, licenses, linededup, neardup, oracle, packing, quality, sharding, warc
-from .common import P, table
+from . import bpe, decontaminate, langid, licenses, linededup, manifest, neardup, oracle, packing, quality, sharding, warc
+from .common import P, ascii_lower, table
 
 
 def vocabulary() -> tuple[str, str]:
@@ -72,5 +72,16 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_leaks(docs, table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_line_dedup, op3_pack_tokens, op4_quality_rules, op5_warc_revisits, op6_byte_bpe, op7_license_scan, op8_near_duplicates, op9_hilbert_shards, op10_decontaminate)}
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every third row, by its id's checksum, is tampered with: its text's A-Z are lowered. The proofs tell which rows."""
+    docs = table(spark, sf_dir, "documents")
+    itself = manifest.tampered(docs, F.col("text"))
+    wrong = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0, manifest.tampered(docs, ascii_lower(F.col("text")))).otherwise(itself)
+    out = manifest.manifest(docs, carry={"given": wrong})
+    hexed = lambda c: F.lower(F.hex(c))
+    made = out.withColumn("folded", manifest.folded(F.col("given"), F.col("steps")))
+    return made.select("doc_id", *(hexed(c).alias(c) for c in ("leaf", "subroot", "root")), F.sha2(manifest.proof_text(F.col("steps")).cast("binary"), 256).alias("proof_sha256"), hexed("folded").alias("folded_root"), (F.col("folded") == F.col("root")).alias("verified"))
+
+
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_line_dedup, op3_pack_tokens, op4_quality_rules, op5_warc_revisits, op6_byte_bpe, op7_license_scan, op8_near_duplicates, op9_hilbert_shards, op10_decontaminate, op12_merkle_manifest)}
 ORACLE_SQL = oracle.ORACLE_SQL
