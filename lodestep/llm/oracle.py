@@ -113,6 +113,18 @@ select 'v' || page_id as record_id, url_key, again as captured_at, status, case
     case when takes then octet_length(encode(html)) end as body_bytes, case when takes then md5(html) end as body_md5 from kept"""
 
 
+RANKED = f"""with docs as (select row_number() over () as rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+') as w from documents),
+items as (select row_number() over () as qid, item_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+') as w from benchmark),
+asked as (select qid, item_id, t, count(*) as c from (select qid, item_id, unnest(w) as t from items) group by qid, item_id, t),
+size_ as (select count(*) as nn, sum(len(w))::BIGINT as ll from docs where len(w) > 0),
+tfs as (select rid, doc_id, n, t, count(*) as tf from (select rid, doc_id, len(w) as n, unnest(w) as t from docs) where t in (select t from asked) group by rid, doc_id, n, t),
+dfs as (select t, count(*) as df from tfs group by t),
+weights as (select t, floor(1000 * ln((2 * nn + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT as w from dfs, size_),
+parts as (select qid, item_id, rid, doc_id, c * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * nn) // ll))) as s from asked join weights using (t) join tfs using (t), size_),
+scores as (select qid, item_id, rid, doc_id, sum(s)::BIGINT as score from parts group by qid, item_id, rid, doc_id)
+select item_id, rank::INT as rank, doc_id, score from (select *, row_number() over (partition by qid order by score desc, doc_id) as rank from scores where score > 0) where rank <= 10"""
+
+
 def manifest_sql(levels: int = 7, fan: int = 8) -> str:
     """The tree level by level, for at most ``fan`` to the power ``levels`` rows of a group and as many groups. A tree of one node stays as it is."""
 
@@ -141,4 +153,4 @@ def manifest_sql(levels: int = 7, fan: int = 8) -> str:
     return "with " + ", ".join(ctes) + f" select doc_id, leaf, subroot, node as root, sha256(proof) as proof_sha256, fold as folded_root, fold = node as verified from s{levels}"
 
 
-ORACLE_SQL = {"op2_line_dedup": LINE_DEDUP, "op4_quality_rules": quality_sql(), "op5_warc_revisits": revisits_sql(), "op7_license_scan": licenses_sql(), "op9_hilbert_shards": shards_sql(), "op12_merkle_manifest": manifest_sql()}
+ORACLE_SQL = {"op2_line_dedup": LINE_DEDUP, "op4_quality_rules": quality_sql(), "op5_warc_revisits": revisits_sql(), "op7_license_scan": licenses_sql(), "op9_hilbert_shards": shards_sql(), "op11_ranked_search": RANKED, "op12_merkle_manifest": manifest_sql()}
