@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, langid, lexical, licenses, linededup, manifest, neardup, oracle, packing, quality, sharding, warc
+from . import bpe, decontaminate, langid, lexical, licenses, linededup, manifest, neardup, oracle, packing, quality, repeats, sharding, warc
 from .common import P, ascii_lower, table
 
 
@@ -87,5 +87,10 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", *(hexed(c).alias(c) for c in ("leaf", "subroot", "root")), F.sha2(manifest.proof_text(F.col("steps")).cast("binary"), 256).alias("proof_sha256"), hexed("folded").alias("folded_root"), (F.col("folded") == F.col("root")).alias("verified"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_line_dedup, op3_pack_tokens, op4_quality_rules, op5_warc_revisits, op6_byte_bpe, op7_license_scan, op8_near_duplicates, op9_hilbert_shards, op10_decontaminate, op11_ranked_search, op12_merkle_manifest)}
+def op13_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = repeats.without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), threshold=400)
+    return out.select("doc_id", *(F.col(P + c).alias(c) for c in ("n_bytes", "n_removed", "n_spans", "kept_sha256")))
+
+
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_line_dedup, op3_pack_tokens, op4_quality_rules, op5_warc_revisits, op6_byte_bpe, op7_license_scan, op8_near_duplicates, op9_hilbert_shards, op10_decontaminate, op11_ranked_search, op12_merkle_manifest, op13_repeated_strings)}
 ORACLE_SQL = oracle.ORACLE_SQL
