@@ -16,10 +16,9 @@ kept as (select rid, count(*) as n_lines, count(*) filter (gone) as n_dropped, c
 select doc_id, n_lines, n_dropped, sha256(kept.text) as kept_sha256 from docs join kept using (rid)"""
 
 
-def quality_sql(spread: float = 6.0, prior: int = 200) -> str:
+def quality_sql(spread: float = 8.0, prior: int = 100) -> str:
     p = quality.P
-    measures = {m: e.replace(p, "") for m, (e, _) in quality.MEASURES.items()}
-    floors = ", ".join(f"('{m}', {f}::DOUBLE)" for m, (_, f) in quality.MEASURES.items())
+    measures = {m: e.replace(p, "") for m, e in quality.MEASURES.items()}
     values = " union all ".join(f"select lang, source, '{m}' as measure, ({e})::DOUBLE as v from counted where not base_failed" for m, e in measures.items())
 
     def fences(name: str, group: str) -> str:
@@ -27,30 +26,28 @@ def quality_sql(spread: float = 6.0, prior: int = 200) -> str:
         return f"""{name}_r as (select {by}measure, bucket, sum(n) over (partition by {by}measure) as total, sum(n) over (partition by {by}measure order by bucket) as below from (select {by}measure, bucket, count(*) as n from sketched group by {by}measure, bucket)),
 {name} as (select {by}measure, max(total) as total, min(bucket) filter (below >= 0.5 * total) as b2, min(bucket) filter (below >= 0.75 * total) as b3 from {name}_r group by {by}measure)"""
 
-    value = lambda b: f"(case when {b} <= -10000 then 0::DOUBLE else pow({quality.GAMMA}::DOUBLE, {b}) end)"
-    drawn = lambda x, q, to: f"(({x}.total * {value(x + '.' + q)} + {prior}::DOUBLE * {to}) / ({x}.total + {prior}::DOUBLE))"
-    q2, q3 = (drawn("o", q, drawn("l", q, value(f"a.{q}"))) for q in ("b2", "b3"))
+    drawn = lambda x, q, to: f"(({x}.total::DOUBLE * {x}.total * {x}.{q}::DOUBLE + {prior**2}::DOUBLE * {to}) / ({x}.total::DOUBLE * {x}.total + {prior**2}::DOUBLE))"
+    b2, b3 = (drawn("o", q, drawn("l", q, f"a.{q}::DOUBLE")) for q in ("b2", "b3"))
     within = " and ".join(f"coalesce({e} <= max(f.fence) filter (f.measure = '{m}'), true)" for m, e in measures.items())
     return f"""with docs as (select row_number() over () as rid, doc_id, coalesce(text, '') as text, lang, source from documents),
 words as (select rid, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') as w from docs),
 wins as (select rid, i, count(*) over (partition by rid, w[i:i + 4]) as n from (select rid, w, unnest(range(1, len(w) - 3)) as i from words)),
 reps as (select rid, count(distinct i + j) as n_repeat_words from wins, range(0, 5) r(j) where n > 1 group by rid),
 lines as (select rid, unnest(string_split(text, chr(10))) as line from docs),
-dups as (select rid, count(*) - count(distinct line) as n_dup_lines from lines where regexp_matches(line, '[^\\x20\\x09-\\x0D]') group by rid),
+dups as (select rid, count(*) as n_lines, count(*) - count(distinct line) as n_dup_lines from lines where regexp_matches(line, '[^\\x20\\x09-\\x0D]') group by rid),
 base as (select d.rid, doc_id, lang, source, len(w) as n_words, length(array_to_string(w, '')) as word_chars, length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) as n_symbols,
-    length(text) - length(regexp_replace(text, '[A-Z]', '', 'g')) as n_capitals, length(text) - length(regexp_replace(text, '[!?]', '', 'g')) as n_marks,
+    length(text) - length(regexp_replace(text, '[A-Z]', '', 'g')) as n_capitals, length(text) - length(regexp_replace(text, '[\\x21-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7E]', '', 'g')) as n_marks, coalesce(n_lines, 0) as n_lines,
     coalesce(n_dup_lines, 0) as n_dup_lines, coalesce(n_repeat_words, 0) as n_repeat_words from docs d join words using (rid) left join reps using (rid) left join dups using (rid)),
 counted as (select *, n_words < {quality.MIN_WORDS} or 100 * n_repeat_words > {quality.MAX_REPEAT_PERCENT} * n_words as base_failed from base),
 valued as ({values}),
-sketched as (select *, case when v <= 1e-6 then -10000 else ceil(ln(v) / ln({quality.GAMMA}::DOUBLE))::INT end as bucket from valued),
+sketched as (select *, ceil(ln(v) / ln({quality.GAMMA}::DOUBLE))::INT as bucket from valued where v > 0),
 {fences('own', 'lang, source')}, {fences('ofl', 'lang')}, {fences('ofa', '')},
-floors(measure, floor_) as (values {floors}),
-fences as (select o.lang, o.source, o.measure, {q3} + greatest({spread}::DOUBLE * ({q3} - {q2}), floor_) as fence
-    from own o join ofl l on o.lang is not distinct from l.lang and o.measure = l.measure join ofa a on a.measure = o.measure join floors on floors.measure = o.measure)
+fences as (select o.lang, o.source, o.measure, pow({quality.GAMMA}::DOUBLE, {b3} + {spread}::DOUBLE * greatest({b3} - {b2}, 1::DOUBLE)) as fence
+    from own o join ofl l on o.lang is not distinct from l.lang and o.measure = l.measure join ofa a on a.measure = o.measure)
 select doc_id, n_words::BIGINT as n_words, word_chars::BIGINT as word_chars, n_symbols::BIGINT as n_symbols, n_dup_lines::BIGINT as n_dup_lines, n_repeat_words::BIGINT as n_repeat_words, base_failed,
     not base_failed and {within} as kept
 from counted c left join fences f on c.lang is not distinct from f.lang and c.source is not distinct from f.source
-group by c.rid, doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_capitals, n_marks, base_failed"""
+group by c.rid, doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_capitals, n_marks, n_lines, base_failed"""
 
 
 def licenses_sql(threshold: float = 0.8) -> str:
