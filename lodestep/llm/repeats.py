@@ -35,14 +35,42 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import _parse_datatype_string
 
-from .common import P, cols, forget, new_path, quoted, written
+from .common import P, cols, forget, new_path, quoted
 
 #: Window bytes that are hashed at a time, starts in a block of the exact check, rows sent to Spark at a time.
 PIECE, BLOCK, SEND = 1 << 20, 16, 50_000
 KEY = ["h", "h2"]
+#: Spark's own setting: the shuffle files of a step go as soon as its table is written.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _MIX = 0x9E3779B97F4A7C15
 
 
+class Tables:
+    """Tables of intermediate rows, deleted when nothing reads them any more."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def keep(self, df: DataFrame, label: str) -> DataFrame:
+        path = new_path(self.spark, label)
+        self.write(df.write, path)
+        self.paths.append(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def write(self, writer, path: str, name: str | None = None) -> None:
+        before = self.spark.conf.get(CLEANUP, "false")
+        self.spark.conf.set(CLEANUP, "true")
+        try:
+            writer.option("path", path).saveAsTable(name) if name else writer.parquet(path)
+        finally:
+            self.spark.conf.set(CLEANUP, before)
+
+    def drop(self) -> None:
+        for path in self.paths:
+            forget(self.spark, path)
+        self.paths = []
+
+
 def window(threshold: int) -> tuple[int, int]:
     """(k, w): length of the hashed strings and how many of them compete. Two windows fit into the threshold."""
     if threshold < 8:
@@ -165,7 +193,7 @@ def phrases(texts: DataFrame, threshold: int) -> DataFrame:
 _FIRST, _FIRST_ALONE, _LAST_ALONE, _MARK_FIRST, _MARK_LAST = 1, 2, 3, 4, 5
 
 
-def reranked(pairs: DataFrame) -> DataFrame:
+def reranked(pairs: DataFrame, tables: Tables) -> DataFrame:
     """(h, h2, i, begin, end, rank) of the rows whose pair (r, r2) isn't unique. The rank is that of the first row with the pair."""
     order = ["r", "r2", *KEY, "i"]
     n = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -217,7 +245,7 @@ def reranked(pairs: DataFrame) -> DataFrame:
         if held is not None:
             yield from told(held, 1, True)
 
-    table = written(ordered.mapInArrow(batches, schema), "ranks")
+    table = tables.keep(ordered.mapInArrow(batches, schema), "ranks")
     marks = {}
     for x in table.where(F.col("stands") >= _MARK_FIRST).collect():  # two rows a partition
         marks.setdefault(x["part"], {})[x["stands"]] = ((x["r"], x["r2"]), x["rank"])
@@ -247,21 +275,35 @@ def doubled(ranks: DataFrame, distance: int, threshold: int) -> DataFrame:
     return ahead.where(F.col("r2").isNotNull() & (F.col("end") - F.col("begin") <= threshold))
 
 
-def levels(texts: DataFrame, threshold: int) -> list[DataFrame]:
+def levels(texts: DataFrame, threshold: int, tables: Tables) -> list[DataFrame]:
     """Ranks of prefixes of 1, 2, 4, ... sampled places, until every one is unique or past the threshold."""
-    first = written(phrases(texts, threshold).withColumn("r2", F.lit(0).cast("bigint")), "phrases")
-    out, distance = [reranked(first)], 1
+    own = Tables(tables.spark)
+    first = own.keep(phrases(texts, threshold).withColumn("r2", F.lit(0).cast("bigint")), "phrases")
+    out, distance = [reranked(first, tables)], 1
+    own.drop()
     while not out[-1].isEmpty():
-        out.append(reranked(doubled(out[-1], distance, threshold)))
+        out.append(reranked(doubled(out[-1], distance, threshold), tables))
         distance *= 2
     return out[:-1]
 
 
-_OPEN = "n int, c bigint, c2 bigint, u bigint, u2 bigint, h bigint, h2 bigint, lo bigint, hi bigint, place bigint, need boolean"
+#: Starts lo to hi of a text: their class c, the hash of all their bytes, their first sampled place, and whether their answer is needed.
+_OPEN = "c bigint, u bigint, u2 bigint, h bigint, h2 bigint, lo bigint, hi bigint, place bigint, need boolean"
+
+
+def _mixed(*parts):
+    """A 64-bit hash of rows of integers. A class that two contents share only lets more through to the exact check."""
+    import numpy as np
+
+    h = np.uint64(0)
+    for x in parts:
+        h = (h ^ x.astype(np.int64).view(np.uint64)) * np.uint64(_MIX)
+        h = h ^ (h >> np.uint64(32))
+    return h.view(np.int64)
 
 
 def runs(texts: DataFrame, ranks: list[DataFrame], threshold: int) -> DataFrame:
-    """The runs of starts whose inner part occurs again: its class (n, c, c2), the hash of all its bytes (u, u2), starts lo to hi, and the first sampled place."""
+    """The runs of starts whose inner part occurs again. Their class is the ranks that cover it."""
     k, w = window(threshold)
     further = threshold - k + 1 - w
     every = None
@@ -279,7 +321,7 @@ def runs(texts: DataFrame, ranks: list[DataFrame], threshold: int) -> DataFrame:
         bounds = np.searchsorted(text, np.arange(len(starts)))
         held, ends = batch["x"].values, batch["x"].offsets.to_numpy()
         at_level, at_i, at_rank = (held.field(f).to_numpy() for f in ("level", "i", "rank"))
-        found: dict[str, list] = {c: [] for c in ("n", "c", "c2", "u", "u2", "t", "lo", "hi", "place")}
+        found: dict[str, list] = {c: [] for c in ("c", "u", "u2", "t", "lo", "hi", "place")}
         view = memoryview(data)
         for t in range(len(starts) - 1):
             own_s, own_a = s[bounds[t] : bounds[t + 1]], a[bounds[t] : bounds[t + 1]]
@@ -295,12 +337,17 @@ def runs(texts: DataFrame, ranks: list[DataFrame], threshold: int) -> DataFrame:
             there = at_level[part] < len(table)
             table[at_level[part][there], at_i[part][there]] = at_rank[part][there]
             c, c2 = table[level, one], table[level, two - (1 << level)]
-            for j in np.flatnonzero((c >= 0) & (c2 >= 0)).tolist():
-                u = xxhash.xxh3_128_intdigest(view[int(starts[t] + lo[j]) : int(starts[t] + hi[j]) + threshold])
-                for name, value in zip(found, (n[j], c[j], c2[j], _signed(u >> 64), _signed(u), t, lo[j], hi[j], own_a[one[j]])):
-                    found[name].append(value)
-        of = np.array(found.pop("t"), dtype=np.int64)
-        return found | {"h": batch["h"].to_numpy()[of], "h2": batch["h2"].to_numpy()[of], "need": [True] * len(of)}
+            good = np.flatnonzero((c >= 0) & (c2 >= 0))
+            lo, hi = lo[good], hi[good]
+            for b, e in zip((lo + starts[t]).tolist(), (hi + starts[t] + threshold).tolist()):
+                u = xxhash.xxh3_128_intdigest(view[b:e])
+                found["u"].append(_signed(u >> 64))
+                found["u2"].append(_signed(u))
+            for name, values in (("c", _mixed(n[good], c[good], c2[good])), ("t", np.full(len(good), t)), ("lo", lo), ("hi", hi), ("place", own_a[one[good]])):
+                found[name].append(values)
+        joined = {name: np.concatenate([np.empty(0, dtype=np.int64), *found[name]]) for name in ("c", "t", "lo", "hi", "place")}
+        of = joined.pop("t")
+        return joined | {"u": found["u"], "u2": found["u2"], "h": batch["h"].to_numpy()[of], "h2": batch["h2"].to_numpy()[of], "need": [True] * len(of)}
 
     return _mapped(texts.select(*KEY, "text").join(of_text, KEY), step, _OPEN)
 
@@ -311,13 +358,13 @@ def _signed(x: int) -> int:
 
 
 def blocks(texts: DataFrame, pending: DataFrame, size: int, threshold: int) -> DataFrame:
-    """The same rows for blocks of ``size`` starts; a block's class is what all its starts share."""
+    """The same rows for blocks of ``size`` starts at equal distances from the place; a block's class is the bytes that all its starts share."""
     per = pending.groupBy(*KEY).agg(F.collect_list(F.struct("lo", "hi", "place", "need")).alias("x"))
 
     def step(batch: dict) -> dict:
         import xxhash
 
-        found: dict[str, list] = {c: [] for c in ("n", "c", "c2", "u", "u2", "h", "h2", "lo", "hi", "place", "need")}
+        found: dict[str, list] = {c: [] for c in ("c", "u", "u2", "h", "h2", "lo", "hi", "place", "need")}
         data, starts = _laid(batch["text"])
         view = memoryview(data)
         held, ends = batch["x"].values, batch["x"].offsets.to_numpy()
@@ -328,25 +375,28 @@ def blocks(texts: DataFrame, pending: DataFrame, size: int, threshold: int) -> D
                 for b in range((place - hi) // size, (place - lo) // size + 1):
                     near, far = b * size, b * size + size - 1  # distances from the place
                     first, last = max(lo, place - far), min(hi, place - near)
-                    c = xxhash.xxh3_128_intdigest(own[place - near : place - far + threshold])
-                    u = c if first == last and size == 1 else xxhash.xxh3_128_intdigest(own[first : last + threshold])
-                    for name, value in zip(found, (b, _signed(c >> 64), _signed(c), _signed(u >> 64), _signed(u), h, h2, first, last, place, need)):
+                    u = xxhash.xxh3_128_intdigest(own[first : last + threshold])
+                    c = u if size == 1 else xxhash.xxh3_64_intdigest(own[place - near : place - far + threshold], b)
+                    for name, value in zip(found, (_signed(c), _signed(u >> 64), _signed(u), h, h2, first, last, place, need)):
                         found[name].append(value)
         return found
 
     return _mapped(texts.select(*KEY, "text").join(per, KEY), step, _OPEN)
 
 
-def settled(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(repeated, pending): rows whose bytes occur again, and those whose class does, with one row for each other content of the class."""
-    of_class, of_bytes = ["n", "c", "c2"], ["n", "c", "c2", "u", "u2"]
-    rows = written(rows, "starts")
-    one = F.min(F.struct(*KEY, "lo", "hi", "place")).alias("x")
-    kinds = written(rows.groupBy(*of_bytes).agg(F.count("*").alias("times"), F.max("need").alias("need"), one), "kinds")
-    classes = written(kinds.groupBy(*of_class).agg(F.count("*").alias("kinds"), F.max((F.col("times") == 1) & F.col("need")).alias("wanted")).where("kinds > 1 and wanted").select(*of_class), "classes")
-    again = written(kinds.where("times > 1").select(*of_bytes), "again")
-    repeated = rows.join(again, of_bytes, "left_semi").select(*KEY, "lo", "hi")
-    pending = kinds.join(classes, of_class, "left_semi").select("x.*", (F.col("need") & (F.col("times") == 1)).alias("need"))
+def settled(rows: DataFrame, tables: Tables) -> tuple[DataFrame, DataFrame]:
+    """(repeated, pending): rows whose bytes occur again, and those whose class does, with one row for each other content of the class.
+
+    Equal bytes have an equal class, so bytes are counted by their hash alone.
+    """
+    own = Tables(tables.spark)
+    rows = own.keep(rows, "starts")
+    kinds = own.keep(rows.groupBy("u", "u2").agg(F.count("*").alias("times"), F.max("need").alias("need"), F.min("c").alias("c"), F.min(F.struct(*KEY, "lo", "hi", "place")).alias("x")), "kinds")
+    classes = own.keep(kinds.groupBy("c").agg(F.count("*").alias("kinds"), F.max((F.col("times") == 1) & F.col("need")).alias("wanted")).where("kinds > 1 and wanted").select("c"), "classes")
+    again = own.keep(kinds.where("times > 1").select("u", "u2"), "again")
+    repeated = tables.keep(rows.select("u", "u2", *KEY, "lo", "hi").join(again, ["u", "u2"], "left_semi").select(*KEY, "lo", "hi"), "repeated")
+    pending = tables.keep(kinds.join(classes, "c", "left_semi").select("x.*", (F.col("need") & (F.col("times") == 1)).alias("need")), "pending")
+    own.drop()
     return repeated, pending
 
 
@@ -358,22 +408,25 @@ def _bucketed(df: DataFrame) -> tuple[str, str]:
     """Name and path of a table in buckets of KEY: joins with it don't move its texts."""
     spark = df.sparkSession
     name, path = f"lodestep_texts_{uuid.uuid4().hex}", new_path(spark, "texts")
-    df.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), *KEY).sortBy(*KEY).format("parquet").option("path", path).saveAsTable(name)
+    Tables(spark).write(df.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), *KEY).sortBy(*KEY).format("parquet"), path, name)
     return name, path
 
 
-def spans(texts: DataFrame, threshold: int) -> DataFrame:
+def spans(texts: DataFrame, threshold: int, tables: Tables) -> DataFrame:
     """(h, h2, lo, hi): the starts, from lo to hi, of strings that occur again, of texts that differ from each other."""
-    found, pending = settled(runs(texts, ranks, threshold)) if (ranks := levels(texts, threshold)) else (None, None)
-    if found is None:
+    of_ranks = Tables(tables.spark)
+    ranks = levels(texts, threshold, of_ranks)
+    if not ranks:
         return texts.sparkSession.createDataFrame([], "h bigint, h2 bigint, lo bigint, hi bigint")
+    found, pending = settled(runs(texts, ranks, threshold), tables)
+    of_ranks.drop()
     for size in (BLOCK, 1):
-        more, pending = settled(blocks(texts, written(pending, "pending"), size, threshold))
+        more, pending = settled(blocks(texts, pending, size, threshold), tables)
         found = found.unionByName(more)
     return found
 
 
-def cut(texts: DataFrame, found: DataFrame, threshold: int) -> DataFrame:
+def cut(found: DataFrame, threshold: int) -> DataFrame:
     """(h, h2, ranges): of each text with repeated strings, the bytes that go, as joined ranges."""
     at = F.array_sort(F.collect_set(F.struct("lo", (F.col("hi") + threshold).alias("hi"))))
     none = F.array().cast("array<struct<lo:bigint,hi:bigint>>")
@@ -394,11 +447,13 @@ def without_repeats(docs: DataFrame, *, text: str = "text", threshold: int = 400
     once = long.select(*text_key(F.col("text")), "text").groupBy(*KEY).agg(F.first("text").alias("text"), F.count("*").alias("copies"))
     name, path = _bucketed(once)
     texts = spark.table(name)
-    ranges = cut(texts, written(spans(texts, threshold), "spans"), threshold)
+    tables, out = Tables(spark), Tables(spark)
+    ranges = cut(spans(texts, threshold, tables), threshold)
     size = F.octet_length("text").cast("bigint")
     alone = kept(texts.where("copies = 1").join(ranges, KEY))
     whole = texts.where("copies > 1").select(*KEY, size.alias("n_removed"), F.lit(1).cast("bigint").alias("n_spans"), F.lit(hashlib.sha256(b"").hexdigest()).alias("kept_sha256"))
-    results = written(alone.unionByName(whole), "results")
+    results = out.keep(alone.unionByName(whole), "results")
+    tables.drop()
     spark.sql(f"drop table {name}")
     forget(spark, path)
     named = docs.select(*cols(docs), *(c.alias(P + n) for c, n in zip(text_key(t), KEY)), F.octet_length(t).cast("bigint").alias(P + "n_bytes"), F.sha2(t.cast("binary"), 256).alias(P + "sha"))

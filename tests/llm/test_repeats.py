@@ -80,7 +80,7 @@ def test_ranks_are_those_of_the_doubled_strings(spark):
     texts.append(texts[0][100:500] + "c" + texts[1][:300])
     df = spark.createDataFrame([(i, -i, t) for i, t in enumerate(texts)], "h long, h2 long, text string")
     k, w = repeats.window(64)
-    for level, ranks in enumerate(repeats.levels(df, 64)):
+    for level, ranks in enumerate(repeats.levels(df, 64, repeats.Tables(spark))):
         by_rank = {}
         for r in ranks.collect():
             by_rank.setdefault(r["rank"], []).append(texts[r["h"]][r["begin"] : r["end"]])
