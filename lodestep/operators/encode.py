@@ -31,11 +31,11 @@ def context_tokens(strings: dict[str, Column], numbers: dict[str, Column]) -> Co
 def encoded(rows: DataFrame, keys: list[str], context: Column, offers, bits: int) -> DataFrame:
     """(keys, cand, slot, v): the nonzero features of every candidate of every row of ``rows``.
 
-    Each distinct pair of tokens is hashed once. What falls into one slot is added
+    ``offers`` is a list of (arm, action), or a column as ``candidates_column`` gives it. Each distinct pair of tokens is hashed once. What falls into one slot is added
     in the order of the pairs, as one decision at a time would.
     """
     K.check_bits(bits)
-    pairs = rows.select(*keys, context.alias("ctx"), F.explode(candidates_column(offers)).alias("c")).select(*keys, F.col("c.cand").alias("cand"), "ctx", F.col("c.tokens").alias("act"))
+    pairs = rows.select(*keys, context.alias("ctx"), F.explode(offers if isinstance(offers, Column) else candidates_column(offers)).alias("c")).select(*keys, F.col("c.cand").alias("cand"), "ctx", F.col("c.tokens").alias("act"))
     pairs = pairs.select(*keys, "cand", F.posexplode("ctx").alias("i", "l"), "act").select(*keys, "cand", "i", "l", F.posexplode("act").alias("j", "r"))
     pairs = pairs.select(*keys, "cand", (F.col("i") * 1000 + F.col("j")).alias("at"), F.col("l.tok").alias("lt"), F.col("r.tok").alias("rt"), (F.col("l.w") * F.col("r.w")).alias("w"))
     with H.wrapping(rows.sparkSession):

@@ -7,7 +7,8 @@ that order it. With a ``key`` each key's log is evaluated by itself.
 
 Training data comes from the log, never from the evaluated policy's own choices, so the
 model as of any place can be rebuilt independently (``fold``). All configurations of a grid
-share one ordering, one pairing and one pass over the chunks.
+share one ordering, one pairing and one pass over the chunks. Estimates come from exact sums,
+which don't depend on how the log is cut.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from itertools import product
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import exact
 from ..functions import kernel as K
 from ..plans.ranking import in_order
 from ..plans.shared import written
@@ -66,24 +68,12 @@ class Timeline:
         return self.rows.withColumn("event", kinds).where("event is not null").select("key", *EVENTS)
 
 
-def _ordered(by: Column | str, values: list[str], start: Column, step) -> Column:
-    """Fold of the rows of a group in the order of ``by``."""
-    return F.aggregate(F.array_sort(F.collect_list(F.struct(by, *values))), start, step)
-
-
-def _sums(per: DataFrame, groups: list[str], chunk: int) -> DataFrame:
-    """Sums in log order: within chunks, then over them."""
-    zero = F.struct(F.lit(0).cast("bigint").alias("n"), *(F.lit(0.0).alias(c) for c in ("r", "s", "sr", "ss", "top")))
-
-    def one(a, x):
-        w, r = x["w"], x["reward"]
-        return F.struct((a["n"] + 1).alias("n"), (a["r"] + r).alias("r"), (a["s"] + w).alias("s"), (a["sr"] + w * r).alias("sr"), (a["ss"] + w * w).alias("ss"), F.greatest(a["top"], w).alias("top"))
-
-    def many(a, x):
-        return F.struct(*((a[c] + x["x"][c]).alias(c) for c in ("n", "r", "s", "sr", "ss")), F.greatest(a["top"], x["x"]["top"]).alias("top"))
-
-    parts = per.groupBy(*groups, F.expr(f"target div {chunk}").alias("part")).agg(_ordered("target", ["w", "reward"], zero, one).alias("x"))
-    return parts.groupBy(*groups).agg(_ordered("part", ["x"], zero, many).alias("x"))
+def _sums(per: DataFrame, groups: list[str]) -> DataFrame:
+    """(groups, x: n, r, s, sr, ss, top): the limbs of all chunks added up and rounded once."""
+    parts = per.groupBy(*groups, "name", "k").agg(F.sum("s").alias("s"), F.max("top").alias("top"))
+    own = lambda name: F.coalesce(exact.total(F.collect_list(F.when(F.col("name") == name, F.struct("k", "s")))), F.lit(0.0)).alias(name)
+    found = parts.groupBy(*groups).agg(F.sum(F.when(F.col("name") == "n", F.col("s"))).alias("n"), F.max("top").alias("top"), *(own(name) for name in ("r", "s", "sr", "ss")))
+    return found.select(*groups, F.struct("n", "r", "s", "sr", "ss", "top").alias("x"))
 
 
 def evaluate(log: DataFrame, order: list[str], *, bits: list[int], epsilons: list[float], forgetting: list[float], key: str | None = None, digits: int | None = None, chunk: int = fold.CHUNK, strict: bool = False) -> DataFrame:
@@ -102,7 +92,7 @@ def evaluate(log: DataFrame, order: list[str], *, bits: list[int], epsilons: lis
         lines.refuse()
     events = lines.events(True)
     carry = fold.carry_rows(events, fold.chunk_counts(events), grid)
-    sums = _sums(fold.weights(events, carry, grid, configs), ["key", "config"], chunk)
+    sums = _sums(fold.weights(events, carry, grid, configs), ["key", "config"])
     counts = lines.rows.groupBy("key").agg(F.sum((F.col("event") == "decision").cast("bigint")).alias("decisions"), F.sum(F.col("open").cast("bigint")).alias("unresolved"))
     if not key:  # an empty log has its row too
         counts = lines.rows.agg(F.lit(0).alias("key"), F.coalesce(F.sum((F.col("event") == "decision").cast("bigint")), F.lit(0)).alias("decisions"), F.coalesce(F.sum(F.col("open").cast("bigint")), F.lit(0)).alias("unresolved"))

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions import exact
 from ..functions import kernel as K
 
 CHUNK = 8_192
@@ -55,7 +56,7 @@ class Models:
     def __init__(self, grid: list[tuple[int, float]], coders: dict[int, Encodings] | None = None):
         self.grid, self.coders = grid, coders or {bits: Encodings(bits) for bits, _ in grid}
         self.models = [K.Model(1 << bits, forgetting) for bits, forgetting in grid]
-        self.updates, self.asked = 0, set()
+        self.updates, self.asked, self.told = 0, set(), []
 
     def fresh(self) -> Models:
         return Models(self.grid, self.coders)
@@ -187,9 +188,10 @@ def carry_rows(events: DataFrame, counts: DataFrame, grid: list[tuple[int, float
 
 
 def weights(events: DataFrame, carry: DataFrame | None, grid: list[tuple[int, float]], configs: list[tuple[int, float]]) -> DataFrame:
-    """(key, config, target, w, reward) of each decision event: probability of the logged choice over its propensity.
+    """(key, config, name, k, s, top) of each chunk: the limbs of its exact sums, and its largest weight.
 
-    ``configs`` are (number of the model, epsilon). Models are asked in log order.
+    A weight is the probability of the logged choice over its propensity. Sums are ``n``, ``r`` of the rewards, ``s`` of the
+    weights, ``sr`` of both multiplied, ``ss`` of the squared weights. ``configs`` are (number of the model, epsilon). Models are asked in log order.
     """
 
     def absorb(models: Models, key, row):
@@ -200,11 +202,23 @@ def weights(events: DataFrame, carry: DataFrame | None, grid: list[tuple[int, fl
             models.update(context, offers, reward)
         else:
             estimates = [[m.predict(pairs) for pairs in models.coders[bits](context, offers)] for (bits, _), m in zip(models.grid, models.models)]
-            for config, (number, epsilon) in enumerate(configs):
-                yield key, config, target, K.probabilities(estimates[number], epsilon)[chosen] / propensity, reward
+            models.told.append((reward, *(K.probabilities(estimates[number], epsilon)[chosen] / propensity for number, epsilon in configs)))
+        return ()
+
+    def finish(models: Models, key, chunk):
+        import numpy as np
+
+        if models.told:
+            rewards, *found = np.array(models.told).T
+            for config, w in enumerate(found):
+                top = float(w.max())
+                yield key, config, "n", 0, len(w), top
+                for name, values in (("r", rewards), ("s", w), ("sr", w * rewards), ("ss", w * w)):
+                    for k, s in exact.limbs_of(values).items():
+                        yield key, config, name, k, s, top
 
     rows = events if carry is None else with_defaults(events).unionByName(with_defaults(carry))
-    return by_chunk(rows, grid, "config int, target bigint, w double, reward double", absorb, lambda *_: ())
+    return by_chunk(rows, grid, "config int, name string, k int, s bigint, top double", absorb, finish)
 
 
 def states(events: DataFrame, carry: DataFrame | None, counts: DataFrame, heads: DataFrame, model: tuple[int, float], horizon: float, default_reward: float, epsilon: float) -> DataFrame:

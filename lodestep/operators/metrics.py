@@ -1,27 +1,17 @@
-"""Series metrics of simulated runs."""
+"""Metrics of series of rounds. Sums are exact and don't depend on their order."""
 
 from __future__ import annotations
 
-import math
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import DoubleType
-
 
-@pandas_udf(DoubleType())
-def exact_sum(values: pd.Series) -> float:
-    """Aggregate: the sum of a group's doubles, rounded once. Doesn't depend on their order. A group is one run, in one task."""
-    return math.fsum(values.dropna())
+from ..functions import exact
 
 
-@pandas_udf(DoubleType())
-def normalized_regret(regret: pd.Series, normalizer: pd.Series) -> float:
-    """Aggregate: regret as a share of what a uniform choice would have lost, both summed exactly; 0 where that is 0."""
-    unit = math.fsum(normalizer)
-    return math.fsum(regret) / unit if unit else 0.0
+def normalized_regret(rounds: DataFrame, by: list[str]) -> DataFrame:
+    """(by, normalized): regret as a share of what a uniform choice would have lost, both summed exactly; 0 where that is 0."""
+    sums = exact.exact_sums(rounds, by, {"_r": F.col("regret"), "_n": F.col("normalizer")})
+    return sums.select(*by, F.when(F.col("_n") == 0, 0.0).otherwise(F.col("_r") / F.col("_n")).alias("normalized"))
 
 
 def final_window(runs: DataFrame, by: list[str], share: float = 0.1) -> DataFrame:

@@ -8,9 +8,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import exact
 from ..functions import hashing as H
-from ..operators import effective, encode, evaluate, metrics, online, verify
-from ..sim import battery, worlds
+from ..operators import decide, effective, encode, evaluate, metrics, online, verify
 from ..sources import derived, logfile
 from . import oracle
 from .shared import written
@@ -174,28 +174,56 @@ def merged_logs_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _slots(evaluate.replay(clean, derived.ORDER, bits=BITS, horizon=derived.HORIZON, forgetting=1.0))
 
 
-def sim_regret(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Median and quartiles of the battery's normalised regret, by world and policy. Reads no table: rounds are made from seeds."""
-    runs = battery.battery(spark, worlds.SHORT, seeds=3, rounds=600)
-    return metrics.median_iqr(battery.regrets(runs), ["world", "policy"], "regret")
+def decide_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the rebuilt model, frozen, would choose at every event, with its propensity and its estimate of the choice."""
+    log = derived.log(spark, sf_dir)
+    slots = written(_slots(evaluate.replay(log, derived.ORDER, bits=BITS, horizon=derived.HORIZON, forgetting=1.0)), "slots")
+    asked = log.where("event = 'decision'").select("event_id", "decision_id", "context", "offers")
+    out = decide.decide(asked, slots, bits=BITS, epsilon=EPSILON, salt=derived.SALT)
+    return out.select("event_id", "chosen", "arm", "propensity", F.get("estimates", F.col("chosen")).alias("estimate"), decide.argmax(F.col("estimates")).alias("best"))
+
+
+def exact_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sums of numbers that doubles can't add exactly, rounded once: time, value and both weighted by what was likely, by segment and choice."""
+    made = derived.decisions(spark, sf_dir).join(spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "value"), "event_id")
+    share = F.lit(1.0) / (F.col("chosen") + 2)
+    return exact.exact_sums(made, ["seg", "chosen"], {"t": F.col("t"), "value": F.col("value"), "shared": F.col("value") * share, "squares": F.col("value") * F.col("value")})
+
+
+def _regret(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rounds of the logged policy: t numbers a user's decisions from 0; best reward, regret of the choice, and what a uniform choice would lose."""
+    from pyspark.sql import Window
+
+    made = derived.decisions(spark, sf_dir)
+    offered = F.array(*((F.col("event_id") * 7 + i * 3) % 4 / F.lit(4).cast("double") for i in range(3)))
+    place = F.row_number().over(Window.partitionBy("user_id").orderBy("t", "event_id")) - 1
+    best = F.array_max("r")
+    rounds = made.select("user_id", "event_id", "chosen", place.alias("t"), offered.alias("r"))
+    return rounds.select("user_id", "t", best.alias("best"), (best - F.get("r", F.col("chosen"))).alias("regret"), (best - F.aggregate("r", F.lit(0.0), lambda a, x: a + x) / 3).alias("normalizer"), F.pow(F.get("r", F.col("chosen")) - 0.375, F.lit(2)).alias("squared"))
 
 
-def sim_epsilon_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How each epsilon of the engine would do as a default over the battery's worlds."""
-    return battery.epsilon_sweep(spark, worlds.SHORT, [0.01, 0.05, 0.1, 0.2, 0.3], seeds=3, rounds=400)
+def regret_by_user(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Normalised regret of each user's log, of its last tenth, its root mean squared error, and how soon after its twentieth round it earned half of the best."""
+    rounds = written(_regret(spark, sf_dir), "rounds")
+    whole = metrics.normalized_regret(rounds, ["user_id"]).withColumnRenamed("normalized", "regret")
+    late = metrics.normalized_regret(metrics.final_window(rounds, ["user_id"], 0.1), ["user_id"]).withColumnRenamed("normalized", "late_regret")
+    error = rounds.groupBy("user_id").agg(F.round(metrics.rmse(F.col("squared")), 9).alias("rmse"))
+    soon = metrics.recovery_time(rounds, ["user_id"], 20, 10, 0.5)
+    return whole.join(late, "user_id").join(error, "user_id").join(soon, "user_id").select("user_id", F.round("regret", 9).alias("regret"), F.round("late_regret", 9).alias("late_regret"), "rmse", F.col("recovered").cast("bigint").alias("recovered"))
 
 
-def sim_oracle_uniform(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Normalised regret of the uniform policy, and the best mean reward, by world and seed."""
-    per = battery.blind_rounds(spark, seeds=4, rounds=600).groupBy("world", "seed")
-    return per.agg(F.round(F.sum("best") / F.count("*"), 9).alias("oracle_reward"), F.round(F.sum("regret") / F.sum("normalizer"), 9).alias("uniform_regret"), F.sum("chosen").alias("choices"))
+def regret_quartiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Median and quartiles of the users' normalised regret, by the number of the user's group of ten."""
+    per = metrics.normalized_regret(_regret(spark, sf_dir), ["user_id"]).withColumn("grp", F.col("user_id") % 10)
+    out = metrics.median_iqr(per, ["grp"], "normalized")
+    return out.select("grp", *(F.round(c, 9).alias(c) for c in ("median", "low", "high")))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         hash_ids, rng_units, logged_choices, encode_events, effective_resolutions, horizon_classes, log_counts, verify_findings, verify_log, evaluate_lattice, evaluate_forget, sweep_lattice, ablation,
-        replay_slots, replay_forget, merged_logs_replay, debiased_rates, expiry_rate, rolling_reward, per_user_evaluate, preview_states, per_user_replay, replay_states, slate_topk, online_learner, byo_explore, sim_regret, sim_epsilon_sweep, sim_oracle_uniform,
+        replay_slots, replay_forget, merged_logs_replay, debiased_rates, expiry_rate, rolling_reward, per_user_evaluate, preview_states, per_user_replay, replay_states, slate_topk, online_learner, byo_explore, decide_batch, exact_sums, regret_by_user, regret_quartiles,
     )
 }
 

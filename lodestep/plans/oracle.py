@@ -141,20 +141,15 @@ told_ as (select line, case
 found as (select line, 0::INT as at, 'line ' || line || what as problem from told_ where what is not null)"""
 
 
-def simulated(seeds: int, rounds: int) -> str:
-    """CTEs that end with ``rounds_`` (world, seed, chosen, best, regret, normalizer) of the uniform policy."""
-    names = {"u": "'uniform:' || seed || ':choose:' || t || '.0'", "x": "'xor-k4:' || seed || ':context:' || t", "n": "'needle-k10-g0.2:' || seed || ':needle'"}
-    steps = [f"grid as (select i // {rounds} as seed, i % {rounds} as t from range({seeds * rounds}) r(i))"]
-    for name, text in names.items():
-        steps.append(f"{name}k as (select seed, t, {key(text, 'sim')}::UBIGINT as key from grid)")
-    for name, of, i in (("u", "u", 0), ("s0", "x", 0), ("s1", "x", 1), ("nd", "n", 0)):
-        counted = f"(select seed, t, ((key::UHUGEINT + {i}::UHUGEINT * 11400714819323198485::UHUGEINT) % {M})::UBIGINT as c from {of}k)"
-        steps.append(f"{name}d as (select seed, t, (m >> 11)::DOUBLE * 1.1102230246251565e-16::DOUBLE as {name} from {mixed(counted, 'c', 'seed, t')})")
-    steps.append("drawn as (select * from ud join s0d using (seed, t) join s1d using (seed, t) join ndd using (seed, t))")
-    steps.append("""paid as (select 'xor-k4' as world, seed, floor(u * 4)::INT as chosen, 0.75::DOUBLE as best, case when floor(u * 4)::INT % 2 = (floor(s0 * 2) <> floor(s1 * 2))::INT then 0.75::DOUBLE else 0.25::DOUBLE end as mean, 0.5::DOUBLE as average from drawn
-        union all select 'needle-k10-g0.2', seed, floor(u * 10)::INT, 0.7::DOUBLE, case when floor(u * 10) = floor(nd * 10) then 0.7::DOUBLE else 0.5::DOUBLE end, 0.52::DOUBLE from drawn)""")
-    steps.append("rounds_ as (select world, seed, chosen, best, best - mean as regret, best - average as normalizer from paid)")
-    return "with " + ", ".join(steps)
+#: CTEs that end with ``rounds`` (user_id, t, best, regret, normalizer, squared) of the logged policy.
+ROUNDS = f"""{LOG}, offered as (select event_id, user_id, t, chosen, [(event_id * 7 % 4)::DOUBLE / 4::DOUBLE, ((event_id * 7 + 3) % 4)::DOUBLE / 4::DOUBLE, ((event_id * 7 + 6) % 4)::DOUBLE / 4::DOUBLE] as r from dec),
+rounds as (select user_id, row_number() over (partition by user_id order by t, event_id) - 1 as t, list_max(r) as best, list_max(r) - r[chosen + 1] as regret, list_max(r) - list_sum(r) / 3 as normalizer, pow(r[chosen + 1] - 0.375::DOUBLE, 2) as squared from offered)"""
+_NORMALIZED = "case when sum(normalizer) = 0 then 0::DOUBLE else sum(regret) / sum(normalizer) end"
+
+
+def exactly(x: str) -> str:
+    """The sum as a whole number of 2^-80ths, rounded once."""
+    return f"(sum(({x} * pow(2::DOUBLE, 60))::HUGEINT)::DOUBLE / pow(2::DOUBLE, 60))"
 
 
 def sql(bits: int, epsilon: float, f: float) -> dict[str, str]:
@@ -183,7 +178,16 @@ def sql(bits: int, epsilon: float, f: float) -> dict[str, str]:
             from (select distinct user_id from dec) u cross join {click} c left join r on r.user_id = u.user_id and r.slot = c.slot group by u.user_id, c.cand)
             select user_id, case cand when 0 then 'north' when 1 then 'east' else 'south' end as arm, round(e, 6) as estimate,
             round(case when e = max(e) over (partition by user_id) then 0.05::DOUBLE / 3 + 0.95::DOUBLE else 0.05::DOUBLE / 3 end, 6) as probability from e""",
-        "sim_oracle_uniform": f"{simulated(4, 600)} select world, seed::INT as seed, round(sum(best) / count(*), 9) as oracle_reward, round(sum(regret) / sum(normalizer), 9) as uniform_regret, sum(chosen)::BIGINT as choices from rounds_ group by world, seed",
+        "decide_batch": f"""{LOG}, {replayed(bits, 1.0)[len(LOG) + 2:]}, est as (select seg, hour, cand, list_reduce(list_concat([0::DOUBLE], list(v * (coalesce(xy, 0::DOUBLE) * (1::DOUBLE / (coalesce(xx, 0::DOUBLE) + 1::DOUBLE))) order by slot)), lambda a, b: a + b) as e from feat left join r using (slot) group by seg, hour, cand),
+            pp as (select *, {epsilon}::DOUBLE / 3 + case when e = max(e) over w then (1::DOUBLE - {epsilon}::DOUBLE) / count(*) filter (e = top) over w else 0::DOUBLE end as p from (select *, max(e) over (partition by seg, hour) as top from est) window w as (partition by seg, hour)),
+            rows_ as (select seg, hour, list(e order by cand) as es, list(p order by cand) as ps from pp group by seg, hour),
+            took as (select event_id, es, ps, case when u0 < ps[1] then 0 when u0 < ps[1] + ps[2] then 1 else 2 end as chosen from dec join d0 using (event_id) join rows_ using (seg, hour))
+            select event_id, chosen::INT as chosen, ['north', 'east', 'south'][chosen + 1] as arm, ps[chosen + 1] as propensity, es[chosen + 1] as estimate, (list_position(es, list_max(es)) - 1)::INT as best from took""",
+        "exact_sums": f"{LOG} select seg, chosen, {exactly('t')} as t, {exactly('value')} as value, {exactly('value * (1::DOUBLE / (chosen + 2))')} as shared, {exactly('value * value')} as squares from dec join (select event_id, value from events) using (event_id) group by seg, chosen",
+        "regret_by_user": f"""{ROUNDS}, lined as (select *, count(*) over (partition by user_id) as n, avg(best - regret) over w as earned, avg(best) over w as most, count(*) over w as ahead from rounds window w as (partition by user_id order by t rows between current row and 9 following))
+            select user_id, round({_NORMALIZED}, 9) as regret, round(case when sum(normalizer) filter (last_) = 0 then 0::DOUBLE else sum(regret) filter (last_) / sum(normalizer) filter (last_) end, 9) as late_regret, round(sqrt(avg(squared)), 9) as rmse,
+            (min(t) filter (ahead = 10 and t >= 20 and earned >= 0.5::DOUBLE * most) - 20)::BIGINT as recovered from (select *, t >= n - greatest(1, floor(n * 0.1::DOUBLE)) as last_ from lined) group by user_id""",
+        "regret_quartiles": f"{ROUNDS}, per as (select user_id, {_NORMALIZED} as x from rounds group by user_id) select user_id % 10 as grp, round(quantile_cont(x, 0.5), 9) as median, round(quantile_cont(x, 0.25), 9) as low, round(quantile_cont(x, 0.75), 9) as high from per group by user_id % 10",
         "verify_log": f"{findings()} select * from found",
         "verify_findings": f"{findings()} select {rule} as problem, count(*) as n, min(line) as first_line from found group by {rule}",
         "debiased_rates": f"{LOG} select d_seg as seg, d_chosen as chosen, count(*) as exposure, round(sum(reward * (1::DOUBLE / d_propensity)) / sum(1::DOUBLE / d_propensity), 9) as rate from pair where effective group by d_seg, d_chosen",
