@@ -2,11 +2,8 @@
 
 from __future__ import annotations
 
-import gzip
-import io
 import json
 from collections.abc import Callable, Iterator
-from itertools import islice
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import kernel as K
 from ..plans.ranking import in_order
 from ..plans.shared import written
+from . import lines
 
 
 def _is_gzip(spark: SparkSession, path: str) -> bool:
@@ -30,23 +28,10 @@ def read_log(spark: SparkSession, path: str) -> DataFrame:
     """(line, value) of one log file, 1-based and counting blank lines.
 
     Plain text is split over tasks, whose order is that of their places in the
-    file. A compressed file can't be split and is read by one task, which inflates
-    it as it goes (a file of 2 GB at most).
+    file. A compressed file is inflated by one task as it goes.
     """
     if _is_gzip(spark, path):
-
-        def unpacked(it: Iterator) -> Iterator:
-            import pandas as pd
-
-            for pdf in it:
-                for content in pdf["content"]:
-                    with gzip.open(io.BytesIO(content), "rt", encoding="utf-8", newline="\n") as lines:
-                        begin = 1
-                        while part := [line.removesuffix("\n") for line in islice(lines, 10_000)]:
-                            yield pd.DataFrame({"line": range(begin, begin + len(part)), "value": part})
-                            begin += len(part)
-
-        return spark.read.format("binaryFile").load(path).select("content").mapInPandas(unpacked, "line bigint, value string")
+        return lines.numbered(spark, path).select("line", "value")
     text = spark.read.text(path).select("value", F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_id"))
     return in_order(text, ["_start", "_id"], "_place").select((F.col("_place") + 1).alias("line"), "value")
 
@@ -161,8 +146,8 @@ def log_counts(events: DataFrame) -> DataFrame:
 
 
 def read_log_stream(spark: SparkSession, path: str) -> DataFrame:
-    """Events of log files as they arrive. Lines have no numbers in a stream; ``error`` stays a column, so a bad line fails nobody before it is reached."""
-    return typed(spark.readStream.text(path).select(F.lit(0).cast("bigint").alias("line"), "value")).drop("line")
+    """Events of log files as they arrive, with their lines' numbers; ``error`` stays a column, so a bad line fails nobody before it is reached."""
+    return typed(lines.stream(spark, path).select("line", "value"))
 
 
 def decision_line(made: K.Decision, bits: int, context: dict, candidates: list) -> str:

@@ -1,13 +1,16 @@
 """Streams against one process: timers, state that is read and forked, interval join, train sink."""
 
+import collections
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from lodestep.functions import kernel as K
 from lodestep.sources.derived import OFFERS
-from lodestep.streaming import timers
+from lodestep.sources import derived
+from lodestep.streaming import intervals, timers, training
 
 ARGS = {"bits": 4, "horizon": 100.0}
 
@@ -99,3 +102,78 @@ def test_a_fork_goes_its_own_way(spark, stopped):
     (own,) = timers.state_of(spark, forked, **ARGS).collect()
     (first,) = timers.state_of(spark, at, **ARGS).where("key = 'a'").collect()
     assert K.deserialize(own.state) == b and own.state != first.state
+
+
+def files(spark, folder, schema, batches):
+    """A stream of the batches, one file each, in shuffled order of rows."""
+    for i, rows in enumerate(batches):
+        rows = list(rows)
+        random.Random(i).shuffle(rows)
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(folder / f"{i:03d}"))
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(folder / "*"))
+
+
+def test_interval_join_of_shuffled_streams(spark, sf, tmp_path):
+    made = derived.decisions(spark, sf)
+    reports = derived.resolutions(made).select("decision_id", "report", "t", "reward")
+    decisions = made.select("decision_id", "t")
+    horizon, day = derived.HORIZON, 86_400.0
+    first = min(r.t for r in decisions.collect())
+
+    def batches(rows, last):
+        cut = collections.defaultdict(list)
+        for r in rows:
+            cut[int((r.t - first) // (6 * day))].append(tuple(r))
+        return [cut[i] for i in sorted(cut)] + [[last]]
+
+    far = first + 400 * day
+    left = files(spark, tmp_path / "d", "decision_id string, t double", batches(decisions.collect(), ("end", far)))
+    right = files(spark, tmp_path / "r", "decision_id string, report int, t double, reward double", batches(reports.collect(), ("none", 0, far, 0.0)))
+    out = intervals.resolved(left, right, horizon=horizon, delay="7 days")
+    query = out.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "at")).outputMode("append").trigger(availableNow=True).start()
+    query.awaitTermination(300)
+    got = collections.Counter(tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).where("decision_id <> 'end'").collect())
+    assert got == collections.Counter(tuple(r) for r in intervals.resolved(decisions, reports, horizon=horizon).collect())
+    classes = {r.report: (r.n, r.reward) for r in derived.classified(derived.resolutions(made)).where("kind = 'rewarded'").groupBy("report").agg(F.count("*").alias("n"), F.sum("reward").alias("reward")).collect()}
+    own = collections.defaultdict(lambda: [0, 0.0])
+    for (_, report, kind, reward), n in got.items():
+        if kind == "rewarded":
+            own[report][0] += n
+            own[report][1] += n * reward
+    assert {k: tuple(v) for k, v in own.items()} == classes
+
+
+def test_examples_are_trained_once(spark, tmp_path):
+    """A batch fails after its examples were written, another in its callback; after restarts every example but the failed one has been trained once."""
+    schema = "decision_id string, reward double"
+    folder = tmp_path / "in"
+    files(spark, folder, schema, [[(f"d{b}:{i}", 1.0) for i in range(5)] * 2 for b in range(3)])
+    seen: collections.Counter = collections.Counter()
+
+    def train(row):
+        if row.decision_id == "d2:3":
+            raise RuntimeError("no")
+        seen[row.decision_id] += 1
+
+    class Fails(training.TrainSink):
+        def commit(self, batch):
+            if batch == 1 and not (tmp_path / "failed").exists():
+                (tmp_path / "failed").touch()
+                raise RuntimeError("lost after the write")
+            super().commit(batch)
+
+    def run():
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(folder / "*"))
+        query = stream.writeStream.foreachBatch(Fails(spark, str(tmp_path / "sink"), train)).option("checkpointLocation", str(tmp_path / "at")).trigger(availableNow=True).start()
+        try:
+            query.awaitTermination(120)
+        except Exception as error:  # noqa: BLE001
+            return str(error)
+        return ""
+
+    assert "lost after the write" in run() and sum(seen.values()) == 5
+    assert "no" in run()
+    assert run() == ""
+    every = {f"d{b}:{i}" for b in range(3) for i in range(5)}
+    assert set(seen) == every - {"d2:3"} and set(seen.values()) == {1}
+    assert sorted(r.decision_id for r in training.TrainSink(spark, str(tmp_path / "sink"), train).examples().collect()) == sorted(every)
