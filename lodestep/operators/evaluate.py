@@ -128,6 +128,36 @@ def replay(log: DataFrame, order: list[str], *, bits: int, horizon: float, forge
     return out.withColumnRenamed("key", key) if key else out.drop("key")
 
 
+def bootstrap(log: DataFrame, order: list[str], *, bits: int, epsilon: float = K.DEFAULTS["epsilon"], forgetting: float = K.DEFAULTS["forgetting"], replicates: int = 200, salt: str = "bootstrap", chunk: int = fold.CHUNK) -> DataFrame:
+    """(replicate, n, ips, snips): the estimates with each resolved decision taken a Poisson number of times, for so many replicates in one pass.
+
+    The quantiles of the replicates are intervals of the estimates. The model learns from the log as it is.
+    """
+    K.Bandit(K.Model(1 << bits, forgetting), 1.0, epsilon=epsilon)  # refuses what is out of range
+    lines = Timeline(log, order, chunk=chunk)
+    events = lines.events(True)
+    carry = fold.carry_rows(events, fold.chunk_counts(events), [(bits, forgetting)])
+    names = lines.rows.where("event = 'decision' and target is not null").select("key", "chunk", "pos", F.lit("id").alias("event"), F.col("decision_id").alias("context"))
+    rows = fold.with_defaults(events).unionByName(fold.with_defaults(names))
+    parts = fold.resampled(rows, carry, (bits, forgetting), epsilon, replicates, salt).groupBy("replicate", "name", "k").agg(F.sum("s").alias("s"))
+    own = lambda name: F.coalesce(exact.total(F.collect_list(F.when(F.col("name") == name, F.struct("k", "s")))), F.lit(0.0)).alias(name)
+    found = parts.groupBy("replicate").agg(F.sum(F.when(F.col("name") == "n", F.col("s"))).alias("n"), own("s"), own("sr"))
+    return found.select("replicate", "n", F.when(F.col("n") > 0, F.col("sr") / F.col("n")).alias("ips"), F.when(F.col("s") > 0, F.col("sr") / F.col("s")).alias("snips"))
+
+
+def rolling_mean(rows: DataFrame, order: list[str], value: str, size: int, out: str = "mean", chunk: int = fold.CHUNK) -> DataFrame:
+    """``rows`` with the mean of ``value`` over the last ``size`` rows of the whole table in order, this one included.
+
+    Rows are cut into ranges of places; the last ``size`` - 1 rows of a range also go to the next one, as a halo. So no task sees more than a range and its halo.
+    """
+    chunk = max(chunk, size)
+    placed = in_order(rows, order, "_place")
+    itself, halo = F.expr(f"_place div {chunk}"), F.col("_place") % chunk > chunk - size
+    both = placed.withColumn("_range", F.explode(F.when(halo, F.array(itself, itself + 1)).otherwise(F.array(itself))))
+    mean = F.avg(value).over(Window.partitionBy("_range").orderBy("_place").rowsBetween(1 - size, 0))
+    return both.withColumn(out, mean).where(F.col("_range") == itself).drop("_range", "_place")
+
+
 def running_mean(rows: DataFrame, by: list[str], order: list[str], value: str, size: int) -> Column:
     """Column: mean of ``value`` over the last ``size`` rows of each group, this one included."""
     return F.avg(value).over(Window.partitionBy(*by).orderBy(*order).rowsBetween(1 - size, 0))

@@ -15,6 +15,7 @@ and exactly equal where the log's numbers make sums exact in any order.
 from __future__ import annotations
 
 import json
+import math
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame
@@ -100,7 +101,7 @@ def by_chunk(rows: DataFrame, grid: list[tuple[int, float]], out: str, absorb: C
         if own and (found := list(finish(models, *own))):
             yield sent(found)
 
-    ordered = with_defaults(rows).repartition(2 * n, "key", "chunk").sortWithinPartitions("key", "chunk", "pos")
+    ordered = with_defaults(rows).repartition(2 * n, "key", "chunk").sortWithinPartitions("key", "chunk", "pos", F.col("event") != "id")
     return ordered.mapInArrow(batches, schema)
 
 
@@ -221,6 +222,59 @@ def weights(events: DataFrame, carry: DataFrame | None, grid: list[tuple[int, fl
     return by_chunk(rows, grid, "config int, name string, k int, s bigint, top double", absorb, finish)
 
 
+def resampled(events: DataFrame, carry: DataFrame | None, model: tuple[int, float], epsilon: float, replicates: int, salt: str) -> DataFrame:
+    """(key, replicate, name, k, s) of each chunk: the limbs of the sums n, s and sr of ``weights`` with each decision taken a Poisson number of times.
+
+    The number is drawn by the decision's id, which comes in a row of its own before the decision: counter b of its key is replicate b's draw. So a decision
+    has the same numbers wherever it is, and all replicates share the pass.
+    """
+
+    def absorb(models: Models, key, row):
+        pos, event, context, offers, chosen, propensity, target, reward, number, slot, xx, xy = row
+        if event == "carry":
+            models.load(number, slot, xx, xy)
+        elif event == "update":
+            models.update(context, offers, reward)
+        elif event == "id":
+            models.name = context
+        else:
+            bits = models.grid[0][0]
+            estimates = [models.models[0].predict(pairs) for pairs in models.coders[bits](context, offers)]
+            models.told.append((K.derive_key(models.name, salt), reward, K.probabilities(estimates, epsilon)[chosen] / propensity))
+        return ()
+
+    def finish(models: Models, key, chunk):
+        import numpy as np
+
+        if models.told:
+            keys = np.array([x[0] for x in models.told], dtype=np.uint64)
+            rewards, w = np.array([x[1:] for x in models.told]).T
+            for b in range(replicates):
+                times = poisson(keys, b)
+                yield key, b, "n", 0, int(times.sum())
+                for name, values in (("s", w), ("sr", w * rewards)):
+                    for k, s in exact.limbs_of(np.repeat(values, times)).items():
+                        yield key, b, name, k, s
+
+    rows = events if carry is None else with_defaults(events).unionByName(with_defaults(carry))
+    return by_chunk(rows, [model], "replicate int, name string, k int, s bigint", absorb, finish)
+
+
+#: How often a Poisson number with mean 1 is at most 0, 1, 2, ...: beyond the last one lies less than 2**-53.
+POISSON = [math.fsum(math.exp(-1) / math.factorial(j) for j in range(i + 1)) for i in range(18)]
+
+
+def poisson(keys, counter: int):
+    """Poisson numbers with mean 1 of an array of keys: the draw ``counter`` of each."""
+    import numpy as np
+
+    x = keys + np.uint64(counter * K.GOLDEN & K.MASK)
+    x = (x ^ x >> np.uint64(30)) * np.uint64(K.MIX_1)
+    x = (x ^ x >> np.uint64(27)) * np.uint64(K.MIX_2)
+    unit = ((x ^ x >> np.uint64(31)) >> np.uint64(11)).astype(float) * 2.0**-53
+    return np.searchsorted(POISSON, unit, side="right")
+
+
 def states(events: DataFrame, carry: DataFrame | None, counts: DataFrame, heads: DataFrame, model: tuple[int, float], horizon: float, default_reward: float, epsilon: float) -> DataFrame:
     """(key, state, next_seq, model_version) of each row of ``heads`` (key, next_seq string, updates): the model after the log's last update."""
     end = counts.where("chunk = last.chunk").select(F.col("key").alias("_k"), F.col("chunk").alias("_c"))

@@ -12,7 +12,7 @@ import json
 from collections import deque
 from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -127,6 +127,21 @@ def state_slots(states: DataFrame, key: str) -> DataFrame:
     return states.select(key, "state").mapInPandas(rows, _typed(states, key, "slot int, xx double, xy double"))
 
 
+class StateSlots:
+    """Table function for SQL: ``state_slots(state)`` has slot, xx and xy, the true sums of a serialised state, row by row."""
+
+    def eval(self, state: str):
+        if state is not None:
+            m = K.deserialize(state).model
+            for j in sorted(m.xx):
+                yield j, m.scale * m.xx[j], m.scale * m.xy[j]
+
+
+def register(spark: SparkSession) -> None:
+    """Make ``state_slots`` known to SQL."""
+    spark.udtf.register("state_slots", F.udtf(StateSlots, returnType="slot int, xx double, xy double"))
+
+
 def slates(states: DataFrame, key: str, context: dict, offers, k: int) -> DataFrame:
     """The top k offers of each key's state, in order, with conditional propensities. The states stay as they are."""
     offers = list(offers)

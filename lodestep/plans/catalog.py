@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 from ..functions import exact
 from ..functions import hashing as H
-from ..operators import decide, effective, encode, evaluate, metrics, online, verify
+from ..operators import decide, effective, encode, evaluate, index, metrics, online, verify
 from ..sources import derived, logfile
+from ..streaming import intervals
 from . import oracle
 from .shared import written
 
@@ -219,11 +220,52 @@ def regret_quartiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("grp", *(F.round(c, 9).alias(c) for c in ("median", "low", "high")))
 
 
+def interval_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Decisions with their reports inside the horizon, and those that expire without one: what the two streams give."""
+    made = derived.decisions(spark, sf_dir)
+    reports = derived.resolutions(made).select("decision_id", "report", "t", "reward")
+    return intervals.resolved(made, reports, horizon=derived.HORIZON).withColumn("report", F.coalesce("report", F.lit(-1)))
+
+
+def states_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The model before each thousandth line of the log, from one index."""
+    lines = evaluate.Timeline(derived.log(spark, sf_dir), derived.ORDER, chunk=1024)
+    asked = lines.rows.where("(pos + 1) % 1000 = 0").select("pos")
+    out = index.PrefixIndex(spark, BITS, 1.0, chunk=1024).update(lines).states_as_of(lines, asked)
+    return out.select((F.col("pos") + 1).alias("line"), "slot", "xx", "xy")
+
+
+def lateral_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The users' rebuilt states as a table, by SQL over the table function."""
+    online.register(spark)
+    states = per_user_replay(spark, sf_dir)
+    return spark.sql("select user_id, slot, round(xx, 6) as xx, round(xy, 6) as xy from {states}, lateral state_slots(state)", states=states)
+
+
+def rolling_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean reward of the last 2,000 effective resolutions of the whole log, at each of them."""
+    done = effective.paired(derived.log(spark, sf_dir), derived.ORDER, []).where("effective")
+    return evaluate.rolling_mean(done, derived.ORDER, "reward", 2000).select("event_id", "report", F.round("mean", 9).alias("mean"))
+
+
+def bootstrap_estimates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three Poisson replicates of the estimates."""
+    out = evaluate.bootstrap(derived.log(spark, sf_dir), derived.ORDER, bits=BITS, epsilon=EPSILON, forgetting=1.0, replicates=3)
+    return out.select("replicate", "n", F.round("ips", 9).alias("ips"), F.round("snips", 9).alias("snips"))
+
+
+def bootstrap_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The middle 95 in 100 of 200 replicates of each estimate."""
+    out = evaluate.bootstrap(derived.log(spark, sf_dir), derived.ORDER, bits=BITS, epsilon=EPSILON, forgetting=1.0, replicates=200)
+    each = out.select(F.explode(F.array(*(F.struct(F.lit(c).alias("estimate"), F.col(c).alias("x")) for c in ("ips", "snips")))).alias("e")).select("e.*")
+    return each.groupBy("estimate").agg(F.percentile("x", F.array(F.lit(0.025), F.lit(0.5), F.lit(0.975))).alias("q")).select("estimate", F.col("q")[0].alias("low"), F.col("q")[1].alias("middle"), F.col("q")[2].alias("high"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         hash_ids, rng_units, logged_choices, encode_events, effective_resolutions, horizon_classes, log_counts, verify_findings, verify_log, evaluate_lattice, evaluate_forget, sweep_lattice, ablation,
-        replay_slots, replay_forget, merged_logs_replay, debiased_rates, expiry_rate, rolling_reward, per_user_evaluate, preview_states, per_user_replay, replay_states, slate_topk, online_learner, byo_explore, decide_batch, exact_sums, regret_by_user, regret_quartiles,
+        replay_slots, replay_forget, merged_logs_replay, debiased_rates, expiry_rate, rolling_reward, per_user_evaluate, preview_states, per_user_replay, replay_states, slate_topk, online_learner, byo_explore, decide_batch, exact_sums, regret_by_user, regret_quartiles, interval_join, states_as_of, lateral_states, rolling_log, bootstrap_estimates, bootstrap_intervals,
     )
 }
 

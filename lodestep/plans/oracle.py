@@ -98,7 +98,7 @@ def evaluated(bits: int, epsilons: list[float], digits: int, name: str, f: float
 {name}_e as (select event_id, cand, list_reduce(list_concat([0::DOUBLE], list(v * (xy * (1::DOUBLE / (xx + 1::DOUBLE))) order by slot)), lambda a, b: a + b) as e from {name}_ask join {name}_st using ({using}slot, n) group by event_id, cand),
 {name}_b as (select event_id, count(*) as k, max(e) as best from {name}_e group by event_id),
 {name}_k as (select event_id, any_value(k) as k, any_value(best) as best, count(*) filter (e = best) as ties from {name}_e join {name}_b using (event_id) group by event_id),
-{name}_w as (select {of}g.eps, (case when x.e = best then g.eps / k + (1::DOUBLE - g.eps) / ties else g.eps / k end) / d_propensity as w, reward as r
+{name}_w as (select {of}g.eps, d_event_id, (case when x.e = best then g.eps / k + (1::DOUBLE - g.eps) / ties else g.eps / k end) / d_propensity as w, reward as r
     from line l join {name}_k kk on kk.event_id = l.d_event_id join {name}_e x on x.event_id = l.d_event_id and x.cand = l.d_chosen, (values {grid}) g(eps) where effective),
 {name}_s as (select {of}eps, count(*) as n, sum(r) as r, sum(w) as s, sum(w * r) as sr, sum(w * w) as ss, max(w) as top from {name}_w group by {of}eps),
 {name} as (select {'c.' + of if by else ''}{bits}::INT as bits, g.eps as epsilon, {f}::DOUBLE as forgetfulness, c.decisions, coalesce(n, 0) as resolved, c.unresolved,
@@ -152,6 +152,17 @@ def exactly(x: str) -> str:
     return f"(sum(({x} * pow(2::DOUBLE, 60))::HUGEINT)::DOUBLE / pow(2::DOUBLE, 60))"
 
 
+def bootstrapped(replicates: int, salt: str = "bootstrap") -> str:
+    """CTEs that end with ``boot`` (replicate, n, ips, snips) over the weights a_w: each decision a Poisson number of times."""
+    from ..operators.fold import POISSON
+
+    drawn = mixed(f"(select event_id, b, ((key::UHUGEINT + b::UHUGEINT * 11400714819323198485::UHUGEINT) % {M})::UBIGINT as c from bkey, range({replicates}) q(b))", "c", "event_id, b")
+    return f"""bkey as (select event_id, {key(chr(39) + 'ev:' + chr(39) + ' || event_id', salt)}::UBIGINT as key from events),
+bunit as (select event_id, b, (m >> 11)::DOUBLE * 1.1102230246251565e-16::DOUBLE as u from {drawn}),
+times as (select event_id, b, {' + '.join(f'(u >= {p!r}::DOUBLE)::INT' for p in POISSON)} as k from bunit),
+boot as (select b::INT as replicate, sum(k)::BIGINT as n, round(sum(k * w * r) / sum(k), 9) as ips, round(sum(k * w * r) / sum(k * w), 9) as snips from a_w join times on event_id = d_event_id group by b)"""
+
+
 def sql(bits: int, epsilon: float, f: float) -> dict[str, str]:
     hexed = lambda c: f"printf('%016X', {c})"
     sweep = [(b, x, f"s{i}") for i, (b, x) in enumerate((b, x) for b in (4, 8) for x in (1.0, f))]
@@ -178,6 +189,13 @@ def sql(bits: int, epsilon: float, f: float) -> dict[str, str]:
             from (select distinct user_id from dec) u cross join {click} c left join r on r.user_id = u.user_id and r.slot = c.slot group by u.user_id, c.cand)
             select user_id, case cand when 0 then 'north' when 1 then 'east' else 'south' end as arm, round(e, 6) as estimate,
             round(case when e = max(e) over (partition by user_id) then 0.05::DOUBLE / 3 + 0.95::DOUBLE else 0.05::DOUBLE / 3 end, 6) as probability from e""",
+        "lateral_states": f"{replayed(bits, f, 'user_id', digits=6)} select * from r",
+        "rolling_log": f"{LOG} select event_id, report, round(avg(reward) over (order by t, ko, event_id, report rows between 1999 preceding and current row), 9) as mean from pair where effective",
+        "bootstrap_estimates": f"""{LOG}, {evaluated(bits, [epsilon], 6, 'a')}, {bootstrapped(3)} select * from boot""",
+        "interval_join": f"""{LOG}, near as (select decision_id, report, case when kind = 'rewarded' then reward end as reward from res where kind = 'rewarded')
+            select decision_id, report, 'rewarded' as kind, reward from near union all select decision_id, -1, 'expired', 0::DOUBLE from dec where decision_id not in (select decision_id from near)""",
+        "states_as_of": f"""{LOG}, {features(bits)}, placed as (select *, row_number() over (order by t, ko, event_id, report) as line from pair), asked as (select line from placed where line % 1000 = 0)
+            select a.line, slot, sum(v * v) as xx, sum(reward * v) as xy from asked a join placed p on p.line < a.line and effective join feat f on f.seg = d_seg and f.hour = d_hour and f.cand = d_chosen group by a.line, slot""",
         "decide_batch": f"""{LOG}, {replayed(bits, 1.0)[len(LOG) + 2:]}, est as (select seg, hour, cand, list_reduce(list_concat([0::DOUBLE], list(v * (coalesce(xy, 0::DOUBLE) * (1::DOUBLE / (coalesce(xx, 0::DOUBLE) + 1::DOUBLE))) order by slot)), lambda a, b: a + b) as e from feat left join r using (slot) group by seg, hour, cand),
             pp as (select *, {epsilon}::DOUBLE / 3 + case when e = max(e) over w then (1::DOUBLE - {epsilon}::DOUBLE) / count(*) filter (e = top) over w else 0::DOUBLE end as p from (select *, max(e) over (partition by seg, hour) as top from est) window w as (partition by seg, hour)),
             rows_ as (select seg, hour, list(e order by cand) as es, list(p order by cand) as ps from pp group by seg, hour),
