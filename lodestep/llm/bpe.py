@@ -4,7 +4,7 @@ For every byte prefix of a piece exactly one token can end its encoding. It is
 the token that ends there and whose pairing with the last token of the prefix
 before it is itself a stable encoding. Storing that one token per prefix gives
 the encoding by walking back from the end, lets bytes be appended without
-touching what is stored, and limits the work after an edit to what follows it.
+touching what is stored, and limits the work after an edit to its neighbourhood.
 
 * ``Vocabulary``: ranks, the automaton that lists the tokens ending at a byte,
   and the memoised test whether two tokens may stand side by side.
@@ -27,7 +27,7 @@ from collections.abc import Iterable, Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from .common import by_place
+from .common import by_place, refuse_taken
 
 #: Characters with the Unicode property White_Space, as the split pattern's \s means them.
 SPACE = "\t-\r \x85\xa0  -     　"
@@ -54,6 +54,7 @@ class Vocabulary:
         self.ranks = ranks
         self.bytes_of: dict[int, bytes] = {i: b for b, i in ranks.items()}
         self.lengths = [len(self.bytes_of.get(i, b"")) for i in range(max(ranks.values()) + 1)]
+        self.longest = max(self.lengths)
         self._spines: dict[int, tuple[list[int], list[int]]] = {}
         #: Pairs found to stand together, and pairs found not to.
         self.known: set[tuple[int, int]] = set()
@@ -140,7 +141,7 @@ class PrefixTable:
         self.text += more
         self.last += [-1] * len(more)
         # tokens that end in the new part may begin in the old one
-        back = max(0, begin - 128)
+        back = max(0, begin - self.v.longest)
         self._fill(begin, self.v.ending.iter(self.text[back:].decode("latin-1")), back)
         return self
 
@@ -158,10 +159,36 @@ class PrefixTable:
                 last[end] = token
 
     def replace(self, start: int, end: int, new: bytes) -> PrefixTable:
-        """Put new bytes in place of [start, end). Prefixes up to start stay; later ones are filled again."""
-        tail = self.text[end:]
-        self.text, self.last = self.text[:start], self.last[: start + 1]
-        return self.append(new + tail)
+        """Put new bytes in place of [start, end). Prefixes up to start stay; later ones are filled again until they meet the old ones.
+
+        A prefix's last token depends on those of the prefixes up to one longest token before it. So where a longest
+        token's length of prefixes, behind the edit, end as they ended before, all that follow do too.
+        """
+        old, longest, shift = self.last, self.v.longest, len(new) - (end - start)
+        text, behind = self.text[:start] + new + self.text[end:], start + len(new)
+        low = max(0, start - longest)
+        fresh, at = old[low : start + 1], start  # of the prefixes from low on
+        length, together, ending = self.v.lengths, self.v.stand_together, self.v.ending
+        while at < len(text):
+            to = min(len(text), max(at, behind) + 4 * longest)
+            back = max(low, at - longest)
+            fresh += [-1] * (to - at)
+            for place, token in ending.iter(text[back:to].decode("latin-1")):
+                stop = place + back + 1
+                if stop <= at or fresh[stop - low] >= 0:
+                    continue
+                begin = stop - length[token]
+                if begin == 0:
+                    if self.v.stable(token):
+                        fresh[stop - low] = token
+                elif together(fresh[begin - low], token):
+                    fresh[stop - low] = token
+            at = to
+            if at - longest > behind and fresh[at - longest + 1 - low : at + 1 - low] == old[at - longest + 1 - shift : at + 1 - shift]:
+                break
+        self.text = text
+        old[start + 1 : at - shift + 1] = fresh[start + 1 - low : at + 1 - low]
+        return self
 
     def ids(self) -> list[int]:
         out, at = [], len(self.text)
@@ -287,8 +314,7 @@ def encode_documents(docs: DataFrame, vocabulary: str, pattern: str, text: str =
 
     Null and empty texts get an empty array. The new column's name must be free.
     """
-    if ids in docs.columns:
-        raise ValueError(f"there is a column {ids} already")
+    refuse_taken(docs, ids)
     shared = broadcast_vocabulary(docs.sparkSession, vocabulary)
 
     def rows(texts):
@@ -302,6 +328,7 @@ def encode_documents(docs: DataFrame, vocabulary: str, pattern: str, text: str =
 
 def encode_digests(docs: DataFrame, vocabulary: str, pattern: str, text: str = "text") -> DataFrame:
     """``docs`` with n_tokens, ids_sha256 and decoded_sha256 of each whole text; the ids themselves don't leave the worker."""
+    refuse_taken(docs, "n_tokens", "ids_sha256", "decoded_sha256")
     shared = broadcast_vocabulary(docs.sparkSession, vocabulary)
 
     def rows(texts):

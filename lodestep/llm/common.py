@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..plans.shared import forget, new_path, shared_dir, written
 
-__all__ = ["P", "ascii_lower", "by_place", "cols", "forget", "hash128", "new_path", "quoted", "shared_dir", "table", "written"]
+__all__ = ["P", "ascii_lower", "by_place", "cols", "forget", "hash128", "new_path", "quoted", "refuse_taken", "shared_dir", "table", "written"]
 
 #: Names that operators add to a caller's rows start so, so that they can't clash with the caller's columns.
 P = "__lds_"
@@ -31,6 +31,13 @@ _UPPER_BEYOND_ASCII = r"[\p{IsUppercase}\p{Lt}&&[^A-Z]]"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+def refuse_taken(docs: DataFrame | list[str], *names: str) -> None:
+    """Raise if a table has one of the columns that an operator is about to add."""
+    given = docs if isinstance(docs, list) else docs.columns
+    if taken := [n for n in names if n.lower() in {c.lower() for c in given}]:
+        raise ValueError(f"there is a column {taken[0]} already")
+
+
 def by_place(df: DataFrame) -> DataFrame:
     """``df`` with columns named by place: names with dots can't go into a map over batches."""
     return df.toDF(*(f"c{i}" for i in range(len(df.columns))))

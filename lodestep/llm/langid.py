@@ -26,9 +26,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import by_place, quoted
+from .common import by_place, quoted, refuse_taken
 
-SAMPLE_ROWS, SAMPLE_CHARS, DICT_BYTES, BLOCK_CHARS, LEVEL = 256, 2000, 96 << 10, 4096, 6
+#: The bound of the sample: rows of a language, and the length of the block that each gives, from anywhere in its text.
+SAMPLE_ROWS, SAMPLE_CHARS = 64, 1500
+BLOCK_CHARS, LEVEL = 4096, 6
 MAX_LANGUAGES = 400
 UND = "und"
 
@@ -38,8 +40,8 @@ def learn(labelled: DataFrame, *, text: str = "text", lang: str = "lang") -> dic
 
     Two passes: about how many distinct texts each language has (a sketch a
     language), then those whose hash lies in the least share that holds about twice
-    SAMPLE_ROWS of them; copies count once, however many. At most SAMPLE_ROWS texts a
-    language reach the driver, cut to SAMPLE_CHARS.
+    SAMPLE_ROWS of them; copies count once, however many. At most SAMPLE_ROWS blocks a
+    language reach the driver. A text's block begins at a place that its hash chooses.
     """
     own = labelled.select(F.col(quoted(lang)).alias("lang"), F.xxhash64(quoted(text)).alias("x"), F.col(quoted(text)).alias("text")).where("lang is not null and text is not null")
     counts = {r["lang"]: r["n"] for r in own.groupBy("lang").agg(F.approx_count_distinct("x", 0.02).alias("n")).limit(MAX_LANGUAGES + 1).collect()}
@@ -49,19 +51,11 @@ def learn(labelled: DataFrame, *, text: str = "text", lang: str = "lang") -> dic
         return {}
     drawn = own.withColumn("h", F.pmod("x", F.lit(1 << 40)) / float(1 << 40))
     share = F.create_map(*(x for name, n in sorted(counts.items()) for x in (F.lit(name), F.lit(1.0 if n <= 2 * SAMPLE_ROWS else 2 * SAMPLE_ROWS / n))))
-    near = drawn.where(F.col("h") <= share[F.col("lang")]).select("lang", "h", F.lower(F.substring("text", 1, SAMPLE_CHARS)).alias("text"))
+    begin = F.pmod(F.xxhash64(F.lit(5), "text"), F.greatest(F.length("text") - SAMPLE_CHARS, F.lit(0)) + 1) + 1
+    near = drawn.where(F.col("h") <= share[F.col("lang")]).select("lang", "h", F.lower(F.col("text").substr(begin.cast("int"), F.lit(SAMPLE_CHARS))).alias("text"))
     near = near.groupBy("lang", "h").agg(F.min("text").alias("text"))
     by_lang = near.groupBy("lang").agg(F.slice(F.sort_array(F.collect_list(F.struct("h", "text"))), 1, SAMPLE_ROWS).alias("rows")).collect()
-    out = {}
-    for r in by_lang:
-        joined, seen = [], 0
-        for _, t in r["rows"]:
-            joined.append(t.encode())
-            seen += len(joined[-1])
-            if seen >= DICT_BYTES:
-                break
-        out[r["lang"]] = b"\n".join(joined)[:DICT_BYTES]
-    return out
+    return {r["lang"]: b"\n".join(t.encode() for _, t in r["rows"]) for r in by_lang}
 
 
 _prepared: dict[int, list] = {}
@@ -94,8 +88,9 @@ def classify(text: str | None, compressors: list) -> tuple[str, float]:
 
 
 def identify(docs: DataFrame, languages: dict[str, bytes], *, text: str = "text", min_margin: float = 0.01) -> DataFrame:
-    """``docs`` with lang_pred, score (0 to 1: the margin, stretched) and confident."""
-    shared = docs.sparkSession.sparkContext.broadcast(languages)  # DICT_BYTES a language
+    """``docs`` with lang_pred, score (0 to 1: the margin, stretched) and confident; these names must be free."""
+    shared = docs.sparkSession.sparkContext.broadcast(languages)  # the sample's bound a language
+    refuse_taken(docs, "lang_pred", "score", "confident")
     at = docs.columns.index(text)
     added = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("confident", T.BooleanType())]
     schema = T.StructType([*docs.schema.fields, *added])

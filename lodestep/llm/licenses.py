@@ -55,10 +55,12 @@ def words_in(text: str) -> list[str]:
 
 def template_sets(templates: dict[str, list[str]] = TEMPLATES) -> list[tuple[str, list[str]]]:
     """(label, sorted distinct words) of each template."""
-    out = [(label, sorted(set(words_in(t)))) for label, texts in sorted(templates.items()) for t in texts]
-    if any(len(words_in(t)) > STRIDE for texts in templates.values() for t in texts):
-        raise ValueError(f"a template has more than {STRIDE} words; blocks would not hold it")
-    return out
+    return [(label, sorted(set(words_in(t)))) for label, texts in sorted(templates.items()) for t in texts]
+
+
+def stride_of(templates: dict[str, list[str]] = TEMPLATES) -> int:
+    """How far blocks are apart: STRIDE, or the words of the longest template. Blocks are twice as long, so one of them holds any template as a whole."""
+    return max([STRIDE, *(len(words_in(t)) for texts in templates.values() for t in texts)])
 
 
 def _array(words: list[str]) -> Column:
@@ -102,7 +104,7 @@ class _Templates:
     """The templates as the join needs them: words in the global order, prefixes with their places."""
 
     def __init__(self, docs: DataFrame, text: str, threshold: float, templates: dict[str, list[str]]):
-        self.sets = template_sets(templates)
+        self.sets, self.stride = template_sets(templates), stride_of(templates)
         self.order = word_order(docs, sorted({w for _, s in self.sets for w in s}), text)
         rank = {w: i for i, w in enumerate(self.order)}
         self.index = []
@@ -120,8 +122,8 @@ class _Templates:
         """(block, held) of the blocks that hold a prefix word: number, and which template words are in it, rarest first."""
         words, rare = F.col(P + "words"), _array(sorted({x[0] for x in self.index}))
         at = F.filter(F.transform(words, lambda w, i: F.when(F.array_contains(rare, w), i)), lambda i: i.isNotNull())
-        numbers = F.array_distinct(F.flatten(F.transform(at, lambda i: F.array(F.floor(i / STRIDE), F.greatest(F.floor(i / STRIDE) - 1, F.lit(0))))))
-        held = F.transform(numbers, lambda b: F.struct(b.cast("bigint").alias("block"), F.array_intersect(_array(self.order), F.slice(words, (b * STRIDE + 1).cast("int"), 2 * STRIDE)).alias("held")))
+        numbers = F.array_distinct(F.flatten(F.transform(at, lambda i: F.array(F.floor(i / self.stride), F.greatest(F.floor(i / self.stride) - 1, F.lit(0))))))
+        held = F.transform(numbers, lambda b: F.struct(b.cast("bigint").alias("block"), F.array_intersect(_array(self.order), F.slice(words, (b * self.stride + 1).cast("int"), 2 * self.stride)).alias("held")))
         return F.when(F.arrays_overlap(words, rare), held).otherwise(F.array().cast("array<struct<block:bigint,held:array<string>>>"))
 
 
@@ -148,8 +150,8 @@ def matches(docs: DataFrame, *, id: str = "doc_id", text: str = "text", threshol
     known = _Templates(docs, text, threshold, templates)
     rows = _read(docs, id, text, known)
     found = _joined(rows, known).join(rows.select("key", "n_words").distinct(), "key")
-    begin = F.col("block") * STRIDE
-    return found.select(F.col("id").alias(id), "block", begin.alias("first_word"), F.least(begin + 2 * STRIDE, F.col("n_words")).alias("last_word"), "template", "label", "containment")
+    begin = F.col("block") * known.stride
+    return found.select(F.col("id").alias(id), "block", begin.alias("first_word"), F.least(begin + 2 * known.stride, F.col("n_words")).alias("last_word"), "template", "label", "containment")
 
 
 def scan(docs: DataFrame, *, id: str = "doc_id", text: str = "text", threshold: float = 0.8, templates: dict[str, list[str]] = TEMPLATES) -> DataFrame:

@@ -37,7 +37,7 @@ from functools import lru_cache
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import P, hash128, quoted, written
+from .common import P, hash128, quoted, refuse_taken, written
 
 SEED = 0x9E3779B97F4A7C15
 
@@ -234,6 +234,7 @@ def near_duplicates(docs: DataFrame, *, id: str = "doc_id", text: str = "text",
     similarity of at least ``percent`` hundredths; component_id is the least id
     that links reach; kept marks the document with that id.
     """
+    refuse_taken([id, *carry], "n_shingles", "component_id", "kept", "survivor")
     given = [f"{P}{i}" for i in range(1 + len(carry))]  # a caller's names could be those used here
     body = F.col(quoted(text))
     named = docs.select(*(F.col(quoted(c)).alias(g) for c, g in zip((id, *carry), given)), hash128(body).alias("th"), body.alias("text"))

@@ -132,7 +132,9 @@ def captures_of_pages(pages: DataFrame) -> DataFrame:
 
 def parse_records(data: bytes) -> Iterator[dict]:
     """The records of a WARC file's bytes (plain or gzip): headers of the record, of the HTTP message, and the body."""
-    stream = io.BytesIO(gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data)
+    stream = io.BytesIO(data)
+    if data[:2] == b"\x1f\x8b":
+        stream = gzip.GzipFile(fileobj=stream)  # inflates member by member, as it is read
     while line := stream.readline():
         if not line.startswith(b"WARC/"):
             continue
@@ -156,8 +158,8 @@ def _fields(stream: io.BytesIO) -> dict[str, str]:
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """Responses and revisits of WARC files as ``resolve_revisits`` takes them. A file is read by one task."""
-    schema = "record_id string, kind string, url string, captured_at timestamp, headers map<string,string>, body string"
+    """Responses and revisits of WARC files as ``resolve_revisits`` takes them. Bodies are the bytes that were sent. A file is read by one task, a record at a time."""
+    schema = "record_id string, kind string, url string, captured_at timestamp, headers map<string,string>, body binary"
 
     def rows(it):
         import pandas as pd
@@ -167,7 +169,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
                 found = [r for r in parse_records(content) if r["record"].get("warc-type") in ("response", "revisit")]
                 yield pd.DataFrame(
                     [
-                        (r["record"].get("warc-record-id"), r["record"]["warc-type"], r["record"].get("warc-target-uri"), pd.to_datetime(r["record"].get("warc-date"), utc=True, errors="coerce"), r["http"], r["body"].decode("utf-8", "replace") or None)
+                        (r["record"].get("warc-record-id"), r["record"]["warc-type"], r["record"].get("warc-target-uri"), pd.to_datetime(r["record"].get("warc-date"), utc=True, errors="coerce"), r["http"], r["body"])
                         for r in found
                     ],
                     columns=["record_id", "kind", "url", "captured_at", "headers", "body"],

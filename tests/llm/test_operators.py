@@ -321,6 +321,23 @@ def test_sketches_merge(spark):
     assert whole == dict(parts)
 
 
+# --- names that are taken ---
+
+
+def test_taken_names_are_refused(odd_docs, coders):
+    for name in ("n_tokens", "ids_sha256"):
+        with pytest.raises(ValueError, match=f"column {name} already"):
+            bpe.encode_digests(odd_docs.withColumn(name, F.lit(1)), *queries.vocabulary())
+    for name in ("score", "LANG_PRED", "confident"):
+        with pytest.raises(ValueError, match="already"):
+            langid.identify(odd_docs.withColumn(name, F.lit(1)), {"en": b"x"})
+    for name in ("kept", "n_shingles", "component_id", "survivor"):
+        with pytest.raises(ValueError, match=f"column {name} already"):
+            neardup.near_duplicates(odd_docs.withColumn(name, F.lit(1)), carry=(name,))
+    for name in ("a", "n", "text"):  # others may have any name
+        assert neardup.near_duplicates(odd_docs.select("doc_id", "text", F.col("lang").alias("x" + name)), carry=("x" + name,)).columns.count("x" + name) == 1
+
+
 # --- revisits ---
 
 
@@ -374,7 +391,16 @@ def test_warc_files(spark, tmp_path):
     second = record(b"revisit", b"<2>", b"2024-01-02T00:00:00Z", b"HTTP/1.1 304 Not Modified\r\nETag: \"x\"\r\n\r\n")
     (tmp_path / "one.warc.gz").write_bytes(gzip.compress(first) + gzip.compress(second))
     (row,) = warc.resolve_revisits(warc.read_warc(spark, str(tmp_path))).collect()
-    assert (row.record_id, row.status, row.source_id, row.body) == ("<2>", "resolved", "<1>", "hello")
+    assert (row.record_id, row.status, row.source_id, bytes(row.body)) == ("<2>", "resolved", "<1>", b"hello")
+
+
+def test_warc_bodies_are_the_bytes_that_were_sent(spark, tmp_path):
+    parts = []
+    for i, body in enumerate((b"caf\xe9\x00\xff", b"")):
+        block = b"HTTP/1.1 200 OK\r\nETag: \"x\"\r\n\r\n" + body
+        parts.append(b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <%d>\r\nWARC-Target-URI: http://a.org/%d\r\nWARC-Date: 2024-01-01T00:00:00Z\r\nContent-Type: application/http\r\nContent-Length: %d\r\n\r\n%s\r\n\r\n" % (i, i, len(block), block))
+    (tmp_path / "one.warc").write_bytes(b"".join(parts))
+    assert sorted(bytes(r.body) for r in warc.read_warc(spark, str(tmp_path)).collect()) == [b"", b"caf\xe9\x00\xff"]
 
 
 def test_revisits_without_place_or_time(spark):
@@ -441,6 +467,28 @@ def test_bpe_appends_and_edits(coders):
         assert bpe.PrefixTable(own.v, text).replace(i, j, more).ids() == plain(text[:i] + more + text[j:])
 
 
+def test_bpe_edits_touch_their_neighbourhood(coders):
+    """In a long piece an edit gives the table that filling it anew gives, in a small part of the time."""
+    import time
+
+    own, _ = coders
+    draw = random.Random(3)
+    text = bytes(draw.choice(b"abcdetheinorstu \xc3\xa9") for _ in range(200_000))
+    begun = time.perf_counter()
+    table = bpe.PrefixTable(own.v, text)
+    built = time.perf_counter() - begun
+    for i, j, new in ((70, 71, b"q"), (0, 0, b"the"), (0, 3, b""), (100_000, 100_050, b"x" * 300), (199_990, 199_999, b"end"), (5, 150_000, b"short")):
+        begun = time.perf_counter()
+        table.replace(i, j, new)
+        took = time.perf_counter() - begun
+        text = text[:i] + new + text[j:]
+        fresh = bpe.PrefixTable(own.v, text)
+        assert table.text == text and table.last == fresh.last
+        assert took < built / 20
+    short = bpe.PrefixTable(own.v, b"abcthe").replace(0, 6, b"")
+    assert short.ids() == [] and short.replace(0, 0, b"the").ids() == bpe.PrefixTable(own.v, b"the").ids()
+
+
 def test_bpe_query_and_odd(spark, sf, docs, coders, odd_extra, no_docs):
     _, other = coders
     for r in queries.op6_byte_bpe(spark, sf).collect():
@@ -776,3 +824,18 @@ def test_edit_distance():
     assert f([b"a", b"b", b"c"], [b"x", b"a", b"b", b"c"]) == (0, 1)
     assert f([b"a", b"b", b"c"], [b"x", b"a", b"c", b"y"])[0] == 1
     assert f([b"a"], [])[0] == 1
+
+
+def test_whole_licenses_are_found(spark):
+    """A template of any length: blocks grow with the longest one."""
+    rng = random.Random(8)
+    words = [f"term{i}" for i in range(400)]
+    whole = [rng.choice(words) for _ in range(700)]
+    templates = {"long": [" ".join(whole)], **licenses.TEMPLATES}
+    noise = lambda n: [f"noise{rng.randrange(5000)}" for _ in range(n)]
+    texts = [" ".join(noise(a) + whole + noise(b)) for a, b in ((0, 0), (350, 10), (699, 700), (1234, 5))]
+    texts += [" ".join(noise(900) + whole[:200] + noise(900)), " ".join(noise(30)) + " released under the mit license", None, ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.labels for r in licenses.scan(df, templates=templates).collect()}
+    assert [got[i] for i in range(8)] == ["long"] * 4 + ["", "mit", "", ""]
+    assert {r.doc_id for r in licenses.matches(df, templates=templates).where("label = 'long'").collect()} == {0, 1, 2, 3}
