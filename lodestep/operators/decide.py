@@ -78,12 +78,16 @@ def argmax(values: Column) -> Column:
 
 
 def scored(pairs: DataFrame, slots: DataFrame, bits: int, ridge: float = 1.0) -> DataFrame:
-    """(pair, arms, estimates) of pairs (pair, context, offers); ``slots`` has slot and the true sums xx, xy."""
-    made = written(pairs.select("pair", context_of(F.col("context")).alias("ctx"), candidates_of(F.col("offers")).alias("cands")), "candidates")
-    features = encoded(made, ["pair"], F.col("ctx"), F.col("cands"), bits)
+    """(pair, arms, estimates) of pairs (pair, context, offers); ``slots`` has slot and the true sums xx, xy.
+
+    Where both have a column ``model``, each pair is scored by its own.
+    """
+    of = [c for c in ("model",) if c in pairs.columns]
+    made = written(pairs.select("pair", *of, context_of(F.col("context")).alias("ctx"), candidates_of(F.col("offers")).alias("cands")), "candidates")
+    features = encoded(made, ["pair", *of], F.col("ctx"), F.col("cands"), bits)
     small = slots.count() <= BROADCAST
-    state = slots.select("slot", "xx", "xy")
-    joined = features.join(F.broadcast(state) if small else state, "slot", "left")
+    state = slots.select(*of, "slot", "xx", "xy")
+    joined = features.join(F.broadcast(state) if small else state, [*of, "slot"], "left")
     sums = F.coalesce("xy", F.lit(0.0)) * (F.lit(1.0) / (F.coalesce("xx", F.lit(0.0)) + F.lit(ridge)))
     per = joined.select("pair", "cand", F.struct("slot", (F.col("v") * sums).alias("term")).alias("x")).groupBy("pair", "cand").agg(F.array_sort(F.collect_list("x")).alias("x"))
     told = per.select("pair", "cand", F.aggregate("x", F.lit(0.0), lambda a, x: a + x["term"]).alias("e"))
@@ -93,16 +97,22 @@ def scored(pairs: DataFrame, slots: DataFrame, bits: int, ridge: float = 1.0) ->
     return made.join(by_pair, "pair", "left").select("pair", F.transform("cands", lambda c: c["arm"]).alias("arms"), F.transform("cands", lambda c: F.coalesce(F.element_at(F.coalesce("of", none), c["cand"]), F.lit(0.0))).alias("estimates"))
 
 
-def decide(rows: DataFrame, slots: DataFrame, *, bits: int, epsilon: float = K.DEFAULTS["epsilon"], ridge: float = 1.0, decision_id: str = "decision_id", salt: str | Column = "") -> DataFrame:
-    """``rows`` (context and offers as JSON, a decision id, anything else) with arm, chosen, propensity and estimates. The model stays as it is."""
+def decide(rows: DataFrame, slots: DataFrame, *, bits: int, epsilon: float = K.DEFAULTS["epsilon"], ridge: float = 1.0, decision_id: str = "decision_id", salt: str | Column = "", counter: int = 0, by_model: bool = False) -> DataFrame:
+    """``rows`` (context and offers as JSON, a decision id, anything else) with arm, chosen, propensity and estimates. The model stays as it is.
+
+    With ``by_model`` rows and slots have a column ``model`` that says which of many models decides. ``counter`` numbers the draw of the decision's key.
+    """
     K.check_bits(bits)
     K.Bandit(K.Model(1 << bits), 1.0, epsilon=epsilon)  # refuses what is out of range
-    pairs = written(rows.select("context", "offers").distinct().withColumn("pair", F.monotonically_increasing_id()), "pairs")
+    of = ["context", "offers", *(["model"] if by_model else [])]
+    pairs = written(rows.select(*of).distinct().withColumn("pair", F.monotonically_increasing_id()), "pairs")
     found = written(scored(pairs, slots, bits, ridge).withColumn("weights", probabilities(F.col("estimates"), epsilon)), "scored")
-    same = rows["context"].eqNullSafe(pairs["context"]) & rows["offers"].eqNullSafe(pairs["offers"])
+    same = F.lit(True)
+    for c in of:
+        same = same & rows[c].eqNullSafe(pairs[c])
     asked = rows.join(pairs, same).select(*(rows[c] for c in rows.columns), "pair").join(found, "pair")
     with H.wrapping(rows.sparkSession):
-        drawn = asked.withColumn("_u", H.random_unit(H.derive_key(F.col(decision_id), F.lit(salt) if isinstance(salt, str) else salt), 0))
+        drawn = asked.withColumn("_u", H.random_unit(H.derive_key(F.col(decision_id), F.lit(salt) if isinstance(salt, str) else salt), counter))
     no = F.raise_error(F.lit("need at least one candidate")).cast("int")
     chosen = drawn.withColumn("chosen", F.when(F.size("arms") > 0, sample_index(F.col("weights"), F.col("_u"))).otherwise(no))
     at = lambda c: F.get(F.col(c), F.col("chosen"))

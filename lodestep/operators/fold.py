@@ -222,6 +222,23 @@ def weights(events: DataFrame, carry: DataFrame | None, grid: list[tuple[int, fl
     return by_chunk(rows, grid, "config int, name string, k int, s bigint, top double", absorb, finish)
 
 
+def each_weight(events: DataFrame, carry: DataFrame | None, model: tuple[int, float], epsilon: float) -> DataFrame:
+    """(key, pos, w, reward) of each decision event of one configuration."""
+
+    def absorb(models: Models, key, row):
+        pos, event, context, offers, chosen, propensity, target, reward, number, slot, xx, xy = row
+        if event == "carry":
+            models.load(number, slot, xx, xy)
+        elif event == "update":
+            models.update(context, offers, reward)
+        else:
+            estimates = [models.models[0].predict(pairs) for pairs in models.coders[models.grid[0][0]](context, offers)]
+            yield key, pos, K.probabilities(estimates, epsilon)[chosen] / propensity, reward
+
+    rows = events if carry is None else with_defaults(events).unionByName(with_defaults(carry))
+    return by_chunk(rows, [model], "pos bigint, w double, reward double", absorb, lambda *_: ())
+
+
 def resampled(events: DataFrame, carry: DataFrame | None, model: tuple[int, float], epsilon: float, replicates: int, salt: str) -> DataFrame:
     """(key, replicate, name, k, s) of each chunk: the limbs of the sums n, s and sr of ``weights`` with each decision taken a Poisson number of times.
 

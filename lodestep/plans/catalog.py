@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import math
 from collections.abc import Callable
 
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import exact
 from ..functions import hashing as H
-from ..operators import decide, effective, encode, evaluate, index, metrics, online, verify
+from ..operators import compose, decide, effective, encode, evaluate, index, metrics, online, verify
 from ..sources import derived, logfile
 from ..streaming import intervals
 from . import oracle
@@ -261,11 +262,33 @@ def bootstrap_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return each.groupBy("estimate").agg(F.percentile("x", F.array(F.lit(0.025), F.lit(0.5), F.lit(0.975))).alias("q")).select("estimate", F.col("q")[0].alias("low"), F.col("q")[1].alias("middle"), F.col("q")[2].alias("high"))
 
 
+def composed_logs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The derived log as composed records: the event type as if a uniform router had chosen it, then the offer. Rows of ``leaves`` name their type."""
+    log = derived.log(spark, sf_dir)
+    types = sorted(r["seg"] for r in log.where("seg is not null").select("seg").distinct().collect())  # event types
+    kind = log.where("event = 'decision'").select("decision_id", F.col("seg").alias("arm"))
+    named = written(log.join(kind, "decision_id"), "composed")
+    number = F.array_position(F.array(*map(F.lit, types)), F.col("arm")).cast("int") - 1
+    at = F.col("event") == "decision"
+    router = named.withColumns({
+        "context": F.when(at, F.to_json(F.struct("hour"))), "offers": F.when(at, F.lit(json.dumps([[t, {}] for t in types]))), "taken": F.when(at, F.concat(F.lit('[["'), F.col("arm"), F.lit('", {}]]'))),
+        "chosen": F.when(at, number), "propensity": F.when(at, F.lit(1.0 / len(types))),
+    })
+    return router, named
+
+
+def composed_evaluate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a router over event types with a model for each type's offers would earn."""
+    router, leaves = composed_logs(spark, sf_dir)
+    out = compose.evaluate(router, leaves, derived.ORDER, arm="arm", bits=BITS, epsilons=(0.2, EPSILON), forgetting=1.0)
+    return out.select("resolved", *(F.round(c, 6).alias(c) for c in ("logged_mean", "ips", "snips", "ess", "max_weight")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         hash_ids, rng_units, logged_choices, encode_events, effective_resolutions, horizon_classes, log_counts, verify_findings, verify_log, evaluate_lattice, evaluate_forget, sweep_lattice, ablation,
-        replay_slots, replay_forget, merged_logs_replay, debiased_rates, expiry_rate, rolling_reward, per_user_evaluate, preview_states, per_user_replay, replay_states, slate_topk, online_learner, byo_explore, decide_batch, exact_sums, regret_by_user, regret_quartiles, interval_join, states_as_of, lateral_states, rolling_log, bootstrap_estimates, bootstrap_intervals,
+        replay_slots, replay_forget, merged_logs_replay, debiased_rates, expiry_rate, rolling_reward, per_user_evaluate, preview_states, per_user_replay, replay_states, slate_topk, online_learner, byo_explore, decide_batch, exact_sums, regret_by_user, regret_quartiles, interval_join, states_as_of, lateral_states, rolling_log, bootstrap_estimates, bootstrap_intervals, composed_evaluate,
     )
 }
 
