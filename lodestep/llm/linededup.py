@@ -6,7 +6,8 @@ batch of documents is reduced to such counts, freed of hashes already known to b
 threshold by a merge anti-join with the hot runs, and added as a run of level 0. When a
 level has ``FANOUT`` runs they are merged, bucket by bucket, into one run of the next level;
 hashes that reach the threshold by the merge move to a hot run. Joins and merges of
-runs are sort-merge joins of equal buckets: nothing but a new batch is shuffled. So a batch costs
+runs are sort-merge joins of equal buckets: two runs meet without a shuffle. Where runs of several levels are read together
+(``hot_hashes``), the rows that a first join has made are shuffled, as hashes and counts. So a batch costs
 work for itself and its share of merges, not for the whole store.
 
 A store lives in a folder and can be opened again: its runs are files, and a manifest, written
