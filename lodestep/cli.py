@@ -83,11 +83,13 @@ def main(args: list[str]) -> int:
     epsilons, forgetting = one("epsilon", K.DEFAULTS["epsilon"]), one("forgetfulness", K.DEFAULTS["forgetting"])
     try:
         if command == "verify" or hard:
-            problems = [r.problem for r in V.verify(lines).orderBy("line", "at").toLocalIterator()]
-            print("\n".join(problems), file=sys.stdout if command == "verify" else sys.stderr, end="\n" if problems else "")
+            problems = 0
+            for r in V.verify(lines).orderBy("line", "at").toLocalIterator():  # printed as they come
+                print(r.problem, file=sys.stdout if command == "verify" else sys.stderr)
+                problems += 1
             if command == "verify":
                 n = {r["event"]: r["n"] for r in logfile.log_counts(logfile.typed(lines)).collect()}  # two rows, three with bad lines
-                print(f"{n.get('decision', 0)} decisions, {n.get('resolution', 0)} resolutions, {len(problems)} problem(s)")
+                print(f"{n.get('decision', 0)} decisions, {n.get('resolution', 0)} resolutions, {problems} problem(s)")
             if problems or command == "verify":
                 return int(bool(problems))
         events = logfile.parse_log(lines)

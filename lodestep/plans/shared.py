@@ -5,6 +5,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -37,8 +39,20 @@ def _forget_all() -> None:
             return
 
 
+@contextmanager
+def scope() -> Iterator[None]:
+    """What is written inside goes at the end of the block: for a query whose result has been saved by then."""
+    mark = len(_written)
+    try:
+        yield
+    finally:
+        for spark, path in _written[mark:]:
+            forget(spark, path)
+        del _written[mark:]
+
+
 def new_path(spark: SparkSession, label: str) -> str:
-    """A path of its own in the shared folder. What is there goes when the process ends."""
+    """A path of its own in the shared folder. What is there goes when the process ends, or the ``scope`` in which it was made."""
     path = f"{shared_dir(spark)}/lodestep/{label}-{uuid.uuid4().hex}"
     _written.append((spark, path))
     return path

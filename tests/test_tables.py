@@ -159,3 +159,18 @@ def test_two_levels_decide(spark, state):
         offer = K.sample_index(two, K.random_unit(key, 1))
         r = got[f"i:{i}"]
         assert (r.arm, r.offer, r.router_propensity, r.leaf_propensity, r.propensity) == ("pq"[arm], "mn"[offer], one[arm], two[offer], one[arm] * two[offer])
+
+
+def test_written_tables_go_with_their_scope(spark, tmp_path):
+    from pathlib import Path
+
+    from lodestep.plans import shared
+
+    folder = Path(shared.shared_dir(spark).removeprefix("file://")) / "lodestep"
+    kept = shared.written(spark.range(3), "kept")
+    before = set(folder.iterdir())
+    with shared.scope():
+        made = shared.written(spark.range(5), "made")
+        made.write.parquet(str(tmp_path / "out"))
+        assert len(set(folder.iterdir()) - before) == 1
+    assert set(folder.iterdir()) == before and kept.count() == 3 and spark.read.parquet(str(tmp_path / "out")).count() == 5
