@@ -141,6 +141,11 @@ def replay_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     return online.state_slots(per_user_replay(spark, sf_dir), "user_id").select("user_id", "slot", F.round("xx", 6).alias("xx"), F.round("xy", 6).alias("xy"))
 
 
+def per_user_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the rebuilt states of all users say of themselves: next sequence number and absorbed resolutions."""
+    return per_user_replay(spark, sf_dir).select("user_id", F.col("next_seq").cast("bigint").alias("next_seq"), "model_version")
+
+
 def slate_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return online.slates(per_user_replay(spark, sf_dir), "user_id", {"seg": "click", "hour": 12.0}, derived.OFFERS, 2)
 
@@ -288,7 +293,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         hash_ids, rng_units, logged_choices, encode_events, effective_resolutions, horizon_classes, log_counts, verify_findings, verify_log, evaluate_lattice, evaluate_forget, sweep_lattice, ablation,
-        replay_slots, replay_forget, merged_logs_replay, debiased_rates, expiry_rate, rolling_reward, per_user_evaluate, preview_states, per_user_replay, replay_states, slate_topk, online_learner, byo_explore, decide_batch, exact_sums, regret_by_user, regret_quartiles, interval_join, states_as_of, lateral_states, rolling_log, bootstrap_estimates, bootstrap_intervals, composed_evaluate,
+        replay_slots, replay_forget, merged_logs_replay, debiased_rates, expiry_rate, rolling_reward, per_user_evaluate, preview_states, per_user_replay, replay_states, slate_topk, online_learner, byo_explore, decide_batch, exact_sums, regret_by_user, regret_quartiles, interval_join, states_as_of, lateral_states, rolling_log, bootstrap_estimates, bootstrap_intervals, composed_evaluate, per_user_heads,
     )
 }
 

@@ -24,7 +24,12 @@ def mixed(source: str, column: str, keep: str, out: str = "m") -> str:
 
 
 def key(name: str, salt: str = "ev") -> str:
-    return fnv(f"list_concat([strlen({name})::UHUGEINT, 0, 0, 0, 0, 0, 0, 0], {_chars(name)}, {_chars(repr(salt))})")
+    return key_of(name, repr(salt))
+
+
+def key_of(name: str, salt: str) -> str:
+    """Key of a decision's draws, of two text expressions."""
+    return fnv(f"list_concat([strlen({name})::UHUGEINT, 0, 0, 0, 0, 0, 0, 0], {_chars(name)}, {_chars(salt)})")
 
 
 def units(n: int) -> str:
@@ -163,6 +168,23 @@ times as (select event_id, b, {' + '.join(f'(u >= {p!r}::DOUBLE)::INT' for p in
 boot as (select b::INT as replicate, sum(k)::BIGINT as n, round(sum(k * w * r) / sum(k), 9) as ips, round(sum(k * w * r) / sum(k * w), 9) as snips from a_w join times on event_id = d_event_id group by b)"""
 
 
+def _slates(click: str, epsilon: float = 0.05) -> str:
+    """The top two of three offers, drawn one after the other without the first winner, by each user's own state."""
+    def drawn(step: int) -> str:
+        name = f"user_id::varchar || ':' || (seq + {step})"
+        return f"(select user_id, (m >> 11)::DOUBLE * 1.1102230246251565e-16::DOUBLE as u{step} from {mixed(f'(select user_id, {key_of(name, 'user_id::varchar')}::UBIGINT as c from heads)', 'c', 'user_id')})"
+
+    shares = lambda es: f"list_transform({es}, lambda x: case when x = list_max({es}) then {epsilon}::DOUBLE / len({es}) + (1::DOUBLE - {epsilon}::DOUBLE) / len(list_filter({es}, lambda y: y = list_max({es}))) else {epsilon}::DOUBLE / len({es}) end)"
+    return f"""heads as (select user_id, max(event_id) + 1 as seq from dec group by user_id),
+e as (select u.user_id, c.cand, list_reduce(list_concat([0::DOUBLE], list(v * (coalesce(xy, 0) * (1::DOUBLE / (coalesce(xx, 0) + 1::DOUBLE))) order by c.slot)), lambda a, b: a + b) as e from heads u cross join {click} c left join r on r.user_id = u.user_id and r.slot = c.slot group by u.user_id, c.cand),
+offered as (select user_id, list(e order by cand) as es, ['north', 'east', 'south'] as arms from e group by user_id),
+taken1 as (select *, {shares('es')} as ps from offered join {drawn(0)} using (user_id)),
+first_ as (select *, case when u0 < ps[1] then 1 when u0 < ps[1] + ps[2] then 2 else 3 end as won from taken1),
+rest_ as (select user_id, won, ps, arms, list_concat(es[1:won - 1], es[won + 1:3]) as es, list_concat(arms[1:won - 1], arms[won + 1:3]) as others from first_),
+two as (select *, {shares('es')} as qs from rest_ join {drawn(1)} using (user_id))
+select user_id, 0::INT as place, arms[won] as arm, ps[won] as propensity from two union all select user_id, 1, others[case when u1 < qs[1] then 1 else 2 end], qs[case when u1 < qs[1] then 1 else 2 end] from two"""
+
+
 def sql(bits: int, epsilon: float, f: float) -> dict[str, str]:
     hexed = lambda c: f"printf('%016X', {c})"
     sweep = [(b, x, f"s{i}") for i, (b, x) in enumerate((b, x) for b in (4, 8) for x in (1.0, f))]
@@ -189,6 +211,8 @@ def sql(bits: int, epsilon: float, f: float) -> dict[str, str]:
             from (select distinct user_id from dec) u cross join {click} c left join r on r.user_id = u.user_id and r.slot = c.slot group by u.user_id, c.cand)
             select user_id, case cand when 0 then 'north' when 1 then 'east' else 'south' end as arm, round(e, 6) as estimate,
             round(case when e = max(e) over (partition by user_id) then 0.05::DOUBLE / 3 + 0.95::DOUBLE else 0.05::DOUBLE / 3 end, 6) as probability from e""",
+        "per_user_heads": f"{log('user_id')} select user_id, (select max(event_id) + 1 from dec d where d.user_id = l.user_id) as next_seq, count(*) filter (effective) as model_version from line l group by user_id",
+        "slate_topk": f"""{replayed(bits, f, 'user_id')}, {_slates(click)}""",
         "lateral_states": f"{replayed(bits, f, 'user_id', digits=6)} select * from r",
         "rolling_log": f"{LOG} select event_id, report, round(avg(reward) over (order by t, ko, event_id, report rows between 1999 preceding and current row), 9) as mean from pair where effective",
         "bootstrap_estimates": f"""{LOG}, {evaluated(bits, [epsilon], 6, 'a')}, {bootstrapped(3)} select * from boot""",
