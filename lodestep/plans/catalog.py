@@ -129,7 +129,7 @@ def verify_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def per_user_evaluate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evaluate.evaluate(derived.log(spark, sf_dir), derived.ORDER, bits=[BITS], epsilons=[EPSILON], forgetting=[FORGETTING], key="user_id", digits=6)
+    return evaluate.evaluate(derived.log(spark, sf_dir), derived.ORDER, bits=[BITS], epsilons=[EPSILON], forgetting=[FORGETTING], key="user_id", digits=9)
 
 
 def per_user_replay(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -202,7 +202,7 @@ def sql(bits: int, epsilon: float, f: float) -> dict[str, str]:
         "evaluate_forget": f"{LOG}, {evaluated(bits, [epsilon], 6, 'a', f)} select * from a",
         "ablation": f"{LOG}, {evaluated(bits, [epsilon], 6, 'a', hours=False)} select * from a",
         "sweep_lattice": f"{LOG}, {', '.join(evaluated(b, [0.05, 0.2, 1.0], 4, name, x) for b, x, name in sweep)} {' union all '.join(f'select * from {name}' for *_, name in sweep)}",
-        "per_user_evaluate": f"{log('user_id')}, {evaluated(bits, [epsilon], 6, 'a', f, 'user_id')} select * from a",
+        "per_user_evaluate": f"{log('user_id')}, {evaluated(bits, [epsilon], 9, 'a', f, 'user_id')} select * from a",
         "replay_slots": f"{replayed(bits, 1.0)} select * from r",
         "replay_forget": f"{replayed(bits, f, digits=6)} select slot, xx, xy, (select max(event_id) + 1 from dec) as next_seq, (select count(*) from line where effective) as model_version from r",
         "replay_states": f"{replayed(bits, f, 'user_id', digits=6)} select * from r",
