@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import by_place, hash128, quoted
+from .common import by_place, hash128, quoted, written
 
 MARKS = b".,;:!?\"()[]"
 PERIOD = 4
@@ -309,7 +309,10 @@ def hashed(words: list[bytes]):
 
 
 def _blocks(items: DataFrame, text: str, target_recall: float, share: float) -> Iterator:
-    """The distinct item texts, broadcast in blocks of a bounded size; a text is known by its hash."""
+    """The distinct item texts, broadcast in blocks of a bounded size, each with whether there are others; a text is known by its hash.
+
+    A block is made when it is asked for. Where there are several, whoever asks saves what a block has found and lets go of it before the next.
+    """
     spark = items.sparkSession
     own = items.select(F.col(quoted(text)).alias("text")).where("text is not null").distinct()
     total = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -317,7 +320,7 @@ def _blocks(items: DataFrame, text: str, target_recall: float, share: float) ->
     part = F.pmod(F.xxhash64("text"), F.lit(n))
     for block in range(n):
         rows = own.where(part == block).select(hash128(F.col("text")).alias("k"), "text").collect()  # at most about BLOCK_BYTES
-        yield spark.sparkContext.broadcast(Items([bytes(r["k"]) for r in rows], [words_of(r["text"]) for r in rows], walks_for(target_recall, share), share))
+        yield n > 1, spark.sparkContext.broadcast(Items([bytes(r["k"]) for r in rows], [words_of(r["text"]) for r in rows], walks_for(target_recall, share), share))
 
 
 def find_leaks(docs: DataFrame, items: DataFrame, *, id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", target_recall: float = 0.95, share: float = 0.2) -> DataFrame:
@@ -344,7 +347,12 @@ def find_leaks(docs: DataFrame, items: DataFrame, *, id: str = "doc_id", text: s
 
         return docs.select(F.col(quoted(id)), F.col(quoted(text))).mapInArrow(batches, schema)
 
-    found = reduce(DataFrame.unionAll, [search(b) for b in _blocks(items, item_text, target_recall, share)])
+    parts = []
+    for several, shared in _blocks(items, item_text, target_recall, share):
+        parts.append(written(search(shared), "leaks") if several else search(shared))
+        if several:
+            shared.unpersist()
+    found = reduce(DataFrame.unionAll, parts)
     named = items.select(F.col(quoted(item_id)).alias("item"), hash128(F.col(quoted(item_text))).alias("k"))
     return found.join(named, "k").select(F.col("doc").alias(id), F.col("item").alias(item_id), "start_word", "item_words", "edits", "similarity")
 
@@ -362,6 +370,10 @@ def without_leaks(docs: DataFrame, items: DataFrame, *, text: str = "text", item
                 left = batch.filter(pa.array([n not in hit for n in range(batch.num_rows)], pa.bool_()))
                 yield pa.RecordBatch.from_arrays(left.columns, names=names)
 
-        return by_place(df).mapInArrow(batches, docs.schema)
+        return by_place(df).mapInArrow(batches, df.schema)
 
-    return reduce(keep, _blocks(items, item_text, target_recall, share), docs)
+    for several, shared in _blocks(items, item_text, target_recall, share):
+        docs = written(keep(docs, shared), "clean") if several else keep(docs, shared)
+        if several:
+            shared.unpersist()
+    return docs

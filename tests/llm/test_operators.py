@@ -839,3 +839,17 @@ def test_whole_licenses_are_found(spark):
     got = {r.doc_id: r.labels for r in licenses.scan(df, templates=templates).collect()}
     assert [got[i] for i in range(8)] == ["long"] * 4 + ["", "mit", "", ""]
     assert {r.doc_id for r in licenses.matches(df, templates=templates).where("label = 'long'").collect()} == {0, 1, 2, 3}
+
+
+def test_leaks_of_several_blocks(spark, monkeypatch):
+    """Items in blocks that are made, searched and let go one after the other find what one block finds."""
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    texts = [" ".join(word() for _ in range(20)) for _ in range(9)]
+    items = spark.createDataFrame(list(enumerate(texts)), "item_id long, text string")
+    docs = spark.createDataFrame([(i, " ".join([word(), texts[i % 9], word()]) if i % 2 else word()) for i in range(30)], "doc_id long, text string")
+    one = sorted(map(tuple, decontaminate.find_leaks(docs, items).collect()))
+    clean = sorted(map(tuple, decontaminate.without_leaks(docs, items).collect()))
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 300)
+    assert len(one) == 15 and sorted(map(tuple, decontaminate.find_leaks(docs, items).collect())) == one
+    assert len(clean) == 15 and sorted(map(tuple, decontaminate.without_leaks(docs, items).collect())) == clean
